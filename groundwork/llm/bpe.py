@@ -11,6 +11,7 @@ A null or empty text has no tokens. Repeated rows give repeated results. Nothing
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 
@@ -238,7 +239,7 @@ class BlockEncoder:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-_replays: dict[int, MergeReplay] = {}
+_replays: dict[str, MergeReplay] = {}  # of this Python worker: the last vocabulary it has used
 
 
 def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,12 +250,13 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
     """
     rows = pick(docs, id_col, text_col, binary=False)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    key = hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _replays:
+        if key not in _replays:
             _replays.clear()
-            _replays[shared.id] = MergeReplay(shared.value)
-        replay = _replays[shared.id]
+            _replays[key] = MergeReplay(shared.value)
+        replay = _replays[key]
         encoder = BlockEncoder(replay, pattern)
         for ids, texts in text_blocks(batches, BLOCK_BYTES):
             found = encoder.encode(texts)

@@ -9,6 +9,7 @@ Null and empty texts have no tokens. Texts are taken whole, whatever their lengt
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -146,19 +147,20 @@ class BlockCounter:
         return [int(self.unit_counts[at].sum()) for at in places]
 
 
-_vocabularies: dict[int, WordBpe] = {}
+_vocabularies: dict[str, WordBpe] = {}  # of this Python worker: the last one it has used
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens). vocabulary: the content of a vocabulary file, of fixed size; the driver broadcasts it."""
     rows = pick(docs, id_col, text_col, binary=False)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    key = hashlib.sha256(vocabulary.encode()).hexdigest()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.id not in _vocabularies:
+        if key not in _vocabularies:
             _vocabularies.clear()
-            _vocabularies[shared.id] = WordBpe(shared.value)
-        counter = BlockCounter(_vocabularies[shared.id])
+            _vocabularies[key] = WordBpe(shared.value)
+        counter = BlockCounter(_vocabularies[key])
         for ids, texts in text_blocks(batches, BLOCK_BYTES):
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.count(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
