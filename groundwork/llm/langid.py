@@ -184,3 +184,18 @@ def train_on(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", t
     """A model from the text and language of the documents that are not held out."""
     labelled = docs.filter(~held_out(id_col) & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
     return train(labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")), sample_docs)
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 3.0, rounds: int = 6, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language can be told; those that are "und" go. No shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixture = MixtureModel(*shared.value, penalty, rounds)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            for at in range(0, len(texts), 1000):
+                found = mixture.predict(texts[at : at + 1000])
+                yield batch.slice(at, 1000).filter(pa.array([x[0] != UNDETERMINED for x in found]))
+
+    return docs.mapInArrow(run, docs.schema)
