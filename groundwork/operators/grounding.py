@@ -72,7 +72,7 @@ def ground(claims: DataFrame, sources: DataFrame, entities: DataFrame, aliases:
             F.when(semantic & has_evidence & ~supported, "R2.3"),
         )
     )
-    out = out.drop("any_entity").withColumns({"rules": rules, "path": F.when(semantic, "semantic").otherwise("structured")})
+    out = out.withColumns({"rules": rules, "path": F.when(semantic, "semantic").otherwise("structured")}).drop("any_entity")
     texts = F.create_map(*(F.lit(x) for pair in RULES.items() for x in pair))
     extras = F.array_join(
         F.array_compact(F.array(F.when(F.size("ungrounded_entities") > 0, F.concat(F.lit(NO_ENTITY), F.array_join("ungrounded_entities", ", "))), F.when(F.size("ungrounded_numbers") > 0, F.concat(F.lit(NO_NUMBER), F.array_join("ungrounded_numbers", ", "))))), "；"
