@@ -9,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundwork.operators.lineage import checkpointed
+
+__all__ = ["BLOCK_BYTES", "checkpointed", "pick", "table", "text_blocks"]
+
 #: Bytes of text that one step inside a task holds at a time.
 BLOCK_BYTES = 4 << 20
 
@@ -35,17 +39,3 @@ def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = BLOCK_BYTES)
             size += n
         if first < batch.num_rows:
             yield ids.slice(first), texts.slice(first).to_pylist()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that all executors share; a folder is set only where the session has none."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="groundwork-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()

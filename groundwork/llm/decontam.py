@@ -87,5 +87,5 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_c
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those that a window hits; rows with a null id stay unless hit is known."""
-    hit = window_hits(docs, items, size, broadcast_chars, id_col, text_col, item_col, item_text_col).select(F.col("doc").alias("__doc")).distinct()
-    return docs.join(hit, F.col(f"`{id_col}`") == F.col("__doc"), "left_anti")
+    hit = window_hits(docs, items, size, broadcast_chars, id_col, text_col, item_col, item_text_col).select("doc").distinct()
+    return docs.join(hit, docs[f"`{id_col}`"] == hit["doc"], "left_anti")

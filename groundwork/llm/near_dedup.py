@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     pairs = checkpointed(within.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     need = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     rows = pick(docs, id_col, text_col)
-    texts = checkpointed(rows.join(need, rows["id"] == need["a"], "left_semi").dropDuplicates(["id"]))
+    texts = checkpointed(rows.join(need.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id"]))
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     first = components(verified(with_b, words, percent))
