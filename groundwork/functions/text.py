@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HASH_VERSION = 2
 SEPARATOR = "\x1f"
@@ -17,12 +18,12 @@ CONTROL = r"\x00-\x08\x0b\x0c\x0e-\x1f\x7f"
 _MAY_FOLD = "[^\\x00-\\x7F\\u00C0-\\u0131\\u4E00-\\u9FA5]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc_casefold(x: pd.Series) -> pd.Series:
     return x.str.normalize("NFKC").str.casefold()
 

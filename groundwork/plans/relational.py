@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.operators import entities as ent
@@ -11,7 +11,9 @@ from groundwork.plans import derive
 from groundwork.plans.derive import ALIASES_SQL, ANALYSES_SQL, CLAIMS_SQL, CONTENTS_SQL, LINKS_SQL, SOURCES_SQL, table
 from groundwork.sources.pages import page_verdict
 
-AS_OF = F.lit("2024-01-01 00:20:00").cast("timestamp")
+
+def as_of() -> Column:
+    return F.lit("2024-01-01 00:20:00").cast("timestamp")
 
 
 def f1_by_status(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +21,7 @@ def f1_by_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f2_stale(spark: SparkSession, d: str) -> DataFrame:
-    return warehouse.stale(derive.contents(spark, d), AS_OF).select("id", "created_at")
+    return warehouse.stale(derive.contents(spark, d), as_of()).select("id", "created_at")
 
 
 def a1_status_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -73,12 +75,12 @@ def d1_insert(spark: SparkSession, d: str) -> DataFrame:
 def d3_status(spark: SparkSession, d: str) -> DataFrame:
     c = derive.contents(spark, d).withColumns({"error_type": F.when(F.col("status") == "failed", "X"), "error_message": F.lit("m"), "processed_at": F.col("created_at")})
     changes = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("toxic") == 1, "failed").otherwise("processing").alias("status"), F.lit("BAD").alias("error_type"), F.lit("why").alias("error_message"))
-    return warehouse.set_status(c, changes, AS_OF).select("id", "status", "error_type", "error_message", "processed_at")
+    return warehouse.set_status(c, changes, as_of()).select("id", "status", "error_type", "error_message", "processed_at")
 
 
 def d4_reset(spark: SparkSession, d: str) -> DataFrame:
     c = derive.contents(spark, d).withColumns({"error_type": F.lit("X"), "error_message": F.lit("m"), "processed_at": F.col("created_at")})
-    return warehouse.reset_to_pending(c, warehouse.stale(c, AS_OF)).groupBy("status").agg(F.count("*").alias("n"), F.count("error_type").alias("n_errors"))
+    return warehouse.reset_to_pending(c, warehouse.stale(c, as_of())).groupBy("status").agg(F.count("*").alias("n"), F.count("error_type").alias("n_errors"))
 
 
 def s9_append_analyses(spark: SparkSession, d: str) -> DataFrame:
