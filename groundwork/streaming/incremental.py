@@ -70,7 +70,7 @@ class StuckWork(StatefulProcessor):
                 at = int(pd.Timestamp(ts).timestamp() * 1000)
                 self.since.update((at,))
                 self.handle.registerTimer(at + self.seconds * 1000)
-        yield pd.DataFrame({"key": [], "since": [], "reset_at": []})
+        yield from ()  # only a timer tells
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         at = self.since.get()[0]
