@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text", "relational", "runs")
+MODULES: tuple[str, ...] = ("text", "relational", "runs", "more")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
