@@ -47,7 +47,11 @@ def window_hits(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_cha
         k = (n + 1) // 2
         of_items = bench.filter(F.col("size") == n).select("item", "item_words", F.explode(_blocks(F.col("item_words"), k, 1)).alias("b")).select("item", "item_words", F.col("b.place").alias("item_place"), F.col("b.hash").alias("hash"))
         of_docs = text.select("doc", "ws", F.explode(_blocks(F.col("ws"), k, n - k + 1)).alias("b")).select("doc", "ws", F.col("b.place").alias("place"), F.col("b.hash").alias("hash"))
-        near = of_docs.join(F.broadcast(of_items) if small else of_items, "hash")
+        if small:
+            near = of_docs.join(F.broadcast(of_items), "hash")  # the words stay in the stage that has just split them
+        else:  # only places and hashes are dealt out by hash; the words come back for what has met
+            met = of_docs.select("doc", "place", "hash").join(of_items.select("item", "item_place", "hash"), "hash").drop("hash").distinct()
+            near = met.join(text, "doc").join(bench.filter(F.col("size") == n).select("item", "item_words"), "item")
         # The windows that hold this block: they start up to n - k words before it, on both sides alike.
         shift = F.transform(
             F.filter(F.sequence(F.lit(0), F.lit(n - k)), lambda d: (F.col("place") >= d) & (F.col("item_place") >= d) & (F.slice("ws", F.greatest(F.col("place") - d, F.lit(0)) + 1, n) == F.slice("item_words", F.greatest(F.col("item_place") - d, F.lit(0)) + 1, n)) & (F.col("item_place") - d + n <= F.size("item_words"))),
