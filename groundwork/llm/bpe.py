@@ -21,12 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from groundwork.llm.common import pick, text_blocks
+from groundwork.llm.common import pick, text_blocks, tidy
 
 #: Distinct units that a task remembers between blocks; it starts anew beyond that, which changes no result.
-REMEMBERED = 600_000
+REMEMBERED = 200_000
 #: Larger than elsewhere: every step over a block costs the same few array operations for each rank.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -266,4 +266,4 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col
             )
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from groundwork.llm.common import pick, text_blocks
+from groundwork.llm.common import pick, text_blocks, tidy
 
 # Elements by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -276,4 +276,4 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
             yield pa.RecordBatch.from_arrays([ids, pa.array([visible_text(t) for t in texts], pa.string())], names=["id", "text"])
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("text", T.StringType())])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

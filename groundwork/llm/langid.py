@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwork.llm.bpe import Numbered
-from groundwork.llm.common import pick, text_blocks
+from groundwork.llm.common import pick, text_blocks, tidy
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 #: Every ASCII character but letters ends a word.
 _FOLD = bytes(b if 97 <= b <= 122 or b > 127 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -70,7 +70,7 @@ def train(rows: DataFrame, sample_docs: int = 2000) -> tuple[list[str], np.ndarr
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
-    counts = training_sample(rows, sample_docs).mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
+    counts = training_sample(rows, sample_docs).mapInArrow(tidy(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     langs = sorted(counts["lang"].unique())
     table = np.full((BUCKETS, len(langs)), 0.5)
     if langs:
@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: floa
 
     mix = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", mix)])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -198,4 +198,4 @@ def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], penalt
                 found = mixture.predict(texts[at : at + 1000])
                 yield batch.slice(at, 1000).filter(pa.array([x[0] != UNDETERMINED for x in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

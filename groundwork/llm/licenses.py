@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from groundwork.llm.common import pick, text_blocks
+from groundwork.llm.common import pick, text_blocks, tidy
 
 # Phrases and labels that count as a base hit.
 PHRASES = {
@@ -229,4 +229,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
             yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(spans, _SPANS)], names=["id", "n_words", "spans"])
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)

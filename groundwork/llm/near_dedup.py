@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwork.llm.common import checkpointed, pick, text_blocks
+from groundwork.llm.common import checkpointed, pick, text_blocks, tidy
 
 SLOTS = 4  # of a band
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -139,7 +139,13 @@ def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: f
                 names=["id", "n_shingles", "c1", "c2", "bands"],
             )
 
-    return rows.mapInArrow(run, T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, t) for n, t in _SIGNED)]))
+    return rows.mapInArrow(tidy(run), T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, t) for n, t in _SIGNED)]))
+
+
+def _slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -147,7 +153,7 @@ def verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, held = Shingler(words), None, None
-        for batch in batches:
+        for batch in _slices(batches):
             ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
             for x, y in zip(ta, tb):
@@ -159,7 +165,7 @@ def verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = pairs.schema["a"].dataType
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def _forest(sets: list[np.ndarray], labels: list, percent: int) -> list[tuple]:
@@ -206,7 +212,7 @@ def block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 return []
             return _forest(shingler.sets([x[1] for x in held]), [x[0] for x in held], percent)
 
-        for batch in batches:
+        for batch in _slices(batches):
             links = []
             for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != task:
@@ -220,7 +226,7 @@ def block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], kind), pa.array([x[1] for x in links], kind)], names=["a", "b"])
 
     kind = rows.schema["label"].dataType
-    return rows.select("task", "label", "text").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return rows.select("task", "label", "text").mapInArrow(tidy(run), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from groundwork.llm.bpe import BLOCK_BYTES, Numbered
-from groundwork.llm.common import pick, text_blocks
+from groundwork.llm.common import pick, text_blocks, tidy
 
 #: Distinct units that a task remembers between blocks; it starts anew beyond that, which changes no result.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -165,4 +165,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.count(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
