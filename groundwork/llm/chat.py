@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows.
 
 Prefix sums of turn tokens cut a conversation into turn-aligned windows: with a budget of B tokens, H of them for history,
-and a system turn of s tokens, a turn whose last token is the n-th of the conversation is new in window (n - 1) // (B - H - s).
-Every window starts with the system turn (a first turn of role "system"), repeats the turns before its new ones as far as
-they fit into H tokens, and then holds its new turns. The loss mask covers the texts of new assistant turns only, so each
-target counts once. A turn longer than the budget stays whole in a window that exceeds it.
+and a system turn of s tokens, a turn whose last token is the n-th of the conversation is new in step (n - 1) // (B - H - s).
+A step is a window, but that a turn of more than H tokens that reaches over from the step before has one to itself (odd
+numbers). Every window starts with the system turn (a first turn of role "system"), repeats the turns before its new ones
+as far as they fit into H tokens and the budget, and then holds its new turns. The loss mask covers the texts of new
+assistant turns only, so each target counts once. Only a window whose one new turn is longer than B - s exceeds the budget.
 
 Turns are ordered by turn, role and text; a null role or text is empty; repeated rows are turns of their own. Control
 strings inside roles and texts are escaped by one more backslash between "<" and "|", and a role's line ends by \\n.
@@ -51,18 +52,20 @@ def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, conv_c
     t = t.withColumn("upto", F.sum(F.when(F.col("first"), 0).otherwise(F.col("tokens"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
     t = t.withColumn("held", F.coalesce(F.max(F.when(F.col("first"), F.col("tokens"))).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
     t = t.withColumn("step", F.greatest(F.lit(budget - history) - F.col("held"), F.lit(1)).cast("long"))
-    t = t.withColumn("window", F.when(F.col("first"), 0).otherwise(F.floor((F.col("upto") - 1) / F.col("step"))).cast("long"))
+    k = F.floor((F.col("upto") - 1) / F.col("step"))
+    over = (F.col("upto") - F.col("tokens") < k * F.col("step")) & (F.col("tokens") > history)
+    t = t.withColumn("window", F.when(F.col("first"), 0).otherwise(2 * k - over.cast("int")).cast("long"))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("said"))
-    t = t.select("conv", "window", "at", "tokens", "first", "upto", "step", F.concat(head, body, F.lit(END + "\n")).alias("shown"), F.length(head).alias("skip"), F.length(body).alias("size"), (F.col("role") == "assistant").alias("target"))
-    begun = t.filter(~F.col("first")).groupBy("conv", "window").agg(F.min(F.col("upto") - F.col("tokens")).alias("before"))
+    t = t.select("conv", "window", "at", "tokens", "first", "upto", "step", "held", F.concat(head, body, F.lit(END + "\n")).alias("shown"), F.length(head).alias("skip"), F.length(body).alias("size"), (F.col("role") == "assistant").alias("target"))
+    begun = t.filter(~F.col("first")).groupBy("conv", "window").agg(F.min(F.col("upto") - F.col("tokens")).alias("before"), F.least(F.lit(history), budget - F.max("held") - F.sum("tokens")).alias("room"))
     own = t.select("conv", "window", "at", "tokens", "shown", "skip", "size", "target", F.lit(False).alias("repeated"))
     # A turn can be history only of the windows that begin within `history` tokens after its first token.
-    last = F.floor((F.col("upto") - F.col("tokens") + history) / F.col("step")).cast("long") + 1
+    last = 2 * F.floor((F.col("upto") - F.col("tokens") + history) / F.col("step")).cast("long") + 2
     told = t.filter(~F.col("first") & (last > F.col("window"))).withColumn("later", F.explode(F.sequence(F.col("window") + 1, last)))
     told = told.select(F.col("conv"), F.col("later").alias("window"), "at", "tokens", "shown", "skip", "size", (F.col("upto") - F.col("tokens")).alias("from"))
-    starts = begun.select(F.col("conv").alias("of"), F.col("window").alias("to"), "before")
-    told = told.join(starts, F.col("conv").eqNullSafe(F.col("of")) & (F.col("window") == F.col("to"))).filter(F.col("before") - F.col("from") <= history)
+    starts = begun.select(F.col("conv").alias("of"), F.col("window").alias("to"), "before", "room")
+    told = told.join(starts, F.col("conv").eqNullSafe(F.col("of")) & (F.col("window") == F.col("to"))).filter(F.col("before") - F.col("from") <= F.col("room"))
     told = told.select("conv", "window", "at", "tokens", "shown", "skip", "size", F.lit(False).alias("target"), F.lit(True).alias("repeated"))
     kept = t.filter("first").select(F.col("conv").alias("of"), "at", "tokens", "shown", "skip", "size")
     system = begun.filter("window > 0").join(kept, F.col("conv").eqNullSafe(F.col("of"))).select("conv", "window", "at", "tokens", "shown", "skip", "size", F.lit(False).alias("target"), F.lit(True).alias("repeated"))

@@ -264,7 +264,7 @@ def test_chat_windows_hold_their_contract(spark):
         assert r.roles == [x[1] for x in own] and r.texts == [x[2] for x in own] and r.targets == [x[2] for x in own if x[1] == "assistant"]
     for w in windows.collect():
         shown = w.text.count("<|im_start|>")
-        assert w.n_tokens <= 120 + 40 or shown - w.n_repeated <= 2
+        assert w.n_tokens <= 120 or (shown - w.n_repeated == 1 and w.n_repeated <= 1)  # only a turn that is too long by itself
         if w.conv_id % 2 and w.window > 0:
             assert w.text.startswith("<|im_start|>system\n") and w.n_repeated >= 1
 
