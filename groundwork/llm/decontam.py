@@ -93,3 +93,25 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, broad
     """The rows of docs, all columns, without those that a window hits; rows with a null id stay unless hit is known."""
     hit = window_hits(docs, items, size, broadcast_chars, id_col, text_col, item_col, item_text_col).select("doc").distinct()
     return docs.join(hit, docs[f"`{id_col}`"] == hit["doc"], "left_anti")
+
+
+_SEPARATOR = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # BETWEEN, on texts that still have their capitals
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, with the hit words cut out of the texts, and what stands between two of them."""
+    found = contamination(docs, items, size, broadcast_chars, id_col, text_col, item_col, item_text_col).filter("n_hit > 0")
+    spans = found.select(F.col(id_col).alias("doc"), "spans").dropDuplicates(["doc"])
+    text = docs[f"`{text_col}`"]
+    parts = F.regexp_extract_all(text, F.lit(f"[^{_SEPARATOR}]+|[{_SEPARATOR}]+"), F.lit(0))
+    late = text.rlike(f"^[{_SEPARATOR}]").cast("int")  # 1 if the first part is no word: words and separators take turns
+    hit = lambda n: F.exists(spans["spans"], lambda s: (s["first"] <= n) & (n < s["end"]))
+
+    def gone(i: Column) -> Column:
+        n = F.floor((i - late) / 2)  # the number of this word, or of the word before this separator
+        return hit(n) & (((i - late) % 2 == 0) | hit(n + 1))
+
+    kept = F.filter(F.transform(parts, lambda p, i: F.when(~gone(i), p)), lambda p: p.isNotNull())
+    cut = F.when(spans["doc"].isNotNull(), F.array_join(kept, "")).otherwise(text)
+    joined = docs.join(spans, docs[f"`{id_col}`"] == spans["doc"], "left")
+    return joined.select(*((cut.alias(c) if c == text_col else docs[f"`{c}`"]) for c in docs.columns))

@@ -307,3 +307,10 @@ def test_pipeline_stages_keep_clean_documents(spark):
     assert four.columns == docs.columns and all(r.n_chars == len(r.text) for r in four.collect())
     out = p.run(spark, SF)
     assert out.count() == len({r.doc_id for r in out.collect()})
+
+
+def test_spans_are_cut_out(spark):
+    docs = spark.createDataFrame([(1, "Before, a B c! d, after."), (2, "...a b c d"), (3, "a b x"), (4, None), (5, "a b c d x a b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A b C d")], "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontam.remove_spans(docs, items).collect()}
+    assert got == {1: "Before, , after.", 2: "...", 3: "a b x", 4: None, 5: " x "}
