@@ -7,7 +7,7 @@ around it are then compared word by word, so hash collisions add nothing, and eq
 counted once.
 
 The benchmark's blocks are broadcast if the benchmark has at most broadcast_chars characters, which is counted first;
-beyond that the same join is a shuffle on the hash. Null and empty texts have no words and are never hit. Rows that
+beyond that the same join is a shuffle on the hash. Null and empty texts have no words and are never hit, nor are rows with a null id. Rows that
 repeat an id and its text repeat the result.
 """
 
@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.operators.lineage import checkpointed
+
 #: ASCII characters that are no letter or digit end a word.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -29,29 +31,35 @@ def words(text: Column) -> Column:
 
 
 def _blocks(ws: Column, k: int, step: int) -> Column:
-    """(place, hash) of the k words at every step-th place."""
-    places = F.when(F.size(ws) >= k, F.sequence(F.lit(0), F.size(ws) - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda p: F.struct(p.alias("place"), F.xxhash64(F.slice(ws, p + 1, k)).alias("hash")))
+    """(place, hash) of the k words at every step-th place. ws is computed once and stays an array of the lambda, so that a
+    slice costs its own words only, however long the text is."""
+
+    def made(w: Column) -> Column:
+        places = F.when(F.size(w) >= k, F.sequence(F.lit(0), F.size(w) - k, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda p: F.struct(p.alias("place"), F.xxhash64(F.slice(w, p + 1, k)).alias("hash")))
+
+    return F.get(F.transform(F.array(ws), made), F.lit(0))
 
 
-def window_hits(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def window_hits(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_chars: int = 32_000_000, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc, start, size, item): each window of a document that is a window of the item, once."""
     bench = items.select(F.col(f"`{item_col}`").alias("item"), words(F.col(f"`{item_text_col}`")).alias("item_words")).filter(F.size("item_words") > 0)
     bench = bench.withColumn("size", F.least(F.size("item_words"), F.lit(size)))
     facts = items.agg(F.sum(F.length(f"`{item_text_col}`")).alias("chars")).collect()[0]
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most `size` numbers
     small = (facts["chars"] or 0) <= broadcast_chars
-    text = docs.select(F.col(f"`{id_col}`").alias("doc"), words(F.col(f"`{text_col}`")).alias("ws"))
+    raw = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("raw"))
     found = None
     for n in sizes:
         k = (n + 1) // 2
         of_items = bench.filter(F.col("size") == n).select("item", "item_words", F.explode(_blocks(F.col("item_words"), k, 1)).alias("b")).select("item", "item_words", F.col("b.place").alias("item_place"), F.col("b.hash").alias("hash"))
-        of_docs = text.select("doc", "ws", F.explode(_blocks(F.col("ws"), k, n - k + 1)).alias("b")).select("doc", "ws", F.col("b.place").alias("place"), F.col("b.hash").alias("hash"))
-        if small:
-            near = of_docs.join(F.broadcast(of_items), "hash")  # the words stay in the stage that has just split them
-        else:  # only places and hashes are dealt out by hash; the words come back for what has met
-            met = of_docs.select("doc", "place", "hash").join(of_items.select("item", "item_place", "hash"), "hash").drop("hash").distinct()
-            near = met.join(text, "doc").join(bench.filter(F.col("size") == n).select("item", "item_words"), "item")
+        of_docs = raw.select("doc", F.explode(_blocks(words(F.col("raw")), k, n - k + 1)).alias("b")).select("doc", F.col("b.place").alias("place"), F.col("b.hash").alias("hash"))
+        keys = of_items.select("item", "item_place", "hash")
+        met = checkpointed(of_docs.join(F.broadcast(keys) if small else keys, "hash").select("doc", "place", "item", "item_place").distinct())
+        # Only documents with a hit are read again for their words; their ids are broadcast if they are few.
+        ids = met.select("doc").distinct()
+        hit_docs = raw.join(F.broadcast(ids) if met.count() <= broadcast_rows else ids, "doc", "left_semi").select("doc", words(F.col("raw")).alias("ws"))
+        near = met.join(hit_docs, "doc").join(bench.filter(F.col("size") == n).select("item", "item_words").distinct(), "item")
         # The windows that hold this block: they start up to n - k words before it, on both sides alike.
         shift = F.transform(
             F.filter(F.sequence(F.lit(0), F.lit(n - k)), lambda d: (F.col("place") >= d) & (F.col("item_place") >= d) & (F.slice("ws", F.greatest(F.col("place") - d, F.lit(0)) + 1, n) == F.slice("item_words", F.greatest(F.col("item_place") - d, F.lit(0)) + 1, n)) & (F.col("item_place") - d + n <= F.size("item_words"))),
@@ -60,13 +68,13 @@ def window_hits(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_cha
         part = near.select("doc", "item", F.explode(shift).alias("start")).select("doc", F.col("start").cast("long").alias("start"), F.lit(n).alias("size"), "item")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = text.select("doc", F.lit(0).cast("long").alias("start"), F.lit(0).alias("size"), F.lit(None).cast(bench.schema["item"].dataType).alias("item")).filter(F.lit(False))
+        found = raw.select("doc", F.lit(0).cast("long").alias("start"), F.lit(0).alias("size"), F.lit(None).cast(bench.schema["item"].dataType).alias("item")).filter(F.lit(False))
     return found.distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, spans, items): one row for each row of docs; spans are the merged hit stretches as (first, end) words, items the distinct items."""
-    hits = window_hits(docs, items, size, broadcast_chars, id_col, text_col, item_col, item_text_col)
+    hits = window_hits(docs, items, size, broadcast_chars, 500_000, id_col, text_col, item_col, item_text_col)
     # A document's windows by start: a window opens a stretch or lengthens the last one.
     empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
     joined = F.aggregate(
@@ -91,7 +99,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_c
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_chars: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, without those that a window hits; rows with a null id stay unless hit is known."""
-    hit = window_hits(docs, items, size, broadcast_chars, id_col, text_col, item_col, item_text_col).select("doc").distinct()
+    hit = window_hits(docs, items, size, broadcast_chars, 500_000, id_col, text_col, item_col, item_text_col).select("doc").distinct()
     return docs.join(hit, docs[f"`{id_col}`"] == hit["doc"], "left_anti")
 
 
