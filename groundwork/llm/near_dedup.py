@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     firsts = signed.join(classes, ["c1", "c2"]).filter("id = rep").dropDuplicates(["id"])
     member = firsts.select(F.explode("bands").alias("bucket"), "id")
     stars = member.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "low")
-    within = checkpointed(member.join(stars, "bucket").distinct())
+    within = checkpointed(member.join(stars, "bucket").select("bucket", "id", "low"))
     pairs = checkpointed(within.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     need = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     rows = pick(docs, id_col, text_col)
@@ -271,8 +271,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: fl
     first = components(verified(with_b, words, percent))
     # What the stars have left open: buckets whose other members are in several groups.
     labelled = within.join(first, within["id"] == first["node"], "left").select("bucket", "id", "low", F.coalesce("component", "id").alias("label"))
-    others = labelled.filter("id > low")
+    others = checkpointed(labelled.filter("id > low"))
+    # Written on its own, so that both sides of the next join are dealt out afresh and a hot bucket's members can be split.
     open_ = others.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", F.ceil(F.col("n") / (block // 2)).cast("int").alias("parts"))
+    open_ = checkpointed(open_)
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     dealt = others.join(open_, "bucket").withColumn("part", part)
     # A block holds two parts, or the bucket's only one; pairs within a part meet in every block that holds it.
