@@ -1,8 +1,9 @@
 """Layout-aware text of web pages.
 
 A tree builder turns a page's tags into balanced open and close events: it implies the tags that authors leave out (a new
-paragraph, list item, table row or cell closes the open one; what is still open is closed at the end), drops end tags that
-match nothing, and skips what is never shown. A renderer lays out all visible text: blocks on lines of their own, headings
+paragraph, list item, table row or cell closes the open one; content closes an open head; what is still open is closed at
+the end) and drops end tags that match nothing. Shown and hidden elements are in one tree, so hidden ones end by the same
+rules; only what is shown becomes events. A renderer lays out all visible text: blocks on lines of their own, headings
 and paragraphs between blank lines, list items with a bullet or number, indented by depth, preformatted text as it is, and
 table cells padded so that columns align.
 
@@ -24,26 +25,39 @@ from groundwork.llm.common import pick, text_blocks, tidy
 # Elements by their part in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())  # text up to their own end tag
-HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object svg math datalist select audio video canvas".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
+HIDDEN = frozenset("head script style template noscript title iframe noembed noframes object datalist audio video canvas".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption optgroup option".split())
 SPACED = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote ul ol table dl figure article".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Any other start tag, or text, ends an open head.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: A start tag closes these open elements, unless one of the bounds is met first.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "tr": ({"tr"}, {"table"}),
-    "tbody": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
-    "thead": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
-    "tfoot": ({"thead", "tbody", "tfoot", "tr"}, {"table"}),
-    "option": ({"option"}, {"select"}),
-    "body": ({"head"}, {"html"}),
+    "td": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "th": ({"td", "th", "caption", "colgroup"}, {"tr", "table"}),
+    "tr": ({"tr", "caption", "colgroup"}, {"table"}),
+    "tbody": ({"thead", "tbody", "tfoot", "tr", "caption", "colgroup"}, {"table"}),
+    "thead": ({"thead", "tbody", "tfoot", "tr", "caption", "colgroup"}, {"table"}),
+    "tfoot": ({"thead", "tbody", "tfoot", "tr", "caption", "colgroup"}, {"table"}),
+    "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
+    "rt": ({"rt", "rp"}, {"ruby"}),
+    "rp": ({"rt", "rp"}, {"ruby"}),
 }
 #: An end tag reaches no further out than these.
 SCOPE = frozenset({"table", "td", "th", "caption", "html", "body"})
+#: Start tags inside of these close nothing outside.
+APART = frozenset({"template", "noscript", "object"})
+# Drawings and formulas: what is never shown in them, elements whose content is text or HTML again, and HTML start tags that end them.
+FOREIGN_HIDDEN = frozenset("annotation annotation-xml clippath defs desc lineargradient marker mask metadata pattern radialgradient symbol".split())
+FOREIGN_TEXT = frozenset("annotation-xml desc foreignobject mi mn mo ms mtext".split())
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
+#: Whether an element's text is shown; GRAPHIC: a drawing's own text isn't, that of its text elements is.
+SHOWN, GRAPHIC, DARK = 0, 1, 2
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(/?)>""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
@@ -64,14 +78,32 @@ def _hidden(attrs: str) -> bool:
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("open", tag, attributes), ("text", text, ""), ("close", tag, ""): balanced, hidden subtrees left out."""
-    stack: list[str] = []  # open elements that are shown
-    dark: list[str] = []  # open elements of the hidden subtree, its root first
+    stack: list[tuple[str, int, bool]] = []  # open elements: tag, visibility, whether it belongs to a drawing or formula
+
+    def cut(size: int) -> Iterator[tuple[str, str, str]]:
+        while len(stack) > size:
+            tag, state, _ = stack.pop()
+            if state == SHOWN:
+                yield "close", tag, ""
+
+    def close_open(closes: Iterable[str], bounds: Iterable[str], every: bool = False) -> Iterator[tuple[str, str, str]]:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in bounds or stack[i][0] in APART:
+                break
+            if stack[i][0] in closes:
+                yield from cut(i)
+                if not every:
+                    break
+
     at = 0
     while at < len(page):
         m = _TAG.search(page, at)
         if m is None or m.start() > at:
-            if not dark:
-                yield "text", page[at : m.start() if m else len(page)], ""
+            text = page[at : m.start() if m else len(page)]
+            if stack and stack[-1][0] == "head" and text.strip(" \t\n\r\f"):
+                yield from cut(len(stack) - 1)
+            if not stack or stack[-1][1] == SHOWN:
+                yield "text", text, ""
             if m is None:
                 break
         at = m.end()
@@ -79,56 +111,59 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             continue
         tag, attrs = m[2].lower(), m[3]
         if m[1]:
-            if dark:
-                if tag in dark:
-                    del dark[len(dark) - 1 - dark[::-1].index(tag) :]
-            elif tag == "p" and "p" not in stack:
-                yield "open", "p", ""
-                yield "close", "p", ""
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i] == tag:
-                        while len(stack) > i:
-                            yield "close", stack.pop(), ""
-                        break
-                    if stack[i] in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                        break
+            if tag == "p" and not any(x[0] == "p" for x in stack):
+                if not stack or stack[-1][1] == SHOWN:
+                    yield "open", "p", ""
+                    yield "close", "p", ""
+                continue
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == tag or tag in HEADING and stack[i][0] in HEADING:
+                    yield from cut(i)
+                    break
+                if stack[i][0] == "template" or stack[i][0] in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
+                    break
             continue
-        if dark and tag == "body" and dark == ["head"]:
-            dark.clear()
-        raw = tag in RAW
-        if dark:
-            if tag not in VOID and not m[4] and not raw:
-                dark.append(tag)
+        if stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            yield from cut(len(stack) - 1)
+        foreign = bool(stack) and stack[-1][2] and stack[-1][0] not in FOREIGN_TEXT
+        if foreign and tag in ENDS_FOREIGN:
+            while stack and stack[-1][2] and stack[-1][0] not in FOREIGN_TEXT:
+                yield from cut(len(stack) - 1)
+            foreign = False
+        if not foreign:
+            if tag in IMPLIED:
+                yield from close_open(*IMPLIED[tag], tag in ("tbody", "thead", "tfoot", "optgroup"))
+            if tag in ENDS_P or tag in ("li", "dt", "dd"):
+                yield from close_open(("p",), SCOPE)
+            if tag in HEADING and stack and stack[-1][0] in HEADING:
+                yield from cut(len(stack) - 1)
+        outer = stack[-1][1] if stack else SHOWN
+        if outer == DARK or tag in HIDDEN or foreign and tag in FOREIGN_HIDDEN or _hidden(attrs):
+            state = DARK
+        elif tag == "svg":
+            state = GRAPHIC
+        elif outer == GRAPHIC:
+            state = SHOWN if tag in ("text", "foreignobject") else GRAPHIC
         else:
-            closes, bounds = IMPLIED.get(tag, ((), ()))
-            if tag in ENDS_P:
-                closes, bounds = {"p"}, SCOPE
-            if closes:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i] in bounds:
-                        break
-                    if stack[i] in closes:
-                        while len(stack) > i:
-                            yield "close", stack.pop(), ""
-                        if tag not in ("tbody", "thead", "tfoot"):
-                            break
-            if tag in HIDDEN or _hidden(attrs):
-                if tag not in VOID and not m[4] and not raw:
-                    dark.append(tag)
-            elif tag in VOID or (m[4] and tag not in BLOCK):
-                yield "open", tag, attrs
-                yield "close", tag, ""
-            elif not raw:
-                stack.append(tag)
-                yield "open", tag, attrs
-        if raw:
+            state = SHOWN
+        if foreign and state == SHOWN and tag == "text":
+            yield "text", " ", ""  # texts of a drawing have places of their own
+        if m[4] and foreign:
+            continue
+        if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            if not dark and tag not in HIDDEN and not _hidden(attrs):
+            if state == SHOWN:
                 yield "text", page[at : end.start() if end else len(page)], ""
             at = end.end() if end else len(page)
-    while stack:
-        yield "close", stack.pop(), ""
+        elif tag in VOID or (m[4] and tag not in BLOCK):
+            if state == SHOWN:
+                yield "open", tag, attrs
+                yield "close", tag, ""
+        else:
+            stack.append((tag, state, foreign or tag in ("svg", "math")))
+            if state == SHOWN:
+                yield "open", tag, attrs
+    yield from cut(0)
 
 
 class _Page:

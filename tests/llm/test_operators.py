@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
@@ -277,6 +278,34 @@ def test_html_layout():
     assert html_text.visible_text(page) == "A & B\n\none\n\ntwo\nthree bold\n\n- a\n- b\n  3. c\n  4. d\n\nk          value\nlong cell  v\n\nx\n  y\n\nend"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<html><head><title>T</title>Hello", "Hello"),
+        ("<html><head><meta charset=x><template>no</template><div>a</div>b", "a\nb"),
+        ("<ul><li hidden>a<li>b</ul><p>rest", "- b\n\nrest"),
+        ("<p style=display:none>no<p>yes<div>x</div>", "yes\n\nx"),
+        ("<p hidden>no<li>yes", "- yes"),
+        ("<div><span hidden>no</div>yes", "yes"),
+        ("<table><tr><td hidden>a<td>b<tr hidden><td>c<tr><td>d</table>rest", "b\nd\n\nrest"),
+        ("<table><caption hidden>a<thead hidden><tr><th>h<tbody><tr><td>b</table>rest", "b\n\nrest"),
+        ("<dl><dt>k<dd hidden>a<dt>l<dd>b</dl>rest", "k\nl\nb\n\nrest"),
+        ("<select><option hidden>a<option>b<optgroup hidden><option>c<optgroup><option>d</select>rest", "b\nd\nrest"),
+        ("<div><datalist><option>a</div>rest", "rest"),
+        ("<h1 hidden>a<h2>b</h2>c", "b\n\nc"),
+        ("<div hidden><p>a<div>b</div></div>rest<ul><li><noscript><li>x</noscript>y</ul>", "rest\n\n- y"),
+        ("<template><div>a</template>rest", "rest"),
+        ("<p>a <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>\\x</annotation></semantics></math> b", "a x=2 b"),
+        ("<p>a<svg><title>no</title><style/><defs><text>no</text></defs>no<g><text x=1>b</text><text>c</text></g></svg>d", "a b cd"),
+        ("<svg><path d=''><text hidden>no</text><p>yes", "yes"),
+        ("<svg><foreignObject><p>a<p hidden>b<p>c</foreignObject></svg>d", "a\n\nc\n\nd"),
+    ],
+)
+def test_html_hidden_elements_end_as_shown_ones(page, want):
+    assert html_text.visible_text(page) == want
+
+
 def test_html_keeps_all_visible_words(spark):
     import re
 
