@@ -15,11 +15,17 @@ def as_of() -> Column:
     return F.lit("2024-02-01 00:00:00").cast("timestamp")
 
 
-def _outputs(spark: SparkSession, d: str) -> DataFrame:
-    """A model's output for each document, made from its first words: every broken form occurs."""
-    words = F.regexp_replace(F.substring("text", 1, 60), r'[\\"\x00-\x1f]', " ")
-    claim = F.concat(F.lit('{"text": "'), words, F.lit('", "type": "fact", "evidence": [{"type": "source", "description": "seen"}], "confidence": "0.'), (F.col("doc_id") % 90 + 10).cast("string"), F.lit('"}'))
-    body = F.concat(F.lit('{"title": "'), F.substring(words, 1, 20), F.lit('", "summary": "s", "analysis_type": "fact", "claims": ['), claim, F.lit('], "topics": ["'), F.col("source"), F.lit('"], "entities": [{"name": "'), F.col("lang"), F.lit('", "type": "other"}], "overall_confidence": 0.5}'))
+def _quoted(text: Column) -> Column:
+    """A JSON string, escaped and in its quotes."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _outputs(spark: SparkSession, d: str, words: Column | None = None) -> DataFrame:
+    """A model's output for each document, made from its whole text, or from words: every broken form occurs."""
+    said = F.col("text") if words is None else words
+    claim = F.concat(F.lit('{"text": '), _quoted(said), F.lit(', "type": "fact", "evidence": [{"type": "source", "description": "seen"}], "confidence": "0.'), (F.col("doc_id") % 90 + 10).cast("string"), F.lit('"}'))
+    body = F.concat(F.lit('{"title": '), _quoted(said), F.lit(', "summary": "s", "analysis_type": "fact", "claims": ['), claim, F.lit('], "topics": ['), _quoted(F.col("source")), F.lit('], "entities": [{"name": '), _quoted(F.col("lang")), F.lit(', "type": "other"}], "overall_confidence": 0.5}'))
     k = F.col("doc_id") % 8
     broken = (
         F.when(k == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
@@ -42,11 +48,20 @@ def k7_contract(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("valid", "summary").agg(F.count("*").alias("n"))
 
 
-def g3_unnest(spark: SparkSession, d: str) -> DataFrame:
-    good = analyses.validate(repair.repair_outputs(_outputs(spark, d))).filter("valid")
+def _claims(outputs: DataFrame) -> DataFrame:
+    good = analyses.validate(repair.repair_outputs(outputs)).filter("valid")
     return analyses.unnested(good)["claims"].select("content_id", "ord", "text", "type", "confidence")
 
 
+def g3_unnest(spark: SparkSession, d: str) -> DataFrame:
+    """Claims of the first 60 code points, as its SQL has them; g3_unnest_whole has those of whole texts."""
+    return _claims(_outputs(spark, d, F.regexp_replace(F.substring("text", 1, 60), r'[\\"\x00-\x1f]', " ")))
+
+
+def g3_unnest_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _claims(_outputs(spark, d))
+
+
 def k4_prompts(spark: SparkSession, d: str) -> DataFrame:
     p = chunks.prepare(table(spark, d, "documents").select(F.col("doc_id").alias("content_id"), F.col("text").alias("raw_text")))
     made = analyses.analysis_prompts(chunks.chunk_table(p, "content_id"))
@@ -97,7 +112,7 @@ def w4_failed_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Note "), (F.col("doc_id") % 50).cast("string")).alias("title"), F.substring("text", 1, 80).alias("summary"), F.lit("fact").alias("analysis_type"), F.array("source").alias("topics"), F.col("text").alias("raw_text"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("created_at"), F.lit(0.51234).alias("overall_confidence"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Note "), (F.col("doc_id") % 50).cast("string")).alias("title"), F.col("text").alias("summary"), F.lit("fact").alias("analysis_type"), F.array("source").alias("topics"), F.col("text").alias("raw_text"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("created_at"), F.lit(0.51234).alias("overall_confidence"))
     return notes.render_notes(rows)
 
 
@@ -130,8 +145,7 @@ def s5_asset_types(spark: SparkSession, d: str) -> DataFrame:
 
 def s3_page_content(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "pages")
-    said = F.regexp_replace(F.substring("html", 60, 40), r'[\\"\x00-\x1f]', " ")
-    detail = F.concat(F.lit('{"status_code": '), (F.col("page_id") % 2).cast("string"), F.lit(', "aweme_detail": {"aweme_id": "'), F.col("page_id").cast("string"), F.lit('", "desc": "'), said, F.lit('", "author": {"nickname": "n", "sec_uid": "u"}}}'))
+    detail = F.concat(F.lit('{"status_code": '), (F.col("page_id") % 2).cast("string"), F.lit(', "aweme_detail": {"aweme_id": "'), F.col("page_id").cast("string"), F.lit('", "desc": '), _quoted(F.col("html")), F.lit(', "author": {"nickname": "n", "sec_uid": "u"}}}'))
     html = F.when(F.col("page_id") % 4 == 1, F.concat("html", F.lit('<script>window._ROUTER_DATA = {"a": [{"aweme_id": "7", "desc": "x", "images": [1]}]}</script>'))).otherwise(F.col("html"))
     out = pages.from_pages(p.select(F.col("page_id").cast("string").alias("aweme_id"), "url", detail.alias("detail_json"), html.alias("html")))
     return out.select("aweme_id", "source_id", "author_id", "media_type", "miss_reason")
@@ -144,7 +158,7 @@ def a8_summary(spark: SparkSession, d: str) -> DataFrame:
     return jobs.result_summary(c, claims, links, links.filter("entity_id < 5"), h)
 
 
-QUERIES = {f.__name__: f for f in (k6_repair, k7_contract, g3_unnest, k4_prompts, k8_retry_rounds, k16_batch, w4_failed_steps, k12_notes, w5_note_paths, k17_note_index, s6_asset_gate, s5_asset_types, s3_page_content, a8_summary)}
+QUERIES = {f.__name__: f for f in (k6_repair, k7_contract, g3_unnest, g3_unnest_whole, k4_prompts, k8_retry_rounds, k16_batch, w4_failed_steps, k12_notes, w5_note_paths, k17_note_index, s6_asset_gate, s5_asset_types, s3_page_content, a8_summary)}
 
 _WORDS = r"regexp_replace(left(text, 60), '[\\\x22\x00-\x1f]', ' ', 'g')"
 _NORM = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\s+', ' ', 'g'))"
@@ -153,6 +167,7 @@ ORACLE_SQL = {
     "k6_repair": "SELECT CASE doc_id % 8 WHEN 1 THEN 'stripped_code_fence' WHEN 2 THEN 'extracted_json_object' WHEN 3 THEN 'inserted_missing_commas' WHEN 4 THEN 'removed_trailing_commas' WHEN 6 THEN 'failed' ELSE 'clean' END AS repair, count(*) AS n FROM documents GROUP BY 1",
     "k7_contract": "SELECT doc_id % 8 NOT IN (5, 6) AS valid, CASE doc_id % 8 WHEN 5 THEN 'enum:analysis_type' WHEN 6 THEN 'parse' ELSE '' END AS summary, count(*) AS n FROM documents GROUP BY 1, 2",
     "g3_unnest": f"SELECT CAST(doc_id AS VARCHAR) AS content_id, 0 AS ord, {_WORDS} AS text, 'fact' AS type, CAST('0.' || (doc_id % 90 + 10) AS DOUBLE) AS confidence FROM documents WHERE doc_id % 8 NOT IN (5, 6)",
+    "g3_unnest_whole": "SELECT CAST(doc_id AS VARCHAR) AS content_id, 0 AS ord, text, 'fact' AS type, CAST('0.' || (doc_id % 90 + 10) AS DOUBLE) AS confidence FROM documents WHERE doc_id % 8 NOT IN (5, 6)",
     "k8_retry_rounds": "SELECT 'analysis' AS phase, a AS attempt, count(*) AS n, count(*) FILTER (WHERE k = 6 OR k = 5 AND a = 1) AS n_failed, count(*) FILTER (WHERE k BETWEEN 1 AND 4) AS n_repaired FROM (SELECT doc_id % 8 AS k FROM documents), (SELECT unnest([1, 2, 3]) AS a) WHERE a = 1 OR k = 6 OR (k = 5 AND a = 2) GROUP BY a",
     "k16_batch": f"WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, {_NORM}) AS f FROM documents) SELECT doc_id, CASE WHEN f <> doc_id THEN 'duplicate' WHEN doc_id % 8 = 6 THEN 'failed' ELSE 'completed' END AS outcome, CASE WHEN f <> doc_id THEN 'content_hash' END AS deduplicated_by, CASE WHEN f = doc_id AND doc_id % 8 = 6 THEN 'LLM_INVALID_OUTPUT' END AS error_type FROM h",
     "w4_failed_steps": "SELECT o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 6 WHEN 'P' THEN 3 ELSE 13 END AS n_steps, CASE WHEN o_orderstatus = 'F' THEN 'analyze' END AS failed_step FROM orders",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -79,11 +79,20 @@ def p12_clean(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "c.text", "c.newline_normalized", "c.duplicate_lines_removed", "c.blank_lines_collapsed")
 
 
-def p13_budget(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 50).alias("raw_text"), F.col("text").alias("transcript"), F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).alias("ocr_text"))
+def _budgeted(spark: SparkSession, d: str, raw_text: Column) -> DataFrame:
+    r = table(spark, d, "documents").select("doc_id", raw_text.alias("raw_text"), F.col("text").alias("transcript"), F.when(F.col("doc_id") % 2 == 0, F.reverse("text")).alias("ocr_text"))
     return chunks.prepare(r, 3000, 500, 3200).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "transcript_chars", "ocr_chars", "transcript_truncated", "ocr_truncated", "total_truncated")
 
 
+def p13_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Over 50 code points of raw text, as its SQL has them; p13_budget_whole takes whole texts."""
+    return _budgeted(spark, d, F.substring("text", 1, 50))
+
+
+def p13_budget_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _budgeted(spark, d, F.col("text"))
+
+
 def a11_cleaning_totals(spark: SparkSession, d: str) -> DataFrame:
     p = chunks.prepare(table(spark, d, "documents").select("doc_id", F.col("text").alias("raw_text")))
     return p.agg(F.count("*").alias("n"), F.sum("duplicate_lines_removed").alias("duplicate_lines"), F.sum("blank_lines_collapsed").alias("blank_lines"), F.count_if("total_truncated").alias("n_truncated"), F.sum("raw_chars").alias("chars"))
@@ -132,17 +141,31 @@ def p10_first_url(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", urls.first_url(F.concat(F.lit("见 "), F.col("url"), F.lit("。）后面"))).alias("found"), urls.first_url(F.substring("html", 1, 20)).alias("none"))
 
 
+def p10_first_url_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The first URL in each page's whole html."""
+    return table(spark, d, "pages").select("page_id", urls.first_url(F.col("html")).alias("found"))
+
+
 def p11_platform_id(spark: SparkSession, d: str) -> DataFrame:
     u = F.concat(F.lit("https://"), F.when(F.col("page_id") % 3 == 0, "www.douyin.com").when(F.col("page_id") % 3 == 1, "fakedouyin.com").otherwise("iesdouyin.com"), F.when(F.col("page_id") % 2 == 0, "/video/").otherwise("/x?a=1&modal_id="), (F.col("page_id") + 99900).cast("string"))
     p = table(spark, d, "pages").select("page_id", u.alias("u"))
     return p.select("page_id", urls.platform_id(F.col("u")).alias("platform_id"), urls.platform_of(urls.url_parts(F.col("u"))["host"]).alias("platform"), urls.canonical_url(F.col("u")).alias("canonical"))
 
 
-def p19_file_names(spark: SparkSession, d: str) -> DataFrame:
-    t = F.when(F.col("doc_id") % 10 == 0, F.lit(" ..:?")).when(F.col("doc_id") % 10 == 1, F.lit("con.txt")).otherwise(F.concat(F.lit(' a/b: "'), F.substring("text", 1, 100)))
+def _named(spark: SparkSession, d: str, title: Column) -> DataFrame:
+    t = F.when(F.col("doc_id") % 10 == 0, F.lit(" ..:?")).when(F.col("doc_id") % 10 == 1, F.lit("con.txt")).otherwise(F.concat(F.lit(' a/b: "'), title))
     return table(spark, d, "documents").select("doc_id", names.file_name(t, F.concat(F.lit("id-000-"), F.col("doc_id").cast("string"))).alias("name"))
 
 
+def p19_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Over 100 code points of text, as its SQL has them; p19_file_names_whole takes whole texts."""
+    return _named(spark, d, F.substring("text", 1, 100))
+
+
+def p19_file_names_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d, F.col("text"))
+
+
 def p20_fences(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("x "), F.repeat(F.lit("`"), (F.col("doc_id") % 6).cast("int")), F.lit(" y ` \n "))
     return table(spark, d, "documents").select("doc_id", names.fenced(body).alias("block"))
@@ -168,7 +191,7 @@ def p26_paths(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", names.path_inside(F.col("path")).alias("inside"))
 
 
-QUERIES = {f.__name__: f for f in (p1_normalize, p3_fold, k1_fingerprints, k2_corpus_dedup, k2_event_identity, k2_against_stored, d13_migration, a12_migration_report, s1_strict_source, s2_manual, p12_clean, p13_budget, a11_cleaning_totals, w6_adjacent_lines, p16_sentences, k3_chunks, g2_numbers, g2_arabic, p8_url_verdict, p9_allow_list, p10_first_url, p11_platform_id, p19_file_names, p20_fences, p21_redact, p22_mask_columns, p24_times, p26_paths)}
+QUERIES = {f.__name__: f for f in (p1_normalize, p3_fold, k1_fingerprints, k2_corpus_dedup, k2_event_identity, k2_against_stored, d13_migration, a12_migration_report, s1_strict_source, s2_manual, p12_clean, p13_budget, p13_budget_whole, a11_cleaning_totals, w6_adjacent_lines, p16_sentences, k3_chunks, g2_numbers, g2_arabic, p8_url_verdict, p9_allow_list, p10_first_url, p10_first_url_whole, p11_platform_id, p19_file_names, p19_file_names_whole, p20_fences, p21_redact, p22_mask_columns, p24_times, p26_paths)}
 
 _CLEAN = r"""
 l AS (SELECT doc_id, string_split(replace(replace({text}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM {src}),
@@ -205,6 +228,7 @@ v AS (SELECT *, CASE WHEN s = '' THEN 'INVALID_URL' WHEN s NOT IN ('http', 'http
 SELECT page_id, verdict, CASE WHEN verdict IS NULL THEN h END AS host, CASE WHEN verdict IS NULL THEN path END AS path, CASE WHEN verdict IS NULL THEN s || '://' || h || path || CASE WHEN qs <> '' THEN '?' || qs ELSE '' END END AS normalized FROM v""",
     "p9_allow_list": "SELECT page_id, h AS host, h IN ('example.com', 'example.net') OR h LIKE '%.example.com' OR h LIKE '%.example.net' AS allowed FROM (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS h FROM pages)",
     "p10_first_url": r"SELECT page_id, nullif(regexp_replace(regexp_extract('见 ' || url || '。）后面', 'https?://[A-Za-z0-9._~:/?#\[\]@!$&''()*+,;=%-]+'), '[.,;''\x22)\]]+$', ''), '') AS found, CAST(NULL AS VARCHAR) AS none FROM pages",
+    "p10_first_url_whole": r"SELECT page_id, nullif(regexp_replace(regexp_extract(html, 'https?://[A-Za-z0-9._~:/?#\[\]@!$&''()*+,;=%-]+'), '[.,;''\x22)\]]+$', ''), '') AS found FROM pages",
     "p11_platform_id": "SELECT page_id, CASE WHEN page_id + 99900 >= 100000 THEN CAST(page_id + 99900 AS VARCHAR) END AS platform_id, CASE WHEN page_id % 3 <> 1 THEN 'douyin' END AS platform, CASE WHEN page_id % 3 <> 1 AND page_id + 99900 >= 100000 THEN 'https://www.douyin.com/video/' || (page_id + 99900) END AS canonical FROM pages",
     "p19_file_names": r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN ' ..:?' WHEN doc_id % 10 = 1 THEN 'con.txt' ELSE ' a/b: "' || left(text, 100) END AS t FROM documents),
 a AS (SELECT doc_id, trim(trim(trim(regexp_replace(regexp_replace(t, '[\\/:*?"<>|\x00-\x1f\x7f]', '', 'g'), '\s+', ' ', 'g')), '.')) AS t FROM t),
@@ -214,3 +238,5 @@ SELECT doc_id, CASE WHEN upper(split_part(t, '.', 1)) = 'CON' THEN '_' || t ELSE
     "p24_times": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS written, date_trunc('second', ts) <= TIMESTAMP '2024-01-14 23:45:00' AS stale FROM events",
     "p26_paths": "SELECT page_id, page_id % 4 = 2 AS inside FROM pages",
 }
+ORACLE_SQL["p13_budget_whole"] = ORACLE_SQL["p13_budget"].replace("nullif(left(text, 50), '')", "nullif(text, '')")
+ORACLE_SQL["p19_file_names_whole"] = ORACLE_SQL["p19_file_names"].replace("left(text, 100)", "text")

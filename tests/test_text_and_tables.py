@@ -291,3 +291,18 @@ def test_entry_and_oracles(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["doc_id", "outcome", "duplicate_of", "deduplicated_by"]
+
+
+def test_model_outputs_hold_whole_texts(spark, tmp_path):
+    from groundwork.plans import runs, text
+
+    said = 'A "quote", a \\ backslash,\n## a line\tand \x01 "fact", "claims" ' + "long " * 400 + "end"
+    rows = [(i, "web", "en", said + str(i)) for i in range(16)]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = str(tmp_path)
+    got = {r.content_id: r.text for r in runs.g3_unnest_whole(spark, d).collect()}
+    assert got == {str(i): said + str(i) for i in range(16) if i % 8 not in (5, 6)}
+    assert all(said[-3:] in r.raw_output for r in runs._outputs(spark, d).collect() if int(r.content_id) % 8 != 6)
+    assert {r.repair: r.n for r in runs.k6_repair(spark, d).collect()} == {"clean": 6, "stripped_code_fence": 2, "extracted_json_object": 2, "inserted_missing_commas": 2, "removed_trailing_commas": 2, "failed": 2}
+    assert all(r.markdown.count(f"end{r.content_id}\n") == 2 for r in runs._notes(spark, d).collect())  # as summary and as text
+    assert text.p13_budget_whole(spark, d).filter("total_truncated").count() == 16
