@@ -48,7 +48,7 @@ def signatures(text: Column, chain: int = 2) -> Column:
     glued = F.trim(F.regexp_replace(flat, f"(?<= )({_one_of(ANCHORS)}) ", "$1_"))
 
     def spots(ws: Column) -> Column:
-        bare = lambda w: F.substring_index(w, "_", -1)
+        bare = lambda w: F.nullif(F.substring_index(w, "_", -1), F.lit(""))  # noqa: E731  common words at the end have no content word
         chained = lambda w, i: F.when(F.contains(w, F.lit("_")) & ~F.endswith(w, F.lit("_")), F.hash(w, *(bare(F.get(ws, i + k)) for k in range(1, chain))))
         return F.array_compact(F.transform(ws, chained))
 

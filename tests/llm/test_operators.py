@@ -173,6 +173,45 @@ def test_spot_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def test_spot_query_against_brute_force(spark):
+    import re
+
+    from groundwork.llm.q_spots import op5_spot_signatures
+
+    anchors = set(spotsigs.ANCHORS)
+
+    def brute(text):
+        words = re.findall(r"[^\W_]+", text.lower())
+        content = [i for i, w in enumerate(words) if w not in anchors]
+        found = set()
+        for n, i in enumerate(content):
+            run = content[n - 1] + 1 if n else 0
+            if run < i:
+                found.add(("_".join(words[run : i + 1]), words[content[n + 1]] if n + 1 < len(content) else None))
+        end = content[-1] + 1 if content else 0
+        whole = [*words[:end], "".join(w + "_" for w in words[end:])] if end < len(words) else words
+        return found or {(" ".join(whole), None)}  # a text without a spot counts as a whole, common words at its end glued
+
+    texts = {r.doc_id: r.text for r in documents(spark).collect()}
+    down = sorted(texts, reverse=True)
+    edited = {a: texts[a][: len(texts[a]) - len(texts[a]) // 2] + texts[b][: len(texts[a]) // 2] for a, b in zip(down, [*down[1:], down[0]])}
+    spots = {("own", i): brute(t) for i, t in texts.items()} | {("edited", i): brute(t) for i, t in edited.items()}
+    pairs = sorted(set().union(*spots.values()), key=repr)
+    hashed = spark.createDataFrame(pairs, "w string, v string").select("w", "v", F.hash("w", "v").alias("h")).collect()
+    code = {(r.w, r.v): r.h for r in hashed}
+    sets = {k: {code[x] for x in v} for k, v in spots.items()}
+    text = lambda s: " ".join(str(h) for h in sorted(s))
+    like = lambda a, b: len(a & b) / len(a | b)
+    got = op5_spot_signatures(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    after = dict(zip(down, [*down[1:], down[0]]))
+    for r in got:
+        own, other = sets["own", r.doc_id], sets["edited", r.doc_id]
+        assert r.n_chars == len(texts[r.doc_id]) and r.edited_sha256 == hashlib.sha256(edited[r.doc_id].encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (text(own), text(other))
+        assert r.near_edited == pytest.approx(like(own, other)) and r.near_next == pytest.approx(like(own, sets["own", after[r.doc_id]]))
+
+
 def test_next_row_over_ranges(spark):
     rnd = random.Random(4)
     ids = rnd.sample(range(10**6), 300) + [5 * 10**8]
