@@ -187,7 +187,9 @@ def train_on(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", t
 
 
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 3.0, rounds: int = 6, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language can be told; those that are "und" go. No shuffle."""
+    """The rows of docs, all columns, whose language can be told; those that are "und" go. No shuffle.
+
+    With a learned language this is a letter filter: only texts that are null or have no letter are "und"."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
