@@ -92,7 +92,7 @@ def test_decontamination(spark, docs):
     kept = decontam.remove_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.filter("doc_id = 3").isEmpty()
     assert decontam.contamination(docs, items.limit(0)).filter("n_hit > 0").isEmpty()
-    far = decontam.contamination(docs, items, broadcast_chars=0)  # beyond the bound: a shuffle join, the same rows
+    far = decontam.contamination(docs, items, broadcast_bytes=0)  # beyond the bound: a shuffle join, the same rows
     assert sorted(map(str, far.collect())) == sorted(str(r) for rows in got.values() for r in rows)
 
 
