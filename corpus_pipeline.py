@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm.bpe import encode_decode, read_ranks
-from groundwork.llm.common import checkpointed, table
+from groundwork.llm.common import shared_folder, table
 from groundwork.llm.decontam import remove_contaminated
 from groundwork.llm.langid import keep_identified, train_on
 from groundwork.llm.near_dedup import near_duplicates
@@ -17,7 +19,8 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told (null texts, texts without a letter) go."""
+    """Documents in none of the languages that the corpus' labels teach go: those that a background of evenly likely trigrams
+    explains better than any mixture of the languages, null texts, and texts without a letter. Null ids and langs don't matter."""
     return keep_identified(docs, train_on(docs))
 
 
@@ -56,7 +59,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+    """Each stage's rows are written as Parquet below the shared folder and read again by the next one."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.operators.lineage import checkpointed
+from groundwork.operators.lineage import checkpointed, shared_folder
 
-__all__ = ["BLOCK_BYTES", "checkpointed", "pick", "table", "text_blocks", "tidy"]
+__all__ = ["BLOCK_BYTES", "checkpointed", "parts_of", "pick", "shared_folder", "table", "text_blocks", "tidy"]
 
 #: Bytes of text that one step inside a task holds at a time.
 BLOCK_BYTES = 4 << 20
@@ -44,6 +44,19 @@ def text_blocks(batches: Iterable[pa.RecordBatch], max_bytes: int = BLOCK_BYTES)
             yield ids.slice(first), texts.slice(first).to_pylist()
 
 
+def parts_of(batches: Iterable[pa.RecordBatch], text_col: str, max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts Arrow batches with a text column into runs of rows with at most max_bytes of text, or one row."""
+    for batch in batches:
+        first = size = 0
+        for i, n in enumerate(pc.binary_length(batch.column(batch.schema.get_field_index(text_col))).to_pylist()):
+            if size and size + (n or 0) > max_bytes:
+                yield batch.slice(first, i - first)
+                first, size = i, 0
+            size += n or 0
+        if first < batch.num_rows:
+            yield batch.slice(first)
+
+
 def tidy(run: Callable) -> Callable:
     """A function for mapInArrow that gives freed memory back to the system when its task ends: one Python worker serves many
     tasks and stages, and what one stage has left in the allocators would count against the next one's."""

@@ -5,13 +5,20 @@ each word comes from one language, with proportions that expectation-maximisatio
 The languages of a document are those that maximise the likelihood less a penalty for each language; the prediction is
 the one with the largest proportion, and its score is that proportion.
 
+A document may also be in none of the languages. The empty set of languages competes as a background that gives every
+trigram the same log-likelihood, `strictness` of the way from what the languages reach on themselves (the mean
+log-likelihood of their own trigrams, the lowest of all languages) down to that of a uniform distribution. A document fits
+unless the background explains it better than the mixture by more than `evidence` nats, so short texts are never rejected
+on a few odd words. identify() tells that as fits; keep_identified() lets documents that don't fit go.
+
 Training counts come from at most sample_docs documents of each language, those with the smallest hashes; the model is a
 table of languages x buckets. Prediction reads whole texts and needs no shuffle. A text that is null or has no letter
-is "und" with score 0. Without training rows every text is "und".
+is "und" with score 0. Without training rows every text is "und". Repeated rows repeat their results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwork.llm.bpe import Numbered
-from groundwork.llm.common import pick, text_blocks, tidy
+from groundwork.llm.common import parts_of, pick, text_blocks, tidy
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
@@ -80,8 +87,10 @@ def train(rows: DataFrame, sample_docs: int = 2000) -> tuple[list[str], np.ndarr
 
 
 class MixtureModel:
-    def __init__(self, langs: list[str], table: np.ndarray, penalty: float, rounds: int):
-        self.langs, self.table, self.penalty, self.rounds = langs, table, penalty, rounds
+    def __init__(self, langs: list[str], table: np.ndarray, penalty: float, rounds: int, strictness: float = 0.6, evidence: float = 60.0):
+        self.langs, self.table, self.penalty, self.rounds, self.evidence = langs, table, penalty, rounds, evidence
+        reach = float((np.exp(table.astype(np.float64)) * table).sum(0).min()) if langs else 0.0
+        self.background = (1 - strictness) * reach - strictness * math.log(BUCKETS)
         self.forget()
 
     def forget(self) -> None:
@@ -103,17 +112,18 @@ class MixtureModel:
         total = np.maximum((share * parts[doc]).sum(1), 1e-30)
         return parts, np.add.reduceat(np.log(total, dtype=np.float64) + peak, start)
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, float]]]]:
-        """For each text: language, its proportion, and the proportions of the selected languages."""
-        out: list = [(UNDETERMINED, 0.0, [])] * len(texts)
+    def predict(self, texts: list[str]) -> list[tuple[str, float, list[tuple[str, float]], bool]]:
+        """For each text: language, its proportion, the proportions of the selected languages, and whether the text fits them."""
+        out: list = [(UNDETERMINED, 0.0, [], False)] * len(texts)
         if len(self.words) > REMEMBERED:
             self.forget()
-        known, kept, places = len(self.words), [], []
+        known, kept, places, grams = len(self.words), [], [], []
         for i, text in enumerate(texts):
             words = words_of(text) if text and self.langs and has_letter(text) else ()
             if words:
                 kept.append(i)
                 places.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
+                grams.append(sum(map(len, words)))
         if not kept:
             return out
         if len(self.words) > known:
@@ -125,6 +135,7 @@ class MixtureModel:
         share = np.exp(scores - peak[:, None])
         single = np.add.reduceat(scores, start, axis=0, dtype=np.float64)
         full, likely = self._mixture(share, peak, start, size, np.ones((len(size), len(self.langs)), bool))
+        fits = np.array(grams) * self.background <= likely + self.evidence
         order = np.argsort(-full, axis=1, kind="stable")
         cost = self.penalty * np.log(size + 1.0)
         best = single.argmax(1)
@@ -149,29 +160,29 @@ class MixtureModel:
             score = float(parts[n, top])
             if (parts[n] > 0).sum() == 1:  # one language: how surely its words are that language's, by the full mixture
                 score = float(full[n, top])
-            out[i] = (self.langs[top], min(1.0, max(0.0, score)), [(self.langs[j], float(parts[n, j])) for j in np.flatnonzero(parts[n] > 0)])
+            out[i] = (self.langs[top], min(1.0, max(0.0, score)), [(self.langs[j], float(parts[n, j])) for j in np.flatnonzero(parts[n] > 0)], bool(fits[n]))
         return out
 
 
 _MIX = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 3.0, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score, languages): languages an array of (lang, share), the selected set."""
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 3.0, rounds: int = 6, strictness: float = 0.6, evidence: float = 60.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score, languages, fits): languages an array of (lang, share), the selected set."""
     rows = pick(docs, id_col, text_col, binary=False)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x BUCKETS numbers
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture = MixtureModel(*shared.value, penalty, rounds)
+        mixture = MixtureModel(*shared.value, penalty, rounds, strictness, evidence)
         for ids, texts in text_blocks(batches):
             found = mixture.predict(texts)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([[{"lang": a, "share": b} for a, b in x[2]] for x in found], _MIX)],
-                names=["id", "lang_pred", "score", "languages"],
+                [ids, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([[{"lang": a, "share": b} for a, b in x[2]] for x in found], _MIX), pa.array([x[3] for x in found], pa.bool_())],
+                names=["id", "lang_pred", "score", "languages", "fits"],
             )
 
     mix = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", mix)])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", mix), T.StructField("fits", T.BooleanType())])
     return rows.mapInArrow(tidy(run), schema).withColumnRenamed("id", id_col)
 
 
@@ -186,18 +197,14 @@ def train_on(docs: DataFrame, sample_docs: int = 2000, id_col: str = "doc_id", t
     return train(labelled.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")), sample_docs)
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 3.0, rounds: int = 6, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose language can be told; those that are "und" go. No shuffle.
-
-    With a learned language this is a letter filter: only texts that are null or have no letter are "und"."""
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], penalty: float = 3.0, rounds: int = 6, strictness: float = 0.6, evidence: float = 60.0, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in one or more of the model's languages; texts that are "und" or don't fit go. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixture = MixtureModel(*shared.value, penalty, rounds)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            for at in range(0, len(texts), 1000):
-                found = mixture.predict(texts[at : at + 1000])
-                yield batch.slice(at, 1000).filter(pa.array([x[0] != UNDETERMINED for x in found]))
+        mixture = MixtureModel(*shared.value, penalty, rounds, strictness, evidence)
+        for part in parts_of(batches, text_col):
+            found = mixture.predict(part.column(part.schema.get_field_index(text_col)).to_pylist())
+            yield part.filter(pa.array([x[0] != UNDETERMINED and x[3] for x in found], pa.bool_()))
 
     return docs.mapInArrow(tidy(run), docs.schema)

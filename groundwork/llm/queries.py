@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 MODULES = ("q_tokens", "q_scans", "q_langid", "q_decontam", "q_near", "q_spots", "q_chat", "q_html")
 
 
+#: Imported with this module, so that a library that one of them needs is missed here.
+_LOADED = [importlib.import_module(f"groundwork.llm.{m}") for m in MODULES]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in importlib.import_module(f"groundwork.llm.{m}").QUERIES.items()}
+    return {k: f for m in _LOADED for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in importlib.import_module(f"groundwork.llm.{m}").ORACLE_SQL.items()}
+    return {k: s for m in _LOADED for k, s in m.ORACLE_SQL.items()}
