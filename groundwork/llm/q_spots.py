@@ -11,7 +11,7 @@ from groundwork.llm.spotsigs import fingerprint, jaccard, signatures, with_next
 
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("sigs", signatures(F.col("text"))), "doc_id", ["text", "sigs"])
+    rows = with_next(docs, "doc_id", ["text"], {"sigs": signatures(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), half))

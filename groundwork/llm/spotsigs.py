@@ -70,54 +70,61 @@ def fingerprint(signatures: Column) -> Column:
     return F.array_join(signatures.cast("array<string>"), " ")
 
 
-def with_next(rows: DataFrame, order_col: str, carried: list[str], parts: int | None = None, cells: int = 256) -> DataFrame:
+def with_next(rows: DataFrame, order_col: str, carried: list[str], derived: dict[str, Column] | None = None, parts: int | None = None, cells: int = 256, part_bytes: int = 32 << 20) -> DataFrame:
     """Each row with the carried columns of the next row in descending order, as next_*; the first row follows the last.
 
+    order_col is a number. Rows that share one follow each other by their carried columns, smallest first. derived columns
+    are computed once for each row, after the rows are dealt out, and carried too. Rows without an order have no next row.
+
     Rows are dealt by ranges of the order column: at most `cells` ranges between approximate quantiles, each cut evenly
-    until there are about `parts` in all. A range also gets a copy of the first row of the next range that has rows, so
-    one window over ranges is enough and nothing but a row for each range is put in order as a whole.
+    until there is one for every part_bytes of the carried columns, or `parts` of them. A range also gets a copy of the
+    first row of the next range that has rows, so one window over ranges is enough and nothing but a row for each range is
+    put in order as a whole.
     """
-    spark = rows.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    derived = derived or {}
     order = F.col(order_col)
     known = rows.filter(order.isNotNull())
-    cuts = known.agg(F.percentile_approx(order_col, [i / cells for i in range(1, cells)], 10_000).alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))  # at most `cells` numbers
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in carried if dict(rows.dtypes)[c] == "string"), F.lit(16))
+    facts = known.agg(F.percentile_approx(order_col, [i / cells for i in range(1, cells)], 10_000).alias("cuts"), F.sum(size).alias("bytes")).first()
+    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((facts["bytes"] or 0) / part_bytes))
+    cuts = sorted(set(facts["cuts"] or []))  # at most `cells` numbers
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     cell = F.size(F.filter(bounds, lambda c: c <= order))
     share = max(1, math.ceil(parts / (len(cuts) + 1)))
     low, high = F.get(bounds, F.col("cell") - 1), F.get(bounds, F.col("cell"))
     sub = F.coalesce(F.least(F.floor((order - low) / (high - low) * share), F.lit(share - 1)), F.lit(0)).cast("int")
     dealt = known.withColumn("cell", cell).withColumn("sub", sub)
-    heads = dealt.groupBy("cell", "sub").agg(F.max(order_col).alias(order_col))  # one row a range
+    heads = dealt.select("cell", "sub", order_col).groupBy("cell", "sub").agg(F.max(order_col).alias(order_col))  # one row a range
     before = W.orderBy(F.desc("cell"), F.desc("sub"))
-    first = heads.agg(F.max_by(F.struct("cell", "sub"), order_col).alias("top"), F.min_by(F.struct("cell", "sub"), order_col).alias("end"))
+    first = heads.agg(F.min_by(F.struct("cell", "sub"), order_col).alias("end"))
     moved = heads.withColumn("to", F.lag(F.struct("cell", "sub")).over(before)).crossJoin(F.broadcast(first)).select(order_col, F.coalesce("to", "end").alias("to"))
-    head_rows = known.join(F.broadcast(moved), order_col).dropDuplicates([order_col]).withColumn("cell", F.col("to.cell")).withColumn("sub", F.col("to.sub")).drop("to").withColumn("real", F.lit(False))
-    both = dealt.withColumn("real", F.lit(True)).unionByName(head_rows)
-    after = W.partitionBy("cell", "sub").orderBy(F.desc("real"), F.desc(order_col), *(c for c in carried if dict(rows.dtypes)[c] in ("string", "bigint", "int")))
-    for c in carried:
-        both = both.withColumn(f"next_{c}", F.lead(c).over(after))
-    out = both.filter("real").drop("cell", "sub", "real")
-    for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lit(None).cast(dict(known.dtypes)[c]))
-    return out.unionByName(rows.filter(order.isNull()))
-
-
-def similar_pairs(docs: DataFrame, likeness: float = 0.8, chain: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): pairs (a, b, likeness) of class representatives, a < b; members (id, representative) of all documents."""
+    head_rows = known.join(F.broadcast(moved) if parts <= 100_000 else moved, order_col).groupBy(order_col, "to").agg(F.min(F.struct(*carried)).alias("row"))
+    head_rows = head_rows.select(order_col, *(F.col(f"row.{c}").alias(c) for c in carried), F.col("to.cell").alias("cell"), F.col("to.sub").alias("sub"), F.lit(False).alias("real"))
+    both = dealt.withColumn("real", F.lit(True)).unionByName(head_rows, allowMissingColumns=True).repartition(parts, "cell", "sub").withColumns(derived)
+    after = W.partitionBy("cell", "sub").orderBy(F.desc("real"), F.desc(order_col), *carried)
+    both = both.withColumns({f"next_{c}": F.lead(c).over(after) for c in (*carried, *derived)})
+    kinds = dict(both.dtypes)
+    lost = rows.filter(order.isNull()).withColumns({**derived, **{f"next_{c}": F.lit(None).cast(kinds[f"next_{c}"]) for c in (*carried, *derived)}})
+    return both.filter("real").drop("cell", "sub", "real").unionByName(lost)
+
+
+def similar_pairs(docs: DataFrame, likeness: float = 0.8, chain: int = 2, hot: int = 500, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): pairs (a, b, likeness) of class representatives, a < b; members (id, representative) of all documents.
+
+    The rows of a signature that more than `hot` sets hold are split over tasks. Ids are taken to be unique."""
     sets = docs.select(F.col(f"`{id_col}`").alias("id"), signatures(F.col(f"`{text_col}`"), chain).alias("sigs")).filter("size(sigs) > 0")
     keyed = sets.withColumn("key", F.sha2(fingerprint(F.col("sigs")).cast("binary"), 256))
     classes = keyed.groupBy("key").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "key").join(classes, "key").select("id", F.col("rep").alias("representative"))
-    reps = keyed.join(classes, "key").filter("id = rep").dropDuplicates(["id"]).select("id", "sigs", F.size("sigs").alias("n"))
+    reps = keyed.groupBy("key").agg(F.min_by(F.struct("id", "sigs"), "id").alias("first")).select("first.id", "first.sigs", F.size("first.sigs").alias("n"))
     each = reps.select("id", "n", F.explode("sigs").alias("sig"))
     rare = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "sig")))
     prefix = rare.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(likeness) * F.col("n")) + 1)
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(likeness) or 1.0))
-    left = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "sig", F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
-    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "sig", size_class.alias("size_class"))
-    near = left.join(right, ["size_class", "sig"]).filter((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= likeness * F.greatest("n_a", "n_b")))
+    shares = F.ceil(F.col("df") / hot).cast("int")
+    left = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "sig", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
+    right = prefix.select(F.col("id").alias("b"), F.col("n").alias("n_b"), "sig", size_class.alias("size_class"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    near = left.join(right, ["size_class", "sig", "share"]).filter((F.col("a") != F.col("b")) & (F.least("n_a", "n_b") >= likeness * F.greatest("n_a", "n_b")))
     near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = near.join(reps.select(F.col("id").alias("a"), F.col("sigs").alias("sigs_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("sigs").alias("sigs_b")), "b")
     pairs = full.select("a", "b", jaccard(F.col("sigs_a"), F.col("sigs_b"), likeness).alias("likeness")).filter(F.col("likeness") >= likeness)

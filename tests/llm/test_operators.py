@@ -219,6 +219,12 @@ def test_next_row_over_ranges(spark):
     got = {r.doc_id: r.next_text for r in spotsigs.with_next(df, "doc_id", ["text"], parts=40, cells=7).collect()}
     down = sorted(ids, reverse=True)
     assert got == {a: f"t{b}" for a, b in zip(down, [*down[1:], down[0]])}
+    # Repeated ids follow each other by their texts, also where a range begins with them.
+    rows = sorted([(i % 40, f"t{rnd.randrange(100)}") for i in range(200)], key=lambda r: (-r[0], r[1]))
+    again = spark.createDataFrame(rnd.sample(rows, len(rows)), "doc_id long, text string")
+    out = spotsigs.with_next(again, "doc_id", ["text"], {"twice": F.concat("text", "text")}, parts=40, cells=7).collect()
+    assert sorted((r.doc_id, r.text, r.next_text) for r in out) == sorted((*a, b[1]) for a, b in zip(rows, [*rows[1:], rows[0]]))
+    assert all(r.next_twice == 2 * r.next_text for r in out)
 
 
 def test_secrets_against_brute_force(spark):
