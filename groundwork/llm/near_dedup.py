@@ -3,18 +3,22 @@
 1. One pass over the texts gives each document its number of distinct word shingles, a 128-bit digest of the set, and the
    keys of its bands. SuperMinHash deals each element's ranks over the slots by a permutation of its own, so slots fill
    evenly, and stops an element as soon as no slot can improve.
-2. Documents with equal sets form a class; only its smallest id goes on.
+2. Documents with equal sets form a class, by an aggregate that combines before it shuffles; its smallest id stands for it.
 3. In every band bucket each member is paired with the smallest id (a star), and the distinct pairs are verified on full
    sets. Union-find contracts what is linked.
-4. Buckets whose other members are still in several groups are compared whole, in blocks of at most `block` rows that
-   are dealt out over tasks: exact intersections of all their sets. A block returns a spanning forest of its links, so
-   no group's pairs are ever emitted. Union-find again.
+4. Buckets whose other members are still in several groups are compared whole, in blocks of two parts that are dealt out
+   over tasks: exact intersections of all their sets. A part has block / 2 rows or part_shingles shingles on average,
+   whichever is less. A block returns a spanning forest of its links, so no group's pairs are ever emitted. Union-find again.
 
 With bands of four slots, the number of bands is chosen so that a pair at the threshold shares no bucket with a
 probability of at most `miss`; every pair that shares a bucket is decided exactly.
 
+Hot keys: aggregates are written before they are joined, so that both sides of a join are dealt afresh and a hot partition
+can be split; classes with more than a thousandth of all rows are sent to every task; empty sets take part in no join.
+
 A document with fewer words than a shingle has its whole sequence as one; a null text or one without words has an empty
-set and links with nothing. Equal ids are taken to be the same document; a null id links with nothing.
+set and links with nothing. A null id links with nothing. Rows that share an id are one document: if their texts differ,
+each of them counts, and what is linked with any of them is in one group. Very long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwork.llm.common import checkpointed, pick, text_blocks, tidy
+from groundwork.llm.common import checkpointed, parts_of, pick, text_blocks, tidy
 
 SLOTS = 4  # of a band
 REMEMBERED = 250_000
+#: Rows of a few numbers that a broadcast may hold.
+BROADCAST_ROWS = 500_000
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -109,11 +115,11 @@ def bands_for(similarity: float, miss: float) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - similarity**SLOTS)))
 
 
-_SIGNED = [("n_shingles", T.LongType()), ("c1", T.LongType()), ("c2", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
+_SIGNED = [("text_hash", T.LongType()), ("n_shingles", T.LongType()), ("digest", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
 
 
 def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, c1, c2, bands): set size, two halves of the set's digest, and a key for each band; no bands for empty sets."""
+    """(id, text_hash, n_shingles, digest, bands): text_hash is Spark's xxhash64 of the text; no bands for empty sets."""
     rows, bands = pick(docs, id_col, text_col), bands_for(similarity, miss)
     m = bands * SLOTS
 
@@ -133,27 +139,22 @@ def signatures(docs: DataFrame, words: int = 5, similarity: float = 0.8, miss: f
                 digest[0, full], digest[1, full] = np.add.reduceat(_mixed(flat), at), np.add.reduceat(_mixed(flat * _M[2] + _M[0]), at)
                 slots = super_min_hash(flat, doc, len(full), m)
                 keys = _mixed(np.ascontiguousarray(slots).view(np.uint64) + salt).view(np.int64)
-            lists = iter(keys.tolist())
+            lists, digests = iter(keys.tolist()), digest.T.tobytes()
+            hashes = np.array([xxhash.xxh64_intdigest(t, seed=42) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.array([next(lists) if n else [] for n in sizes.tolist()], pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "c1", "c2", "bands"],
+                [ids, pa.array(hashes), pa.array(sizes), pa.array([digests[i : i + 16] for i in range(0, len(digests), 16)], pa.binary()), pa.array([next(lists) if n else [] for n in sizes.tolist()], pa.list_(pa.int64()))],
+                names=["id", "text_hash", "n_shingles", "digest", "bands"],
             )
 
     return rows.mapInArrow(tidy(run), T.StructType([T.StructField("id", rows.schema["id"].dataType), *(T.StructField(n, t) for n, t in _SIGNED)]))
 
 
-def _slices(batches: Iterable[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def verified(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) of those pairs (a, b, text_a, text_b) whose sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, last, held = Shingler(words), None, None
-        for batch in _slices(batches):
+        for batch in parts_of(batches, "text_a"):
             ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
             for x, y in zip(ta, tb):
@@ -210,15 +211,15 @@ def block_links(rows: DataFrame, words: int, percent: int) -> DataFrame:
         def done() -> list[tuple]:
             if len({x[0] for x in held}) < 2:
                 return []
-            return _forest(shingler.sets([x[1] for x in held]), [x[0] for x in held], percent)
+            return _forest([x[1] for x in held], [x[0] for x in held], percent)
 
-        for batch in _slices(batches):
+        for batch in parts_of(batches, "text"):
             links = []
             for key, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if key != task:
                     links += done()
                     task, held = key, []
-                held.append(row)
+                held.append((row[0], shingler.sets(row[1:])[0]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], batch.schema.field(1).type), pa.array([x[1] for x in links], batch.schema.field(1).type)], names=["a", "b"])
         links = done()
         if links:
@@ -233,18 +234,20 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), for every node but the smallest ones.
 
     Union-find as joins: large and small stars in turn. Each round is written to the checkpoint folder, and the rounds
-    end when the links have become stars.
+    end when the links have become stars. The smallest neighbours are broadcast up to BROADCAST_ROWS rows of two ids, and
+    written first beyond that.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     edges = checkpointed(edges)
     facts = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())  # noqa: E731  one row
     seen = facts(edges)
+    sent = lambda low: F.broadcast(low) if 2 * seen[0] <= BROADCAST_ROWS else checkpointed(low)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        edges = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b").distinct()
+        edges = both.join(sent(low), "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a > b").distinct()
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
-        near = edges.join(low, "a")
+        near = edges.join(sent(low), "a")
         edges = near.select("a", F.col("low").alias("b")).unionByName(near.select(F.col("b").alias("a"), F.col("low").alias("b"))).filter("a > b").distinct()
         edges = checkpointed(edges)
         if (now := facts(edges)) == seen:
@@ -253,37 +256,54 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 768, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _few(df: DataFrame) -> DataFrame:
+    """A written df, broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 768, part_shingles: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept): one row for each row of docs; component_id is the smallest id of its group."""
     similarity = percent / 100
     signed = checkpointed(signatures(docs, words, similarity, miss, id_col, text_col))
-    classes = signed.filter("n_shingles > 0 and id is not null").groupBy("c1", "c2").agg(F.min("id").alias("rep"))
-    firsts = signed.join(classes, ["c1", "c2"]).filter("id = rep").dropDuplicates(["id"])
-    member = firsts.select(F.explode("bands").alias("bucket"), "id")
-    stars = member.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket", "low")
-    within = checkpointed(member.join(stars, "bucket").select("bucket", "id", "low"))
-    pairs = checkpointed(within.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    need = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    some = signed.filter("n_shingles > 0 and id is not null")
+    # Classes: equal sets have equal bands, and one text stands for all.
+    first = F.min(F.struct("id", "text_hash"))
+    classes = checkpointed(some.groupBy("digest").agg(first.alias("first"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows")).select("digest", "first.id", "first.text_hash", "n", "bands", "rows"))
+    member = classes.select(F.explode("bands").alias("bucket"), "digest", "id", "n")
+    stars = member.groupBy("bucket").agg(F.min(F.struct("id", "digest")).alias("low"), F.max("id").alias("high")).filter("low.id < high")
+    stars = checkpointed(stars.select("bucket", F.col("low.id").alias("low"), F.col("low.digest").alias("low_digest")))
+    within = checkpointed(member.join(stars, "bucket"))
+    pairs = checkpointed(within.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b"), "digest", "low_digest").distinct())
+    need = pairs.select("digest").unionByName(pairs.select(F.col("low_digest").alias("digest"))).distinct()
+    wanted = _few(checkpointed(classes.join(need, "digest", "left_semi").select("digest", "id", "text_hash")))
     rows = pick(docs, id_col, text_col)
-    texts = checkpointed(rows.join(need.withColumnRenamed("a", "id"), "id", "left_semi").dropDuplicates(["id"]))
-    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    first = components(verified(with_b, words, percent))
+    texts = checkpointed(rows.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["id", "text_hash"]).select("digest", "text").dropDuplicates(["digest"]))
+    with_a = pairs.join(texts.withColumnRenamed("text", "text_a"), "digest")
+    with_b = with_a.drop("digest").join(texts.select(F.col("digest").alias("low_digest"), F.col("text").alias("text_b")), "low_digest")
+    # Ids that occur with several texts link the classes of these.
+    several = checkpointed(some.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x < y").select("id"))
+    same = some.select("id", "digest").join(_few(several), "id", "left_semi").distinct().join(classes.select(F.col("id").alias("b"), "digest"), "digest").select(F.col("id").alias("a"), "b")
+    found = components(verified(with_b, words, percent).unionByName(same))
     # What the stars have left open: buckets whose other members are in several groups.
-    labelled = within.join(first, within["id"] == first["node"], "left").select("bucket", "id", "low", F.coalesce("component", "id").alias("label"))
+    labelled = within.join(found, within["id"] == found["node"], "left").select("bucket", "digest", "id", "n", "low", F.coalesce("component", "id").alias("label"))
     others = checkpointed(labelled.filter("id > low"))
-    # Written on its own, so that both sides of the next join are dealt out afresh and a hot bucket's members can be split.
-    open_ = others.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).filter("x < y").select("bucket", F.ceil(F.col("n") / (block // 2)).cast("int").alias("parts"))
+    parts = F.ceil(F.greatest(F.col("size") / (block // 2), F.col("shingles") / part_shingles)).cast("int")
+    open_ = others.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size"), F.sum("n").alias("shingles")).filter("x < y").select("bucket", F.least(parts, F.col("size").cast("int")).alias("parts"))
     open_ = checkpointed(open_)
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    dealt = others.join(open_, "bucket").withColumn("part", part)
+    dealt = others.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     # A block holds two parts, or the bucket's only one; pairs within a part meet in every block that holds it.
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))).filter("parts = 1 or part <> other")
-    tasks = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "id", "label")
-    tasks = tasks.join(texts, "id").select("task", "label", "text")
+    tasks = dealt.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "digest", "label")
+    tasks = tasks.join(texts, "digest").select("task", "label", "text")
     second = components(block_links(tasks.repartition("task").sortWithinPartitions("task"), words, percent))
-    named = firsts.select("c1", "c2", "rep").join(first, F.col("rep") == first["node"], "left").select("c1", "c2", F.coalesce("component", "rep").alias("label"))
-    named = named.join(second, named["label"] == second["node"], "left").select("c1", "c2", F.coalesce("component", "label").alias("component"))
-    out = signed.join(named, ["c1", "c2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    named = classes.select("digest", "rows", "id").join(found, F.col("id") == found["node"], "left").select("digest", "rows", F.coalesce("component", "id").alias("label"))
+    named = checkpointed(named.join(second, named["label"] == second["node"], "left").select("digest", "rows", F.coalesce("component", "label").alias("component")))
+    # One row for each row of docs: classes with a thousandth of all rows or more are at most a thousand.
+    total = named.agg(F.sum("rows")).first()[0] or 0
+    heavy = named.filter(F.col("rows") * 1000 >= total).select("digest", F.col("component").alias("heavy"))
+    out = signed.select("id", "n_shingles", "digest").join(F.broadcast(heavy), "digest", "left")
+    counts = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    done = out.filter(F.col("heavy").isNotNull() | ~counts).select("id", "n_shingles", F.when(counts, F.col("heavy")).otherwise(F.col("id")).alias("component"))
+    rest = out.filter(F.col("heavy").isNull() & counts).join(named.filter(F.col("rows") * 1000 < total), "digest").select("id", "n_shingles", "component")
+    every = done.unionByName(rest)
+    return every.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("kept"))
