@@ -1,9 +1,11 @@
 """Byte-level BPE encoding and decoding by merge replay over distinct pre-tokens.
 
-Each task collects the distinct pre-tokens of a block of its texts, lays their bytes out in flat arrays, and keeps an
-inverted index from merge rank to the positions where that pair stands. Ranks are taken in ascending order; each one is
-applied at all its positions at once and only the neighbours that it touched get new index entries. A block is a corpus
-of its own: a pre-token's ids depend on nothing else, so no shuffle is needed and any task can be run again.
+Each task collects the distinct pre-tokens of a block of its texts, looks up those that are a token whole, lays the bytes
+of the others out in flat arrays, and keeps an inverted index from a pair's merge rank to the positions where it stands.
+Ranks are taken in ascending order; each one is applied at all its positions at once and only the neighbours that it
+touched get new index entries. A block of BLOCK_BYTES is a corpus of its own: a pre-token's ids depend on nothing else, so
+no shuffle is needed and any task can be run again. Where a merge gives a pair of a lower rank than its own, which a
+vocabulary may hold, the order inside a word matters, and the word is merged by itself with a heap.
 
 A null or empty text has no tokens. Repeated rows give repeated results. Nothing depends on row order.
 """
@@ -26,7 +28,7 @@ from groundwork.llm.common import pick, text_blocks, tidy
 #: Distinct units that a task remembers between blocks; it starts anew beyond that, which changes no result.
 REMEMBERED = 200_000
 #: Larger than elsewhere: every step over a block costs the same few array operations for each rank.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -154,13 +156,24 @@ class MergeReplay:
         return ids, alive, np.unique(np.concatenate(odd)) if odd else np.array([], np.int64)
 
     def one_by_one(self, word: bytes) -> list[int]:
+        """The ids of one word: the lowest rank first, the leftmost of equal ones. A heap keeps this in n log n steps."""
         parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
-            if rank == NONE:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        pair = lambda i: self.ranks.get(parts[i] + parts[after[i]]) if after[i] < len(parts) else None
+        heap = [(rank, i) for i in range(len(parts)) if (rank := pair(i)) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            if not parts[i] or pair(i) != rank:
+                continue  # one of the two has changed since
+            gone = after[i]
+            parts[i], parts[gone], after[i] = parts[i] + parts[gone], b"", after[gone]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (rank := pair(k)) is not None:
+                    heapq.heappush(heap, (rank, k))
+        return [self.ranks[p] for p in parts if p]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

@@ -44,6 +44,21 @@ def test_bpe_forgets_without_changing_results():
         assert small.encode([t])[0].tolist() == large.encode([t])[0].tolist()
 
 
+def test_bpe_of_one_long_word_by_itself():
+    import time
+
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    lib, replay = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.MergeReplay(ranks)
+    rnd = random.Random(12)
+    for n in (0, 1, 2, 3, 50, 3000):
+        for chars in ("a", "abc", "thein "):
+            word = "".join(rnd.choice(chars) for _ in range(n)).encode()
+            assert replay.one_by_one(word) == (lib._core_bpe.encode_single_piece(word) if word else [])
+    began = time.process_time()
+    replay.one_by_one(b"abcdefgh" * 25_000)
+    assert time.process_time() - began < 10
+
+
 def test_token_counts_equal_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
