@@ -14,7 +14,7 @@ SECTIONS = ("摘要", "核心观点", "事实", "作者观点", "推论", "预
 KEYS = ("title", "source", "source_id", "source_url", "author", "media_type", "analysis_type", "topics", "tags", "created_at", "processed_at", "model", "prompt_version", "confidence", "needs_verification", "needs_manual_review", "content_hash_version")
 NOTHING, UNTITLED = "（无）", "未命名"
 FOLDERS = {"inbox": "Inbox", "processed": "Processed", "failed": "Failed"}
-ROOT = "KnowledgeFlow"
+ROOT = "Notes"
 
 CLAIM_TYPE = f"array<struct<text:string,type:string,author_position:string,time_horizon:string,based_on_claims:array<string>,evidence:array<{EVIDENCE}>,confidence:double,needs_verification:boolean>>"
 
@@ -124,7 +124,7 @@ def existing_index(notes: DataFrame) -> DataFrame:
     return notes.select("path", F.nullif(source, F.lit("")).alias("source"), F.nullif(source_id, F.lit("")).alias("source_id"), ((source == "") | (source_id == "")).alias("foreign"))
 
 
-def assign_paths(notes: DataFrame, existing: DataFrame) -> DataFrame:
+def assign_paths(notes: DataFrame, existing: DataFrame, root: str = ROOT) -> DataFrame:
     """notes with path and path_error. A path that another identity holds, on disk or earlier in the batch, gets the first 6, 12
     or 32 characters of the content id, then -2 to -99; a note of the same identity keeps its path.
 
@@ -134,7 +134,7 @@ def assign_paths(notes: DataFrame, existing: DataFrame) -> DataFrame:
 
     key = F.concat_ws("\x1f", "source", "source_id")
     taken = existing.select("path", F.when(~F.col("foreign"), key).otherwise(F.lit("\x1f")).alias("owner"))
-    folder = F.create_map(*(F.lit(x) for k, v in FOLDERS.items() for x in (k, f"{ROOT}/{v}/")))
+    folder = F.create_map(*(F.lit(x) for k, v in FOLDERS.items() for x in (k, f"{root}/{v}/")))
     open_ = notes.select("content_id", "created_at", key.alias("me"), F.concat(folder[F.col("kind")], F.col("file_name")).alias("stem"))
     bare_id = F.regexp_replace("content_id", "-", "")
     tries = [F.lit(""), *(F.concat(F.lit("-"), F.substring(bare_id, 1, n)) for n in (6, 12, 32)), *(F.concat(F.lit("-"), F.substring(bare_id, 1, 32), F.lit(f"-{n}")) for n in range(2, 100))]

@@ -172,7 +172,7 @@ ORACLE_SQL = {
     "k16_batch": f"WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, {_NORM}) AS f FROM documents) SELECT doc_id, CASE WHEN f <> doc_id THEN 'duplicate' WHEN doc_id % 8 = 6 THEN 'failed' ELSE 'completed' END AS outcome, CASE WHEN f <> doc_id THEN 'content_hash' END AS deduplicated_by, CASE WHEN f = doc_id AND doc_id % 8 = 6 THEN 'LLM_INVALID_OUTPUT' END AS error_type FROM h",
     "w4_failed_steps": "SELECT o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 6 WHEN 'P' THEN 3 ELSE 13 END AS n_steps, CASE WHEN o_orderstatus = 'F' THEN 'analyze' END AS failed_step FROM orders",
     "k12_notes": "SELECT CAST(doc_id AS VARCHAR) AS content_id, 'Note ' || doc_id % 50 AS file_name, true AS rounded, 14 AS n_parts FROM documents",
-    "w5_note_paths": "SELECT CAST(doc_id AS VARCHAR) AS content_id, 'KnowledgeFlow/Processed/Note ' || doc_id % 50 || CASE WHEN doc_id >= 50 THEN '-' || doc_id ELSE '' END || '.md' AS path, CAST(NULL AS VARCHAR) AS path_error FROM documents",
+    "w5_note_paths": "SELECT CAST(doc_id AS VARCHAR) AS content_id, 'Notes/Processed/Note ' || doc_id % 50 || CASE WHEN doc_id >= 50 THEN '-' || doc_id ELSE '' END || '.md' AS path, CAST(NULL AS VARCHAR) AS path_error FROM documents",
     "k17_note_index": "SELECT CAST(doc_id AS VARCHAR) AS path, lang AS source, CAST(doc_id AS VARCHAR) AS source_id, false AS foreign FROM documents",
     "s6_asset_gate": "WITH k AS (SELECT *, CASE page_id % 3 WHEN 0 THEN 'image/png' WHEN 1 THEN 'video/mp4' ELSE 'text/html' END AS t, CASE WHEN page_id % 2 = 0 THEN 'image/' ELSE 'video/' END AS f FROM pages), e AS (SELECT *, CASE WHEN page_id * 1000000 > 209715200 THEN 'MEDIA_TOO_LARGE' WHEN NOT starts_with(t, f) THEN 'MEDIA_TYPE_UNSUPPORTED' END AS x FROM k) SELECT page_id, t AS content_type, x AS error_type, CASE WHEN x IS NULL THEN left(sha256(url), 16) || CASE t WHEN 'image/png' THEN '.png' ELSE '.mp4' END END AS file_name FROM e",
     "s5_asset_types": "WITH k AS (SELECT CASE doc_id % 5 WHEN 0 THEN 'image/jpeg' WHEN 1 THEN 'video/mp4' WHEN 2 THEN 'audio/mp4' WHEN 3 THEN 'audio/wav' END AS t FROM documents) SELECT t AS content_type, split_part(t, '/', 1) AS family, CASE WHEN t IS NULL THEN 'MEDIA_TYPE_UNSUPPORTED' END AS error_type, count(*) AS n FROM k GROUP BY t",

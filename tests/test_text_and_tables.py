@@ -232,9 +232,9 @@ def test_contract(spark):
 def test_note_paths(spark):
     rows = spark.createDataFrame([("c1-aaaaaaaa", "s", "1", "T", "1"), ("c2-bbbbbbbb", "s", "2", "T", "2"), ("c3-cccccccc", "s", "3", "T", "3")], "content_id string, source string, source_id string, title string, created_at string")
     rendered = notes.render_notes(rows)
-    existing = spark.createDataFrame([("KnowledgeFlow/Processed/T.md", "s", "2", False)], "path string, source string, source_id string, foreign boolean")
+    existing = spark.createDataFrame([("Notes/Processed/T.md", "s", "2", False)], "path string, source string, source_id string, foreign boolean")
     got = {r.content_id: r.path for r in notes.assign_paths(rendered, existing).collect()}
-    assert got == {"c1-aaaaaaaa": "KnowledgeFlow/Processed/T-c1aaaa.md", "c2-bbbbbbbb": "KnowledgeFlow/Processed/T.md", "c3-cccccccc": "KnowledgeFlow/Processed/T-c3cccc.md"}
+    assert got == {"c1-aaaaaaaa": "Notes/Processed/T-c1aaaa.md", "c2-bbbbbbbb": "Notes/Processed/T.md", "c3-cccccccc": "Notes/Processed/T-c3cccc.md"}
     index = notes.existing_index(rendered.select(F.col("content_id").alias("path"), "markdown")).collect()
     assert {(r.source, r.source_id, r.foreign) for r in index} == {("s", "1", False), ("s", "2", False), ("s", "3", False)}
 
