@@ -18,36 +18,44 @@ def chunk_chars(total: int = TOTAL) -> int:
 def pieces(text: Column, max_chars: int) -> Column:
     """Sentences; those that are too long are cut by characters."""
     cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s), F.lit(max_chars)), lambda i: F.substring(s, i, F.lit(max_chars)))
-    return F.flatten(F.transform(sentences(text), cut))
-
-
-def _joined(xs: Column) -> Column:
-    return F.array_join(xs, "")
+    return let(sentences(text), lambda ss: F.when(F.exists(ss, lambda s: F.length(s) > max_chars), F.flatten(F.transform(ss, cut))).otherwise(ss))
 
 
 def chunks(text: Column, max_chars: int, overlap: int = 1) -> Column:
-    """array<string>: pieces packed greedily into chunks of at most max_chars; a chunk starts with the last `overlap` pieces of the one before, fewer if they leave no room."""
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("size"))
+    """array<string>: pieces packed greedily into chunks of at most max_chars; a chunk starts with the last `overlap` pieces of the one before, fewer if they leave no room.
+
+    The fold goes over the pieces' lengths and gives each chunk's first piece and number of pieces, so no text is copied
+    but into its chunk."""
+    ints = F.array().cast("array<int>")
+    start = F.struct(F.array().cast("array<struct<first:int,n:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("at"), F.lit(0).alias("size"), ints.alias("last"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
 
-    def tail(now: Column, piece: Column) -> Column:
-        """What the next chunk starts with."""
+    def tail(last: Column, n: Column) -> Column:
+        """The lengths of the pieces that the next chunk starts with: of the last ones, the most that leave room for n."""
         if not overlap:
-            return none
+            return ints
         if overlap == 1:
-            last = F.element_at(now, -1)
-            return F.when(F.length(last) + F.length(piece) <= max_chars, F.array(last)).otherwise(none)
-        most = F.slice(now, F.greatest(F.size(now) - overlap + 1, F.lit(1)), overlap)
-        # Of its suffixes, the longest one that leaves room.
-        suffixes = F.transform(F.sequence(F.lit(1), F.size(most) + 1), lambda i: F.slice(most, i, F.greatest(F.size(most) - i + 1, F.lit(0))))
-        return F.get(F.filter(suffixes, lambda xs: F.length(_joined(xs)) + F.length(piece) <= max_chars), F.lit(0))
-
-    def step(a: Column, piece: Column) -> Column:
-        full = (F.size(a["now"]) > 0) & (a["size"] + F.length(piece) > max_chars)
-        begun = let(tail(a["now"], piece), lambda kept: F.struct(F.concat(a["done"], F.array(_joined(a["now"]))).alias("done"), F.concat(kept, F.array(piece)).alias("now"), (F.length(_joined(kept)) + F.length(piece)).alias("size")))
-        return F.when(full, begun).otherwise(F.struct(a["done"].alias("done"), F.concat(a["now"], F.array(piece)).alias("now"), (a["size"] + F.length(piece)).alias("size")))
-
-    return F.aggregate(pieces(text, max_chars), start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(_joined(a["now"])))).otherwise(a["done"]))
+            return F.filter(last, lambda x: x + n <= max_chars)
+        suffixes = F.transform(F.sequence(F.lit(1), F.size(last) + 1), lambda i: F.slice(last, i, F.greatest(F.size(last) - i + 1, F.lit(0))))
+        return F.coalesce(F.get(F.filter(suffixes, lambda xs: total(xs) + n <= max_chars), F.lit(0)), ints)
+
+    def lasts(xs: Column, n: Column) -> Column:
+        if overlap <= 1:
+            return F.array(n) if overlap else ints
+        return let(F.concat(xs, F.array(n)), lambda ys: F.slice(ys, F.greatest(F.size(ys) - overlap + 1, F.lit(1)), overlap))
+
+    def step(a: Column, n: Column) -> Column:
+        state = lambda done, first, size, last: F.struct(done.alias("done"), first.alias("first"), (a["at"] + 1).alias("at"), size.alias("size"), last.alias("last"))
+        ended = F.concat(a["done"], F.array(F.struct(a["first"].alias("first"), (a["at"] - a["first"]).alias("n"))))
+        full = (a["at"] > a["first"]) & (a["size"] + n > max_chars)
+        begun = let(tail(a["last"], n), lambda kept: state(ended, a["at"] - F.size(kept), total(kept) + n, lasts(kept, n)))
+        return F.when(full, begun).otherwise(state(a["done"], a["first"], a["size"] + n, lasts(a["last"], n)))
+
+    def packed(ps: Column) -> Column:
+        bounds = F.aggregate(F.transform(ps, F.length), start, step, lambda a: F.when(a["at"] > a["first"], F.concat(a["done"], F.array(F.struct(a["first"].alias("first"), (a["at"] - a["first"]).alias("n"))))).otherwise(a["done"]))
+        return F.transform(bounds, lambda b: F.array_join(F.slice(ps, b["first"] + 1, b["n"]), ""))
+
+    return let(pieces(text, max_chars), packed)
 
 
 def prepare(raw: DataFrame, max_transcript: int = 12_000, max_ocr: int = 6_000, total: int = TOTAL) -> DataFrame:

@@ -114,7 +114,7 @@ def k3_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g2_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return numbers.extract_numbers(table(spark, d, "documents"), ["doc_id"], "text")
+    return numbers.extract_numbers(table(spark, d, "documents"), ["doc_id"], "text").withColumn("value", F.col("value").cast("double"))
 
 
 def g2_arabic(spark: SparkSession, d: str) -> DataFrame:
