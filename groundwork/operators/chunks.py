@@ -83,5 +83,8 @@ def prepare(raw: DataFrame, max_transcript: int = 12_000, max_ocr: int = 6_000,
 
 def chunk_table(prepared: DataFrame, id_col: str, max_chars: int | None = None, overlap: int = 1) -> DataFrame:
     """(id, chunk_index, chunk_total, chunk): the chunks of each prepared text; none for an empty one."""
-    made = prepared.select(id_col, chunks(F.col("text"), max_chars or chunk_chars(), overlap).alias("__chunks"))
-    return made.select(id_col, F.posexplode("__chunks").alias("chunk_index", "chunk"), F.size("__chunks").alias("chunk_total"))
+    counted = let(chunks(F.col("text"), max_chars or chunk_chars(), overlap), lambda cs: F.transform(cs, lambda c: F.struct(c.alias("chunk"), F.size(cs).alias("chunk_total"))))
+    # The array is used once, by the outer form of explode: a second use, or the filter on its size that the plain form
+    # has inferred below it, would make all chunks once more.
+    made = prepared.select(id_col, F.posexplode_outer(counted).alias("chunk_index", "__chunk")).filter("__chunk is not null")
+    return made.select(id_col, "chunk_index", "__chunk.chunk", "__chunk.chunk_total")

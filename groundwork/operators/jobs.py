@@ -12,7 +12,8 @@ from groundwork.operators.lineage import checkpointed
 
 # The steps of a run, in order.
 STEPS = ("preflight", "normalize", "deduplicate", "persist_content", "prepare_text", "analyze", "persist_analysis", "extract_topics", "extract_entities", "normalize_aliases", "render_markdown", "write_obsidian", "complete")
-STEP_SCHEMA = "content_id string, step string, ord int, status string, detail string, error_type string"
+#: Step that an error type stops, where it isn't the analysis.
+_STOPS = {"EMPTY_SOURCE_TEXT": "prepare_text", "MARKDOWN_WRITE_FAILED": "write_obsidian", "PATH_ESCAPE": "write_obsidian"}
 
 
 def enriched(raw: DataFrame, asset_text: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -30,13 +31,16 @@ def enriched(raw: DataFrame, asset_text: DataFrame) -> tuple[DataFrame, DataFram
     return out.select(*raw.columns), attempts
 
 
-def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame], DataFrame], as_of: Column, total: int = chunks.TOTAL, force: bool = False) -> dict[str, DataFrame]:
-    """New versions of the seven tables, and outcomes, steps, notes and the attempt log, for a batch of raw content.
+def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame], DataFrame], as_of: Column, total: int = chunks.TOTAL, force: bool = False, existing_notes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """New versions of the seven tables, and outcomes, steps, notes with their paths, and the attempt log, for a batch of raw content.
 
     raw needs seq, the arrival order. Duplicates stop after three steps unless force is set; a failure is a row with an
-    error type, never a failed job. Each content's outcome is completed, failed or duplicate.
+    error type, never a failed job. Each content's outcome is completed, failed or duplicate. existing_notes (path, source,
+    source_id, foreign) are the notes that stand already; a note that finds no path of its own fails its content.
     """
     rows = dedup.within_batch(dedup.fingerprinted(raw))
+    if force:
+        rows = rows.withColumn("kept", F.lit(True))  # stored contents are run again even if their texts are equal
     judged = dedup.against_stored(rows.filter("kept"), tables["contents"])
     new_id = warehouse.stable_id("content", F.col("source"), F.col("source_id"))
     judged = judged.withColumn("content_id", F.coalesce("matched_id", new_id)).withColumn("skip", (F.col("outcome") == "duplicate") & F.lit(not force))
@@ -63,8 +67,6 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     parsed = good.select("content_id", "chunk_count", "payload", F.from_json("payload", analyses.LOOSE).alias("a"))
     fresh = parsed.select(warehouse.stable_id("analysis", F.col("content_id"), as_of.cast("string"), F.col("payload")).alias("id"), "content_id", F.col("a.analysis_type").alias("analysis_type"), F.col("a.summary").alias("summary"), F.col("payload").alias("structured_json"), F.lit(None).cast("string").alias("model"), F.lit(analyses.PROMPT_VERSION).alias("prompt_version"), F.col("chunk_count").cast("int").alias("chunk_count"), as_of.alias("created_at"))
     contents, history = warehouse.append_analyses(contents, tables["analyses"], fresh)
-    changes = results.select(F.col("content_id").alias("id"), F.when(F.col("payload").isNotNull(), "completed").otherwise("failed").alias("status"), "error_type", F.col("error_type").alias("error_message"))
-    contents = warehouse.set_status(contents, changes, as_of)
 
     claim = F.struct("ord", "text", "type", "author_position", "time_horizon", "based_on_claims", "evidence", "confidence", "needs_verification")
     told = grounded.groupBy("content_id").agg(F.transform(F.array_sort(F.collect_list(claim)), lambda c: c.dropFields("ord")).alias("claims"))
@@ -73,18 +75,51 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     note_rows = original.join(about, "content_id").join(told, "content_id", "left").join(entities.linked_names(linked["content_entities"], linked["entities"], linked["entity_aliases"]), "content_id", "left").join(entities.linked_topics(linked["content_topics"], linked["topics"]), "content_id", "left")
     rendered = notes.render_notes(note_rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
     lost = original.join(results.filter("payload is null").select("content_id", "error_type"), "content_id").withColumns({"error_message": F.col("error_type"), "created_at": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")})
-    every_note = rendered.unionByName(notes.render_notes(lost, "failed"))
+    if existing_notes is None:
+        existing_notes = raw.sparkSession.createDataFrame([], "path string, source string, source_id string, foreign boolean")
+    every_note = checkpointed(notes.assign_paths(rendered.unionByName(notes.render_notes(lost, "failed")), existing_notes))
+    unplaced = every_note.filter("path_error is not null").select("content_id", "path_error")
+    results = results.join(unplaced, "content_id", "left").withColumn("error_type", F.coalesce("error_type", "path_error")).drop("path_error")
+    results = checkpointed(results.withColumn("outcome", F.when(F.col("error_type").isNull(), "completed").otherwise("failed")))
+    changes = results.select(F.col("content_id").alias("id"), F.col("outcome").alias("status"), "error_type", F.col("error_type").alias("error_message"))
+    contents = warehouse.set_status(contents, changes, as_of)
 
     dropped = rows.filter("not kept").select(F.col("seq"), F.lit("duplicate").alias("outcome"), "deduplicated_by", F.lit(None).cast("string").alias("content_id"), F.lit(None).cast("string").alias("error_type"))
     seen = judged.filter("skip").select("seq", F.lit("duplicate").alias("outcome"), F.col("matched_by").alias("deduplicated_by"), "content_id", F.lit(None).cast("string").alias("error_type"))
-    ended = work.select("seq", "content_id").join(results.select("content_id", F.when(F.col("payload").isNotNull(), "completed").otherwise("failed").alias("outcome"), "error_type"), "content_id").select("seq", "outcome", F.lit(None).cast("string").alias("deduplicated_by"), "content_id", "error_type")
+    ended = work.select("seq", "content_id").join(results.select("content_id", "outcome", "error_type"), "content_id").select("seq", "outcome", F.lit(None).cast("string").alias("deduplicated_by"), "content_id", "error_type")
     outcomes = dropped.unionByName(seen).unionByName(ended)
-    return {"contents": contents, "analyses": history, **linked, "outcomes": outcomes, "steps": step_log(outcomes), "notes": every_note, "attempts": log, "grounded": grounded}
+
+    # The log: what each stage's own rows say.
+    seqs = work.select("seq", "content_id")
+    of = lambda df, step, detail=F.lit(None), error=F.lit(None): df.select("seq", F.lit(STEPS.index(step)).alias("ord"), F.lit(step).alias("step"), F.when(error.isNotNull(), "failed").otherwise("ok").alias("status"), detail.cast("string").alias("detail"), error.cast("string").alias("error_type"))
+    sized = prepared.select("content_id", F.length("text").alias("n_chars"))
+    counted = lambda df: df.groupBy("content_id").agg(F.count("*").alias("n"))
+    texts_done = seqs.join(sized, "content_id").join(empty.withColumn("none", F.lit(True)), "content_id", "left")
+    asked = seqs.join(results.filter("payload is not null or error_type <> 'EMPTY_SOURCE_TEXT'").select("content_id", "chunk_count", F.when(F.col("payload").isNull(), F.col("error_type")).alias("refused")), "content_id")
+    answered = seqs.join(good.select("content_id", F.col("chunk_count")), "content_id")
+    with_count = lambda df: answered.join(counted(df), "content_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    placed = answered.join(every_note.select("content_id", "path", "path_error", F.octet_length("markdown").alias("bytes")), "content_id")
+    parts_of_log = [
+        of(rows, "preflight"), of(rows, "normalize", F.col("source_id")),
+        of(rows.filter("not kept"), "deduplicate", F.col("deduplicated_by")), of(judged, "deduplicate", F.when(F.col("skip"), F.col("matched_by"))),
+        of(seqs, "persist_content", F.col("content_id")), of(texts_done, "prepare_text", F.col("n_chars"), F.when(F.col("none"), "EMPTY_SOURCE_TEXT")),
+        of(asked, "analyze", F.col("chunk_count"), F.col("refused")), of(answered, "persist_analysis", F.col("chunk_count")),
+        of(with_count(parts["topics"]), "extract_topics", F.col("n")), of(with_count(parts["entities"]), "extract_entities", F.col("n")), of(with_count(linked["content_entities"]), "normalize_aliases", F.col("n")),
+        of(placed, "render_markdown", F.col("bytes")), of(placed, "write_obsidian", F.col("path"), F.col("path_error")), of(placed.filter("path_error is null"), "complete"),
+    ]
+    steps = parts_of_log[0]
+    for part in parts_of_log[1:]:
+        steps = steps.unionByName(part)
+    return {"contents": contents, "analyses": history, **linked, "outcomes": outcomes, "steps": steps, "notes": every_note, "attempts": log, "grounded": grounded}
 
 
 def step_log(outcomes: DataFrame) -> DataFrame:
-    """(seq, ord, step, status, error_type): 13 steps of a finished content, 3 of a duplicate, up to the failed one of a failure."""
-    last = F.when(F.col("outcome") == "duplicate", 3).when(F.col("outcome") == "failed", 6).otherwise(len(STEPS))
+    """(seq, ord, step, status, error_type) of runs of which only the outcome is known: 13 steps of a finished content, 3 of a
+    duplicate, up to the one that the error stops for a failure. run() gives the log that its stages have written."""
+    stop = F.lit(STEPS.index("analyze") + 1)
+    for error, step in _STOPS.items():
+        stop = F.when(F.col("error_type") == error, STEPS.index(step) + 1).otherwise(stop)
+    last = F.when(F.col("outcome") == "duplicate", 3).when(F.col("outcome") == "failed", stop).otherwise(len(STEPS))
     steps = F.slice(F.array(*(F.lit(s) for s in STEPS)), F.lit(1), last)
     out = outcomes.select("seq", "outcome", "error_type", last.alias("last"), F.posexplode(steps).alias("ord", "step"))
     failed = (F.col("outcome") == "failed") & (F.col("ord") == F.col("last") - 1)
@@ -116,18 +151,26 @@ def reprocess(ids: DataFrame, tables: dict[str, DataFrame], model, as_of: Column
 
 
 def recover(tables: dict[str, DataFrame], model, as_of: Column, seconds: int = 900, total: int = chunks.TOTAL) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(run's result, report): work that has been in processing for too long is set back and run again; report (outcome, n, ids)."""
-    old = warehouse.stale(tables["contents"], as_of, seconds).select("id")
+    """(run's result, recovered): work that has been in processing for too long is set back and run again.
+
+    recovered (content_id, outcome, error_type) has a row for each content that was set back: completed, failed, or pending
+    where the run gave no outcome. recovery_report() counts them.
+    """
+    old = checkpointed(warehouse.stale(tables["contents"], as_of, seconds).select("id"))
     reset = {**tables, "contents": warehouse.reset_to_pending(tables["contents"], old)}
     out, _ = reprocess(old, reset, model, as_of, total)
-    return out, recovery_report(out["outcomes"])
+    ended = out["outcomes"].filter("content_id is not null").select("content_id", "outcome", "error_type")
+    recovered = old.select(F.col("id").alias("content_id")).join(ended, "content_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("pending")))
+    return out, recovered
 
 
 def recovery_report(outcomes: DataFrame) -> DataFrame:
+    """(outcome, n, n_errors) of recovered contents, or of outcomes."""
     return outcomes.groupBy("outcome").agg(F.count("*").alias("n"), F.count("error_type").alias("n_errors"))
 
 
 def run_report(steps: DataFrame) -> DataFrame:
     """(seq, report): each run's steps as one JSON text."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "step", "status", "error_type")))
+    fields = [c for c in ("ord", "step", "status", "detail", "error_type") if c in steps.columns]
+    ordered = F.array_sort(F.collect_list(F.struct(*fields)))
     return steps.groupBy("seq").agg(F.to_json(ordered).alias("report"))

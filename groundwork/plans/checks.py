@@ -6,6 +6,7 @@ from groundwork.functions.redact import LIMIT, MASK
 from groundwork.operators.analyses import SCHEMA_TEXT
 from groundwork.operators.chunks import TOTAL, chunk_chars
 from groundwork.plans.derive import ALIASES_SQL, LINKS_SQL
+from groundwork.plans.runs import _NORM
 from groundwork.plans.text import _CLEAN
 
 QUERIES: dict = {}
@@ -72,4 +73,6 @@ na AS (SELECT * FROM kept UNION ALL SELECT DISTINCT t, surface FROM m WHERE surf
 nl AS (SELECT entity_id, count(*) AS n FROM (SELECT DISTINCT content_id, coalesce(g.t, entity_id) AS entity_id FROM links LEFT JOIN g ON g.s = entity_id) GROUP BY entity_id)
 SELECT e.id AS entity_id, canonical_name, coalesce((SELECT string_agg(alias, '|' ORDER BY alias) FROM na WHERE na.entity_id = e.id), '') AS aliases, coalesce(n, 0) AS n_links FROM entities e LEFT JOIN nl ON nl.entity_id = e.id
 WHERE e.id NOT IN (SELECT s FROM g) OR e.id IN (SELECT s FROM o WHERE label = 'conflict')""",
+    "k16_steps": f"WITH {_CLEAN.format(text='text', src='documents').strip()}, h AS (SELECT doc_id, doc_id % 8 = 6 AS bad, min(doc_id) OVER (PARTITION BY lang, {_NORM}) <> doc_id AS twin FROM documents) SELECT h.doc_id, CASE WHEN twin THEN 3 WHEN bad THEN 6 ELSE 13 END AS n_steps, CASE WHEN twin THEN 'deduplicate' WHEN bad THEN 'analyze' ELSE 'complete' END AS last_step, CASE WHEN bad AND NOT twin THEN 'LLM_INVALID_OUTPUT' END AS error_type, CASE WHEN NOT twin THEN CAST(length(left(c.text, {TOTAL})) AS VARCHAR) END AS n_chars, CASE WHEN bad AND NOT twin THEN 'analyze' END AS failed_step FROM h JOIN cleaned c USING (doc_id)",
+    "k15_recovery": "SELECT doc_id, CASE WHEN doc_id % 8 = 6 THEN 'failed' ELSE 'completed' END AS outcome, CASE WHEN doc_id % 8 = 6 THEN 'LLM_INVALID_OUTPUT' END AS error_type FROM documents WHERE doc_id % 3 = 0",
 }

@@ -89,9 +89,8 @@ def _tables(spark: SparkSession) -> dict[str, DataFrame]:
     return {t: spark.createDataFrame([], s) for t, s in warehouse.SCHEMAS.items()}
 
 
-def k16_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Documents from raw content to notes with the scripted model: the outcome of each."""
-    raw = derive.raw(spark, d)
+def _by_content(spark: SparkSession, d: str, raw: DataFrame):
+    """The scripted model for contents with the library's own ids."""
     ids = raw.select(F.col("seq").cast("string").alias("doc"), warehouse.stable_id("content", F.col("source"), F.col("source_id")).alias("cid"))
     ask = _model(spark, d)
 
@@ -100,10 +99,42 @@ def k16_batch(spark: SparkSession, d: str) -> DataFrame:
         back = ask(named).join(ids, F.col("content_id") == F.col("doc")).withColumn("content_id", F.col("cid"))
         return back.drop("doc", "cid")
 
-    out = jobs.run(raw, _tables(spark), model, as_of())
+    return model
+
+
+def k16_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Documents from raw content to notes with the scripted model: the outcome of each."""
+    raw = derive.raw(spark, d)
+    out = jobs.run(raw, _tables(spark), _by_content(spark, d, raw), as_of())
     return out["outcomes"].select(F.col("seq").alias("doc_id"), "outcome", "deduplicated_by", "error_type")
 
 
+def k16_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The log that the stages of a run over all documents write: the steps of each, the failed one and its error."""
+    raw = derive.raw(spark, d)
+    steps = jobs.run(raw, _tables(spark), _by_content(spark, d, raw), as_of())["steps"]
+    counts = steps.groupBy("seq").agg(F.count("*").alias("n_steps"), F.max_by("step", "ord").alias("last_step"), F.max("error_type").alias("error_type"), F.max(F.when(F.col("step") == "prepare_text", F.col("detail"))).alias("n_chars"))
+    return counts.join(jobs.failed_step(steps), "seq", "left").withColumnRenamed("seq", "doc_id")
+
+
+def _stuck(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Documents as stored contents, every third of them left in processing; and as raw content."""
+    raw = derive.raw(spark, d)
+    fields = {f.name: F.lit(None).cast(f.dataType) for f in spark.createDataFrame([], warehouse.SCHEMAS["contents"]).schema.fields}
+    known = {"id": warehouse.stable_id("content", F.col("source"), F.col("source_id")), **{c: F.col(c) for c in ("source", "source_id", "source_url", "media_type", "raw_text")}, "content_hash": F.sha2("raw_text", 256), "content_hash_version": F.lit(2), "needs_manual_review": F.lit(False)}
+    known |= {"status": F.when(F.col("seq") % 3 == 0, "processing").otherwise("completed"), "created_at": F.lit("2024-01-01 00:00:00").cast("timestamp")}
+    contents = raw.select(*(known.get(c, none).cast(none_type).alias(c) for c, none, none_type in ((f, fields[f], spark.createDataFrame([], warehouse.SCHEMAS["contents"]).schema[f].dataType) for f in fields)))
+    return {**_tables(spark), "contents": contents}, raw
+
+
+def k15_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """Contents that were left in processing are set back and run again: the outcome of each."""
+    tables, raw = _stuck(spark, d)
+    ids = raw.select("seq", warehouse.stable_id("content", F.col("source"), F.col("source_id")).alias("content_id"))
+    _, recovered = jobs.recover(tables, _by_content(spark, d, raw), as_of())
+    return recovered.join(ids, "content_id").select(F.col("seq").alias("doc_id"), "outcome", "error_type")
+
+
 def w4_failed_steps(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "duplicate").otherwise("completed").alias("outcome"), F.when(F.col("o_orderstatus") == "F", "LLM_INVALID_OUTPUT").alias("error_type"))
     steps = jobs.step_log(o)
@@ -158,7 +189,7 @@ def a8_summary(spark: SparkSession, d: str) -> DataFrame:
     return jobs.result_summary(c, claims, links, links.filter("entity_id < 5"), h)
 
 
-QUERIES = {f.__name__: f for f in (k6_repair, k7_contract, g3_unnest, g3_unnest_whole, k4_prompts, k8_retry_rounds, k16_batch, w4_failed_steps, k12_notes, w5_note_paths, k17_note_index, s6_asset_gate, s5_asset_types, s3_page_content, a8_summary)}
+QUERIES = {f.__name__: f for f in (k6_repair, k7_contract, g3_unnest, g3_unnest_whole, k4_prompts, k8_retry_rounds, k16_batch, k16_steps, k15_recovery, w4_failed_steps, k12_notes, w5_note_paths, k17_note_index, s6_asset_gate, s5_asset_types, s3_page_content, a8_summary)}
 
 _WORDS = r"regexp_replace(left(text, 60), '[\\\x22\x00-\x1f]', ' ', 'g')"
 _NORM = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\s+', ' ', 'g'))"

@@ -258,6 +258,10 @@ def test_whole_run_and_again(spark):
     got = {r.seq: (r.outcome, r.error_type) for r in out["outcomes"].collect()}
     assert got == {1: ("completed", None), 2: ("duplicate", None), 3: ("failed", "LLM_INVALID_OUTPUT"), 4: ("failed", "EMPTY_SOURCE_TEXT"), 5: ("completed", None)}
     assert {r.kind for r in out["notes"].collect()} == {"processed", "failed"} and out["steps"].filter("seq = 1").count() == 13
+    log = {(r.seq, r.step): (r.status, r.error_type) for r in out["steps"].collect()}
+    last = {seq: max(jobs.STEPS.index(step) for s, step in log if s == seq) for seq in range(1, 6)}
+    assert {seq: jobs.STEPS[n] for seq, n in last.items()} == {1: "complete", 2: "deduplicate", 3: "analyze", 4: "prepare_text", 5: "complete"}
+    assert {k: v for k, v in log.items() if v[0] != "ok"} == {(3, "analyze"): ("failed", "LLM_INVALID_OUTPUT"), (4, "prepare_text"): ("failed", "EMPTY_SOURCE_TEXT")}
     assert {r.phase for r in out["attempts"].collect()} == {"analysis", "synthesis"}
     later = {k: spark.createDataFrame(out[k].collect(), warehouse.SCHEMAS[k]) for k in warehouse.SCHEMAS}
     again = jobs.run(batch, later, answers(spark), F.lit("2024-01-02 00:00:00").cast("timestamp"), total=200)
