@@ -99,7 +99,8 @@ def window_hits(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_byt
     # Places of a row whose block some window has, each as one number: the place, then the window size in the lowest bits.
     bits = size.bit_length()
     blocks = _let(words(F.col("raw")), lambda ws: F.concat(*(_blocks(ws, n, n - _block(n) + 1) for n in bench.sizes)))
-    met = raw.select("k1", "k2", F.explode(blocks).alias("b")).select("k1", "k2", F.col("b.n").alias("n"), F.col("b.place").alias("place"), F.col("b.hash").alias("hash")).join(bench.sent(bench.blocks), ["n", "hash"], "left_semi")
+    # The outer form of explode: else a filter on the array's size is inferred below it, which makes the array once more.
+    met = raw.select("k1", "k2", F.explode_outer(blocks).alias("b")).select("k1", "k2", F.col("b.n").alias("n"), F.col("b.place").alias("place"), F.col("b.hash").alias("hash")).join(bench.sent(bench.blocks), ["n", "hash"], "left_semi")
     code = F.shiftleft(F.col("place").cast("long"), bits).bitwiseOR(F.col("n").cast("long"))
     places = checkpointed(met.groupBy("k1", "k2").agg(F.collect_set(code).alias("codes")))
     places = _few(places, F.size("codes") * 8 + 64, broadcast_bytes)
@@ -115,7 +116,7 @@ def window_hits(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_byt
 
         return F.flatten(F.transform("codes", around))
 
-    near = raw.join(places, ["k1", "k2"]).select("k1", "k2", F.explode(_let(words(F.col("raw")), candidates)).alias("c"))
+    near = raw.join(places, ["k1", "k2"]).select("k1", "k2", F.explode_outer(_let(words(F.col("raw")), candidates)).alias("c"))
     near = near.select("k1", "k2", "c.start", F.col("c.window").alias("own"), F.xxhash64("c.window").alias("w1"))
     hits = near.join(bench.sent(bench.windows), "w1").filter("own = window")
     return checkpointed(hits.select("k1", "k2", "start", "n", "w1", "w2").distinct()), bench.items.select("w1", "w2", "item")

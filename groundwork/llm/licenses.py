@@ -12,6 +12,7 @@ Null and empty texts have no words and no spans. Very long texts are streamed wh
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ PHRASES = {
 TEMPLATES = {
     "mit": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
         "Released under the MIT License.",
     ],
     "apache": [
@@ -46,9 +48,26 @@ TEMPLATES = {
     "lgpl": [
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     ],
+    "agpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. You should have received a copy of the GNU Affero General Public License along with this program.",
+    ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     ],
+    "bsd-3-clause": [
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "cc0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "The accompanying program is provided under the terms of this Eclipse Public License (\"Agreement\"). Any use, reproduction or distribution of the program constitutes recipient's acceptance of this agreement.",
+    ],
     "isc": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ],
@@ -179,9 +198,21 @@ class LicenseScanner:
                         if text < len(self.labels):
                             anchors.setdefault(text, []).append((first + i - length_before, end - length_before + 1, length_before))
                 state_before, length_before = state, length
-        for text, found in anchors.items():
-            spans += self._chains(text, sorted(found))
-        return spans
+        return spans + self._best([s for text, found in anchors.items() for s in self._chains(text, sorted(found))])
+
+    def _best(self, spans: list[dict]) -> list[dict]:
+        """Template spans without those that lie inside one of another label that covers more words: a notice of one licence
+        holds most words of its relatives' notices."""
+        reach = max((s["n_words"] for s in spans), default=0)
+        spans.sort(key=lambda s: (s["first_word"], s["label"]))
+        starts = [s["first_word"] for s in spans]
+
+        def inside(s: dict) -> bool:
+            near = spans[bisect_left(starts, s["first_word"] - reach) : bisect_right(starts, s["first_word"])]
+            return any(t["label"] != s["label"] and t["covered"] > s["covered"] and t["first_word"] <= s["first_word"] and s["first_word"] + s["n_words"] <= t["first_word"] + t["n_words"] for t in near)
+
+        kept = [s for s in spans if not inside(s)]
+        return [{k: v for k, v in s.items() if k != "covered"} for s in kept]
 
     def _chains(self, text: int, anchors: list[tuple[int, int, int]]) -> list[dict]:
         """Chains anchors (place, template place, length) that advance in both and leave gaps of at most max_gap words."""
@@ -203,10 +234,10 @@ class LicenseScanner:
                 chain.append(at)
                 at = best[at][1]
             used.update(chain)
-            share = min(1.0, best[i][0] / self.sizes[text]) if at < 0 and chain else 0.0
-            if share >= self.coverage:
+            share = min(1.0, best[i][0] / self.sizes[text])
+            if chain and at < 0 and share >= self.coverage:  # a chain that runs into a better one is part of it
                 first, (last, _, size) = anchors[chain[-1]][0], anchors[i]
-                out.append({"kind": "template", "label": self.labels[text], "first_word": first, "n_words": last + size - first, "coverage": share})
+                out.append({"kind": "template", "label": self.labels[text], "first_word": first, "n_words": last + size - first, "coverage": share, "covered": best[i][0]})
         return out
 
 
