@@ -28,6 +28,15 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_chat_format": op7_chat_format}
+def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op7_chat_format reads back, without the length that depends on the windows: SQL has it from the turns."""
+    return op7_chat_format(spark, sf_dir).drop("formatted_chars")
+
+
+QUERIES = {"op7_chat_format": op7_chat_format, "chat_turns": chat_turns}
 #: The length of the formatted text depends on the windows, which SQL would have to repeat; the tests check it instead.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "chat_turns": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '{TRICKY}' UNION ALL SELECT -1, 1, 'assistant', '{TRICKY}'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256 FROM g"""
+}
