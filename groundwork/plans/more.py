@@ -10,6 +10,7 @@ from groundwork.operators import entities as ent
 from groundwork.operators import jobs, notes, numbers, warehouse
 from groundwork.plans import derive
 from groundwork.plans.derive import table
+from groundwork.streaming import incremental
 
 
 def p14_source_text(spark: SparkSession, d: str) -> DataFrame:
@@ -37,10 +38,11 @@ def d2_refresh_payload(spark: SparkSession, d: str) -> DataFrame:
 def j15_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Pages as media: videos get a transcript, images text, as far as the table of extracted texts has it."""
     p = table(spark, d, "pages")
+    p = p.join(p.groupBy("url").agg(F.min("page_id").alias("page_id")), ["url", "page_id"], "left_semi")  # a url's first page
     kind = F.when(F.col("page_id") % 3 == 0, "video").when(F.col("page_id") % 3 == 1, "image").otherwise("article")
     raw = p.select(F.lit("web").alias("source"), F.col("page_id").cast("string").alias("source_id"), kind.alias("media_type"), F.col("url").alias("media_path"), F.when(F.col("page_id") % 4 == 0, F.lit("had")).alias("transcript"), F.lit(None).cast("string").alias("ocr_text"))
-    told = p.filter("page_id % 5 <> 0").select(F.col("url").alias("path"), F.when(F.col("page_id") % 2 == 0, "transcribe").otherwise("ocr").alias("capability"), F.when(F.col("page_id") % 7 == 0, "failed").otherwise("ok").alias("status"), F.lit("said").alias("text"), F.lit("OCR_FAILED").alias("error_type")).dropDuplicates(["path", "capability"])
-    out, attempts = jobs.enriched(raw.dropDuplicates(["media_path"]), told)
+    told = p.filter("page_id % 5 <> 0").select(F.col("url").alias("path"), F.when(F.col("page_id") % 2 == 0, "transcribe").otherwise("ocr").alias("capability"), F.when(F.col("page_id") % 7 == 0, "failed").otherwise("ok").alias("status"), F.lit("said").alias("text"), F.lit("OCR_FAILED").alias("error_type"))
+    out, attempts = jobs.enriched(raw, told)
     got = attempts.select("source_id", "capability", "status")
     return out.join(got, "source_id", "left").groupBy("media_type", "capability", "status", "transcript", "ocr_text").agg(F.count("*").alias("n"))
 
@@ -100,9 +102,8 @@ def a15_recovery_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x4_event_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The batch form of the stream's counts: events of each type in each hour."""
-    e = table(spark, d, "events")
-    return e.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    """The stream's counts over a table that is there as a whole: events of each type in each hour."""
+    return incremental.counts(table(spark, d, "events"), ["event_type"], "ts")
 
 
 def x2_first_seen(spark: SparkSession, d: str) -> DataFrame:

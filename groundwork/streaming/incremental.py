@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from groundwork.operators import dedup, warehouse
+from groundwork.operators import chunks, dedup, warehouse
 
 
 def first_seen(stream: DataFrame, keys: list[str], time_col: str, late: str = "1 hour") -> DataFrame:
@@ -22,10 +22,12 @@ def counts(stream: DataFrame, by: list[str], time_col: str, window: str = "1 hou
     return stream.withWatermark(time_col, late).groupBy(F.window(time_col, window), *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
-def ingest(stream: DataFrame, store: warehouse.Warehouse, as_of=None):
-    """A function for foreachBatch: each batch is fingerprinted, freed of duplicates and added to the stored contents.
+def ingest(stream: DataFrame, store: warehouse.Warehouse, as_of=None, chunked: Callable[[DataFrame, int], None] | None = None):
+    """A writer: each batch is fingerprinted, freed of duplicates and added to the stored contents.
 
-    A batch that runs again finds its rows stored and adds nothing.
+    chunked(chunks, batch_id) gets the chunks (content_id, chunk_index, chunk_total, chunk) of what the batch has added,
+    before it is stored, so that a batch that fails is chunked again; it should replace what it wrote for the same batch id.
+    A batch that runs again after it was stored finds its rows there and adds nothing.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -42,6 +44,8 @@ def ingest(stream: DataFrame, store: warehouse.Warehouse, as_of=None):
             "content_hash", "content_hash_version", "needs_manual_review", F.lit("pending").alias("status"), (as_of if as_of is not None else F.current_timestamp()).alias("created_at"),
             *(F.lit(None).cast(k).alias(c) for c, k in (("current_analysis_id", "string"), ("processed_at", "timestamp"), ("error_type", "string"), ("error_message", "string"))),
         )
+        if chunked is not None:
+            chunked(chunks.chunk_table(chunks.prepare(new.withColumnRenamed("id", "content_id")), "content_id"), batch_id)
         store.write("contents", warehouse.insert_new(stored, new))
 
     return stream.writeStream.foreachBatch(batch)

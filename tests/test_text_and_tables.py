@@ -285,9 +285,11 @@ def test_streams(spark, tmp_path):
     assert [r.key for r in collect(incremental.stuck_work(read()), "stuck")] == ["b"]
     store = warehouse.Warehouse(spark, str(tmp_path / "store"))
     content = read().select(F.lit("s").alias("source"), F.col("key").alias("source_id"), F.col("status").alias("raw_text"), F.unix_seconds("ts").alias("seq"))
+    chunked = []
     for n in (1, 2):
-        incremental.ingest(content, store, F.lit("2024-01-01").cast("timestamp")).option("checkpointLocation", str(tmp_path / f"ingest{n}")).trigger(availableNow=True).start().awaitTermination()
+        incremental.ingest(content, store, F.lit("2024-01-01").cast("timestamp"), lambda c, _: chunked.extend(r.chunk for r in c.collect())).option("checkpointLocation", str(tmp_path / f"ingest{n}")).trigger(availableNow=True).start().awaitTermination()
         assert sorted(r.source_id for r in store.read("contents").collect()) == ["a", "c"]  # b says what a said before
+        assert sorted(chunked) == ["processing", "x"]  # the second time nothing is new
 
 
 def test_entry_and_oracles(spark):
