@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-_PARTS = r"(?s)<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n"
+_PLACES = "array<struct<window:bigint,row:struct<at:int,shown:string,skip:int,size:int,target:boolean,repeated:boolean,tokens:bigint>>>"
 
 
 def escape(text: Column) -> Column:
@@ -47,29 +47,31 @@ def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, conv_c
     """(conv, window, text, n_repeated, n_tokens, loss): loss is an array of (first, end) code points of text; the first n_repeated turns of a window are repeated."""
     t = turns.select(F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("said"))
     order = W.partitionBy("conv").orderBy("turn", "role", "said")
+    sofar = order.rowsBetween(W.unboundedPreceding, 0)
     t = t.withColumn("at", F.row_number().over(order)).withColumn("tokens", (token_count(F.col("said")) + 4).cast("long"))  # 4 for the marks of a turn
     t = t.withColumn("first", (F.col("at") == 1) & (F.col("role") == "system"))
-    t = t.withColumn("upto", F.sum(F.when(F.col("first"), 0).otherwise(F.col("tokens"))).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    t = t.withColumn("held", F.coalesce(F.max(F.when(F.col("first"), F.col("tokens"))).over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)))
-    t = t.withColumn("step", F.greatest(F.lit(budget - history) - F.col("held"), F.lit(1)).cast("long"))
-    k = F.floor((F.col("upto") - 1) / F.col("step"))
-    over = (F.col("upto") - F.col("tokens") < k * F.col("step")) & (F.col("tokens") > history)
-    t = t.withColumn("window", F.when(F.col("first"), 0).otherwise(2 * k - over.cast("int")).cast("long"))
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     body = escape(F.col("said"))
-    t = t.select("conv", "window", "at", "tokens", "first", "upto", "step", "held", F.concat(head, body, F.lit(END + "\n")).alias("shown"), F.length(head).alias("skip"), F.length(body).alias("size"), (F.col("role") == "assistant").alias("target"))
-    begun = t.filter(~F.col("first")).groupBy("conv", "window").agg(F.min(F.col("upto") - F.col("tokens")).alias("before"), F.least(F.lit(history), budget - F.max("held") - F.sum("tokens")).alias("room"))
-    own = t.select("conv", "window", "at", "tokens", "shown", "skip", "size", "target", F.lit(False).alias("repeated"))
-    # A turn can be history only of the windows that begin within `history` tokens after its first token.
-    last = 2 * F.floor((F.col("upto") - F.col("tokens") + history) / F.col("step")).cast("long") + 2
-    told = t.filter(~F.col("first") & (last > F.col("window"))).withColumn("later", F.explode(F.sequence(F.col("window") + 1, last)))
-    told = told.select(F.col("conv"), F.col("later").alias("window"), "at", "tokens", "shown", "skip", "size", (F.col("upto") - F.col("tokens")).alias("from"))
-    starts = begun.select(F.col("conv").alias("of"), F.col("window").alias("to"), "before", "room")
-    told = told.join(starts, F.col("conv").eqNullSafe(F.col("of")) & (F.col("window") == F.col("to"))).filter(F.col("before") - F.col("from") <= F.col("room"))
-    told = told.select("conv", "window", "at", "tokens", "shown", "skip", "size", F.lit(False).alias("target"), F.lit(True).alias("repeated"))
-    kept = t.filter("first").select(F.col("conv").alias("of"), "at", "tokens", "shown", "skip", "size")
-    system = begun.filter("window > 0").join(kept, F.col("conv").eqNullSafe(F.col("of"))).select("conv", "window", "at", "tokens", "shown", "skip", "size", F.lit(False).alias("target"), F.lit(True).alias("repeated"))
-    every = own.unionByName(told).unionByName(system)
+    t = t.select("conv", "turn", "role", "said", "at", "tokens", "first", F.concat(head, body, F.lit(END + "\n")).alias("shown"), F.length(head).alias("skip"), F.length(body).alias("size"), (F.col("role") == "assistant").alias("target"))
+    t = t.withColumn("upto", F.sum(F.when(F.col("first"), 0).otherwise(F.col("tokens"))).over(sofar)).withColumn("held", F.coalesce(F.max(F.when(F.col("first"), F.col("tokens"))).over(sofar), F.lit(0)))
+    step = F.greatest(F.lit(budget - history) - F.col("held"), F.lit(1)).cast("long")
+    k = F.floor((F.col("upto") - 1) / step)
+    over = (F.col("upto") - F.col("tokens") < k * step) & (F.col("tokens") > history)
+    t = t.withColumn("window", F.when(F.col("first"), 0).otherwise(2 * k - over.cast("int")).cast("long"))
+    # All of a conversation's turns are in one partition from here on: the first turn of each window, what room the window
+    # has for history, and for each turn the windows that start within `history` tokens after its first token.
+    before = F.lag(F.when(~F.col("first"), F.col("window"))).over(order)
+    t = t.withColumn("starts", ~F.col("first") & F.coalesce(before != F.col("window"), F.lit(True)))
+    shown = F.struct("at", "shown", "skip", "size", F.lit(False).alias("target"), F.lit(True).alias("repeated"), "tokens")
+    t = t.withColumn("system", F.when(F.col("starts") & (F.col("window") > 0), F.max(F.when(F.col("first"), shown)).over(sofar)))
+    t = t.drop("turn", "role", "said").withColumn("new", F.sum(F.when(F.col("first"), 0).otherwise(F.col("tokens"))).over(W.partitionBy("conv", "window")))
+    begun = F.when(F.col("starts"), F.struct("window", (F.col("upto") - F.col("tokens")).alias("before"), F.least(F.lit(history), budget - F.col("held") - F.col("new")).alias("room")))
+    t = t.withColumn("from", F.when(~F.col("first"), F.col("upto") - F.col("tokens")).otherwise(F.lit(-1).cast("long")))
+    t = t.withColumn("later", F.collect_list(begun).over(W.partitionBy("conv").orderBy("from").rangeBetween(0, history)))
+    told = F.filter("later", lambda w: ~F.col("first") & (w["window"] > F.col("window")) & (w["before"] - F.col("from") <= w["room"]))
+    own = F.struct("at", "shown", "skip", "size", "target", F.lit(False).alias("repeated"), "tokens")
+    places = F.concat(F.array(F.struct("window", own.alias("row"))), F.transform(told, lambda w: F.struct(w["window"].alias("window"), shown.alias("row"))), F.when(F.col("system").isNotNull(), F.array(F.struct("window", F.col("system").alias("row")))).otherwise(F.array().cast(_PLACES)))
+    every = t.select("conv", F.explode(places).alias("p")).select("conv", "p.window", "p.row.*")
     windows = every.groupBy("conv", "window").agg(F.array_sort(F.collect_list(F.struct("at", "shown", "skip", "size", "target", "repeated"))).alias("turns"), F.sum("tokens").alias("n_tokens"))
     # Places of the targets, by the lengths of what stands before them.
     empty = F.array().cast("array<struct<first:bigint,end:bigint>>")
@@ -94,14 +96,16 @@ def format_chats(turns: DataFrame, budget: int = 512, history: int = 128, conv_c
 
 def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     """(conv, roles, texts, targets, n_chars) of each conversation, from the windows alone: every turn once, in order."""
-    parts = lambda n: F.regexp_extract_all("text", F.lit(_PARTS), F.lit(n))
-    new = lambda xs: F.slice(xs, F.col("n_repeated") + 1, F.greatest(F.size(xs) - F.col("n_repeated"), F.lit(0)))
+    # Every turn is START, role, a line's end, text, END; neither of the marks stands inside one.
+    turns = F.transform(F.split("text", END.replace("|", r"\|") + "\n"), lambda p: F.struct(F.substring_index(p, "\n", 1).alias("head"), p.alias("whole")))
+    new = F.slice(turns, F.col("n_repeated") + 1, F.greatest(F.size(turns) - 1 - F.col("n_repeated"), F.lit(0)))  # the last part is empty
+    said = lambda p: F.substr(p["whole"], F.length(p["head"]) + 2)
     each = windows.select(
         F.col(conv_col).alias("conv"),
         F.struct(
             "window",
-            F.transform(new(parts(1)), unescape_role).alias("roles"),
-            F.transform(new(parts(2)), unescape).alias("texts"),
+            F.transform(new, lambda p: unescape_role(F.substr(p["head"], F.lit(len(START) + 1)))).alias("roles"),
+            F.transform(new, lambda p: unescape(said(p))).alias("texts"),
             F.transform("loss", lambda s: unescape(F.substring(F.col("text"), s["first"].cast("int") + 1, (s["end"] - s["first"]).cast("int")))).alias("targets"),
         ).alias("w"),
         F.length("text").cast("long").alias("n"),
