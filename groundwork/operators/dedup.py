@@ -28,15 +28,18 @@ def within_batch(rows: DataFrame, seq: str = "seq") -> DataFrame:
 
     A row is kept if no earlier kept row has its (source, source_id) or, if it is discriminating, its (source,
     content_hash, version). In rounds: rows that are first among the undecided by both keys are kept, undecided rows that
-    share a key with a kept row are dropped. Each round's state is a written table of keys, not of rows.
+    share a key with a kept row are dropped. Each round's state is a written table of keys, not of rows. A round decides
+    every key whose first row is first by its other key too, so rounds follow the longest run of rows that each hang on the
+    one before by alternating keys, not the number of rows. First rows are found by aggregates alone; rows of a hot key only
+    meet the kept ones, of which a key has one, in joins whose sides are both shuffled as they are and can be split.
     """
     keys = rows.select(F.col(seq).alias("seq"), F.sha2(F.concat_ws("\x1f", "source", "source_id"), 256).alias("k1"), F.when(F.col("discriminating"), F.sha2(F.concat_ws("\x1f", "source", "content_hash", F.col("content_hash_version").cast("string")), 256)).alias("k2"))
-    open_ = checkpointed(keys)
+    open_ = keys = checkpointed(keys)
     kept = None
     while True:
-        m1 = open_.groupBy("k1").agg(F.min("seq").alias("m1"))
-        m2 = open_.filter("k2 is not null").groupBy("k2").agg(F.min("seq").alias("m2"))
-        firsts = checkpointed(open_.join(m1, "k1").filter("seq = m1").drop("m1").join(m2, "k2", "left").filter("m2 is null or seq = m2").select("seq", "k1", "k2"))
+        by_id = open_.groupBy("k1").agg(F.min("seq").alias("seq"), F.min_by("k2", "seq").alias("k2"))
+        by_hash = open_.filter("k2 is not null").groupBy("k2").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("leads"))
+        firsts = checkpointed(by_id.join(by_hash, "seq", "left").filter("k2 is null or leads").select("seq", "k1", "k2"))
         kept = firsts if kept is None else kept.unionByName(firsts)
         rest = open_.join(firsts.select("k1"), "k1", "left_anti").join(firsts.filter("k2 is not null").select("k2"), "k2", "left_anti")
         open_ = checkpointed(rest.select("seq", "k1", "k2"))

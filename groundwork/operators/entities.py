@@ -93,17 +93,29 @@ def merge_plan(requests: DataFrame, entities: DataFrame, aliases: DataFrame, lin
     return out.withColumn("blocked", F.coalesce((F.size("conflicts") > 0) & F.col("delete_source"), F.lit(False)))
 
 
+def _waiting(todo: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(seq) of the requests that must wait. A request changes its source and its source's surface forms and adds to its
+    target; it waits if an earlier one changes what it uses, or uses what it changes."""
+    uses = lambda rows, kind, c, changes: rows.select("seq", F.concat(F.lit(kind), F.col(c)).alias("thing"), F.lit(changes).alias("changes"))
+    named = todo.join(entities.select(F.col("id").alias("source_id"), "canonical_name"), "source_id")
+    called = todo.join(aliases.select(F.col("entity_id").alias("source_id"), "alias"), "source_id")
+    every = uses(todo, "e", "source_id", True).unionByName(uses(todo, "e", "target_id", False)).unionByName(uses(named, "f", "canonical_name", True)).unionByName(uses(called, "f", "alias", True))
+    firsts = every.groupBy("thing").agg(F.min("seq").alias("used"), F.max("seq").alias("last"), F.min(F.when(F.col("changes"), F.col("seq"))).alias("changed"))
+    shared = checkpointed(firsts.filter("changed is not null and used < last").drop("last"))
+    return every.join(shared, "thing").filter(F.col("seq") > F.when(F.col("changes"), F.col("used")).otherwise(F.col("changed"))).select("seq").distinct()
+
+
 def apply_merges(requests: DataFrame, entities: DataFrame, aliases: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, aliases, links) after all requests, in order of seq; dry_run requests write nothing.
 
-    Requests that share an entity go in different rounds, each entity's first request first; a round rewrites the tables
-    from its plan, as one distributed job. A request that names an entity that is gone by then is an error and does nothing.
+    A request waits for earlier ones that take away its source or target, or that share its source or one of its source's
+    surface forms; any number of sources go into one target at once. A round rewrites the tables from its plan, as one
+    distributed job, so rounds follow the longest chain of requests that wait for each other. A request that names an entity
+    that is gone by then is an error and does nothing.
     """
     todo = checkpointed(requests.filter(~F.coalesce("dry_run", F.lit(False))).select("seq", "source_id", "target_id", "delete_source"))
     while not todo.isEmpty():
-        touch = todo.select("seq", F.col("source_id").alias("e")).unionByName(todo.select("seq", F.col("target_id").alias("e")))
-        first = touch.groupBy("e").agg(F.min("seq").alias("first"))
-        later = touch.join(first, "e").filter("seq > first").select("seq").distinct()
+        later = _waiting(todo, entities, aliases)
         now = checkpointed(todo.join(later, "seq", "left_anti"))
         plan = checkpointed(merge_plan(now, entities, aliases, links).filter("error is null"))
         done = plan.filter("not blocked")
@@ -113,8 +125,8 @@ def apply_merges(requests: DataFrame, entities: DataFrame, aliases: DataFrame, l
         rest = aliases.join(moves.select("alias", "entity_id").distinct(), ["alias", "entity_id"], "left_anti").select("id", "entity_id", "alias")
         gained = moved.join(rest.select("alias"), "alias", "left_anti").select(stable_id("alias", F.col("alias")).alias("id"), F.col("target_id").alias("entity_id"), "alias").dropDuplicates(["alias"])
         aliases = checkpointed(rest.unionByName(gained))
-        to = plan.select(F.col("source_id").alias("entity_id"), "target_id")
-        turned = links.join(to, "entity_id", "left").select("content_id", F.coalesce("target_id", "entity_id").alias("entity_id"), "confidence", F.col("target_id").isNotNull().alias("moved"))
+        to = plan.select(F.col("source_id").alias("entity_id"), "target_id", "seq")
+        turned = links.join(to, "entity_id", "left").select("content_id", F.coalesce("target_id", "entity_id").alias("entity_id"), "confidence", F.struct(F.col("target_id").isNotNull(), "seq").alias("moved"))
         links = checkpointed(turned.groupBy("content_id", "entity_id").agg(F.min_by("confidence", "moved").alias("confidence")))
         gone = done.filter("delete_source and size(conflicts) = 0").select(F.col("source_id").alias("id"))
         entities = checkpointed(entities.join(gone, "id", "left_anti").select(*entities.columns))

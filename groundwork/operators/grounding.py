@@ -6,7 +6,7 @@ entities(content_id, ord, name), aliases(canonical, alias). All joins keep conte
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,10 +32,19 @@ def surface_forms(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     return forms.withColumn("folded", fold_for_matching(F.col("alias")))
 
 
+def _forms_by_content(forms: DataFrame) -> DataFrame:
+    """(content_id, forms): a content's surface forms as one array, so that its texts are joined once and not once a form."""
+    return forms.groupBy("content_id").agg(F.collect_list(F.struct("ord", "name", "alias", "folded")).alias("forms"))
+
+
+def _within(text: Column) -> Column:
+    return F.filter("forms", lambda f: F.contains(text, f["folded"]))
+
+
 def entity_hits(claims: DataFrame, forms: DataFrame) -> DataFrame:
     """(content_id, claim_ord, ord, name, matched_alias): the entities that a claim names, by their longest alias in it."""
     folded = claims.select("content_id", F.col("ord").alias("claim_ord"), fold_for_matching(F.col("text")).alias("said"))
-    near = folded.join(forms, "content_id").filter(F.contains("said", F.col("folded")))
+    near = folded.join(_forms_by_content(forms), "content_id").select("content_id", "claim_ord", F.explode(_within(F.col("said"))).alias("form")).select("content_id", "claim_ord", "form.*")
     best = F.min_by("alias", F.struct(-F.length("alias"), "alias"))  # of equally long ones the first in order
     return near.groupBy("content_id", "claim_ord", "ord", "name").agg(best.alias("matched_alias"))
 
@@ -45,7 +54,7 @@ def ground(claims: DataFrame, sources: DataFrame, entities: DataFrame, aliases:
     forms = surface_forms(entities, aliases)
     hits = entity_hits(claims, forms)
     folded = sources.select("content_id", fold_for_matching(F.col("text")).alias("source"))
-    found = forms.join(folded, "content_id").groupBy("content_id", "ord").agg(F.bool_or(F.contains("source", F.col("folded"))).alias("in_source"))
+    found = folded.join(_forms_by_content(forms), "content_id").select("content_id", F.explode(F.array_distinct(_within(F.col("source"))["ord"])).alias("ord")).distinct().withColumn("in_source", F.lit(True))
     by_entity = hits.join(found, ["content_id", "ord"], "left").withColumn("in_source", F.coalesce("in_source", F.lit(False)))
     in_order = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "name")))), lambda x: x["name"])
     named = by_entity.groupBy("content_id", F.col("claim_ord").alias("ord")).agg(in_order(F.lit(True)).alias("entities"), in_order(~F.col("in_source")).alias("ungrounded_entities"), F.bool_or("in_source").alias("any_entity"))

@@ -21,6 +21,10 @@ UNIQUE = {"contents": ["source", "source_id"], "entities": ["canonical_name"], "
 PAYLOAD = ("source_url", "title", "author", "author_id", "description", "media_type", "raw_text", "transcript", "ocr_text", "content_hash", "content_hash_version", "needs_manual_review")
 
 
+#: What the folders of additions to a table end in.
+ADDED = "-add"
+
+
 def stable_id(kind: str, *parts: Column) -> Column:
     """A deterministic id of 32 hex digits from a natural key."""
     return F.substring(F.sha2(F.concat_ws("\x1f", F.lit(kind), *parts).cast("binary"), 256), 1, 32)
@@ -29,8 +33,8 @@ def stable_id(kind: str, *parts: Column) -> Column:
 class Warehouse:
     """Tables as folders of versions below a root that Spark can read. A write makes a new version and then names it.
 
-    The current version of a table is the highest one whose writer has finished (Spark leaves _SUCCESS); a writer that is
-    lost before that changes nothing.
+    The current version of a table is the highest one whose writer has finished (Spark leaves _SUCCESS), and the additions
+    with higher numbers; a writer that is lost before that changes nothing. Writing what was read makes one version of it.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -41,31 +45,43 @@ class Warehouse:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(conf), p
 
-    def _versions(self, table: str) -> list[int]:
+    def _versions(self, table: str) -> list[tuple[int, str]]:
+        """(number, folder) of what has been written, in order; the folders of additions end in -add."""
         fs, path = self._fs(f"{self.root}/{table}")
         if not fs.exists(path):
             return []
         done = lambda n: fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[1])
         names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted(int(n) for n in names if n.isdigit() and done(n))
+        return sorted((int(n.removesuffix(ADDED)), n) for n in names if n.removesuffix(ADDED).isdigit() and done(n))
 
     def read(self, table: str) -> DataFrame:
         versions = self._versions(table)
         if not versions:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/{versions[-1]}")
+        last = max((n for n, name in versions if not name.endswith(ADDED)), default=0)
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*(f"{self.root}/{table}/{name}" for n, name in versions if n >= last))
 
     def write(self, table: str, rows: DataFrame) -> None:
         """Replaces the table; breaks if a unique key has two rows, before anything becomes visible."""
+        self._put(table, rows, "")
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        """Adds rows without writing the others again; breaks if a unique key would have two rows, before anything becomes visible."""
+        self._put(table, rows, ADDED)
+
+    def _put(self, table: str, rows: DataFrame, suffix: str) -> None:
         schema = T._parse_datatype_string(SCHEMAS[table])
         new = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
-        n = (self._versions(table) or [0])[-1] + 1
+        n = (self._versions(table) or [(0, "")])[-1][0] + 1
         staged = f"{self.root}/{table}/.staged-{n}"
         new.write.mode("overwrite").parquet(staged)
-        if table in UNIQUE and not self.spark.read.schema(SCHEMAS[table]).parquet(staged).groupBy(*UNIQUE[table]).count().filter("count > 1").isEmpty():
-            raise ValueError(f"{table}: {', '.join(UNIQUE[table])} must be unique")
+        if table in UNIQUE:
+            keys = self.spark.read.schema(SCHEMAS[table]).parquet(staged).select(*UNIQUE[table])
+            twice = not keys.groupBy(*UNIQUE[table]).count().filter("count > 1").isEmpty()
+            if twice or (suffix and not keys.join(self.read(table), UNIQUE[table], "left_semi").isEmpty()):
+                raise ValueError(f"{table}: {', '.join(UNIQUE[table])} must be unique")
         fs, path = self._fs(staged)
-        fs.rename(path, self._fs(f"{self.root}/{table}/{n}")[1])
+        fs.rename(path, self._fs(f"{self.root}/{table}/{n}{suffix}")[1])
 
 
 def insert_new(contents: DataFrame, rows: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def ingest(stream: DataFrame, store: warehouse.Warehouse, as_of=None, chunked: C
 
     chunked(chunks, batch_id) gets the chunks (content_id, chunk_index, chunk_total, chunk) of what the batch has added,
     before it is stored, so that a batch that fails is chunked again; it should replace what it wrote for the same batch id.
-    A batch that runs again after it was stored finds its rows there and adds nothing.
+    A batch that runs again after it was stored finds its rows there and adds nothing. A batch writes its own rows only.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -46,7 +46,7 @@ def ingest(stream: DataFrame, store: warehouse.Warehouse, as_of=None, chunked: C
         )
         if chunked is not None:
             chunked(chunks.chunk_table(chunks.prepare(new.withColumnRenamed("id", "content_id")), "content_id"), batch_id)
-        store.write("contents", warehouse.insert_new(stored, new))
+        store.append("contents", new)
 
     return stream.writeStream.foreachBatch(batch)
 

@@ -207,6 +207,15 @@ def test_warehouse_versions(spark, tmp_path):
     with pytest.raises(ValueError):
         store.write("topics", spark.createDataFrame([("1", "a"), ("2", "a")], "id string, name string"))
     assert store.read("topics").count() == 2
+    store.append("topics", spark.createDataFrame([("3", "c")], "id string, name string"))
+    store.append("topics", spark.createDataFrame([], "id string, name string"))
+    for again in ([("4", "c")], [("4", "d"), ("5", "d")]):
+        with pytest.raises(ValueError):
+            store.append("topics", spark.createDataFrame(again, "id string, name string"))
+    assert sorted(r.name for r in store.read("topics").collect()) == ["a", "b", "c"]
+    store.write("topics", store.read("topics").filter("name <> 'a'"))
+    store.append("topics", spark.createDataFrame([("6", "a")], "id string, name string"))
+    assert sorted((r.id, r.name) for r in store.read("topics").collect()) == [("2", "b"), ("3", "c"), ("6", "a")]
 
 
 def test_merges(spark):
@@ -222,6 +231,52 @@ def test_merges(spark):
     assert plan[3].error == "SELF" and (plan[1].links_to_move, plan[1].links_to_drop) == (1, 1) and plan[1].to_move == ["A", "al"]
 
 
+def sequential_merges(asks, names, owner, links):
+    for _, s, t, delete, dry in asks:
+        if dry or s == t or s not in names or t not in names:
+            continue
+        forms = {names[s]} | {f for f, o in owner.items() if o == s}
+        clash = {f for f in forms if f != names[t] and owner.get(f) not in (None, s, t)}
+        for f in forms - clash:
+            if owner.get(f) == s:
+                del owner[f]
+            if f != names[t]:
+                owner.setdefault(f, t)
+        for c, e in [k for k in links if k[1] == s]:
+            confidence = links.pop((c, e))
+            links.setdefault((c, t), confidence)
+        if delete and not clash:
+            del names[s]
+    return names, owner, links
+
+
+def test_merges_equal_the_sequential_process(spark):
+    rnd = random.Random(11)
+    ids = [f"e{i}" for i in range(40)]
+    names = {i: i.upper() for i in ids}
+    owner = {f: rnd.choice(ids) for f in [*(f"al{i}" for i in range(40)), *(names[i] for i in rnd.sample(ids, 12))]}
+    links = {(f"c{rnd.randrange(9)}", rnd.choice(ids)): n / 100 for n in range(90)}
+    # Many sources for two targets, which are sources themselves near the end.
+    asks = [(n, rnd.choice(ids), rnd.choice(["e0", "e1", *ids[:6]]), rnd.random() < 0.8, rnd.random() < 0.1) for n in range(24)] + [(24, "e0", "e1", True, False), (25, "e7", "e0", True, False)]
+    e = spark.createDataFrame([(i, n, "other", None) for i, n in names.items()], "id string, canonical_name string, entity_type string, description string")
+    a = spark.createDataFrame([(str(n), o, f) for n, (f, o) in enumerate(owner.items())], "id string, entity_id string, alias string")
+    l = spark.createDataFrame([(*k, v) for k, v in links.items()], "content_id string, entity_id string, confidence double")
+    got = entities.apply_merges(spark.createDataFrame(asks, "seq long, source_id string, target_id string, delete_source boolean, dry_run boolean"), e, a, l)
+    left, owned, linked = sequential_merges(asks, names, owner, links)
+    assert {r.id: r.canonical_name for r in got[0].collect()} == left
+    assert sorted((r.alias, r.entity_id) for r in got[1].collect()) == sorted(owned.items())
+    assert {(r.content_id, r.entity_id): r.confidence for r in got[2].collect()} == linked
+
+
+def test_many_sources_merge_in_one_round(spark, monkeypatch):
+    rounds, plan = [], entities.merge_plan
+    monkeypatch.setattr(entities, "merge_plan", lambda *a: rounds.append(1) or plan(*a))
+    e = spark.range(200).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("n"), F.col("id")).alias("canonical_name"), F.lit("other").alias("entity_type"), F.lit(None).cast("string").alias("description"))
+    ask = spark.range(1, 200).select(F.col("id").alias("seq"), F.col("id").cast("string").alias("source_id"), F.lit("0").alias("target_id"), F.lit(True).alias("delete_source"), F.lit(False).alias("dry_run"))
+    got = entities.apply_merges(ask, e, spark.createDataFrame([], "id string, entity_id string, alias string"), spark.createDataFrame([], "content_id string, entity_id string, confidence double"))
+    assert len(rounds) == 1 and got[0].count() == 1 and got[1].count() == 199
+
+
 def test_contract(spark):
     good = '{"title":"t","summary":"s","analysis_type":"fact","claims":[{"text":"c","type":"fact","confidence":"0.5","evidence":[]}],"overall_confidence":1}'
     bad = '{"title":"t","analysis_type":"x","claims":[{"text":" ","type":"fact","confidence":2}],"overall_confidence":"1.5","facts":[]}'
