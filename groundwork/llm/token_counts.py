@@ -2,7 +2,9 @@
 
 A block's distinct words lie end to end in one array of symbols. Every round finds each word's lowest-rank pair and
 applies it at all its places in that word, for all words at once; words without a pair left drop out. A word's count is
-the number of its symbols that survive. No shuffle: a word's count depends on the word alone.
+the number of its symbols that survive. No shuffle: a word's count depends on the word alone. A very long word has
+thousands of rounds, most of them with few places; it goes through the same rounds by itself, and finds a round's places in
+an index from ranks to places instead of by looking through its array.
 
 Null and empty texts have no tokens. Texts are taken whole, whatever their length.
 """
@@ -10,6 +12,7 @@ Null and empty texts have no tokens. Texts are taken whole, whatever their lengt
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -25,6 +28,8 @@ from groundwork.llm.common import pick, text_blocks, tidy
 
 #: Distinct units that a task remembers between blocks; it starts anew beyond that, which changes no result.
 REMEMBERED = 300_000
+#: Words of more bytes find their places in an index.
+LONG = 4096
 NONE = np.iinfo(np.int32).max
 
 
@@ -35,6 +40,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def every_other(chained: np.ndarray) -> np.ndarray:
+    """Of pairs that overlap the one before (chained, from the second on), which apply: every other one of a run, from its left."""
+    starts = np.flatnonzero(np.concatenate(([True], ~chained)))
+    n = len(chained) + 1
+    return (np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))) % 2 == 0
+
+
 class WordBpe:
     """A vocabulary file of kind "BPE with word ends": merges by rank, a suffix on each word's last symbol."""
 
@@ -62,6 +74,58 @@ class WordBpe:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """How many symbols of each word survive; an empty word has none."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        counts = self.count_short([b"" if len(w) > LONG else w for w in words])
+        counts[long] = [self.count_long(words[i]) for i in long]
+        return counts
+
+    def count_long(self, word: bytes) -> int:
+        flat = np.frombuffer(word, np.uint8)
+        n = left = len(flat)
+        ids = self.inner[flat]
+        ids[-1] = self.last[flat[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # the symbols that stand next to each one; n is none
+        rank = np.full(n, NONE, np.int32)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def enter(at: np.ndarray) -> None:
+            at = at[after[at] < n]
+            found = self.rank_of(ids[at], ids[after[at]])
+            at, found = at[found != NONE], found[found != NONE]
+            rank[at] = found
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            cuts = np.flatnonzero(found[1:] != found[:-1]) + 1
+            for r, some in zip(found[np.concatenate(([0], cuts))[: len(found)]].tolist(), np.split(at, cuts)):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(queue, r)
+                places[r].append(some)
+
+        enter(np.arange(n))
+        while queue:
+            lowest = heapq.heappop(queue)
+            hit = np.unique(np.concatenate(places.pop(lowest)))
+            hit = hit[rank[hit] == lowest]  # places that have changed since they were entered are of another rank now
+            if not len(hit):
+                continue
+            chained = after[hit[:-1]] == hit[1:]
+            if chained.any():
+                hit = hit[every_other(chained)]
+            gone = after[hit]
+            ids[hit] = self.made[lowest]
+            rank[gone] = NONE
+            after[hit] = after[gone]
+            before[after[hit]] = hit
+            left -= len(hit)
+            touched = np.unique(np.concatenate((hit, before[hit])))
+            touched = touched[touched >= 0]
+            rank[touched] = NONE
+            enter(touched)
+        return left
+
+    def count_short(self, words: list[bytes]) -> np.ndarray:
         sizes = np.array([len(w) for w in words], np.int64)
         counts = sizes.copy()
         flat = np.frombuffer(b"".join(words), np.uint8)
@@ -85,9 +149,8 @@ class WordBpe:
                     break
             hit = np.flatnonzero(rank == np.repeat(lowest, size))
             chained = np.diff(hit) == 1
-            if chained.any():  # pairs that overlap: every other one of a run, from its left
-                starts = np.flatnonzero(np.concatenate(([True], ~chained)))
-                hit = hit[(np.arange(len(hit)) - np.repeat(starts, np.diff(np.append(starts, len(hit))))) % 2 == 0]
+            if chained.any():
+                hit = hit[every_other(chained)]
             ids[hit] = self.made[rank[hit]]
             keep = np.ones(len(ids), bool)
             keep[hit + 1] = False

@@ -403,3 +403,15 @@ def test_spans_are_cut_out(spark):
     items = spark.createDataFrame([(1, "A b C d")], "item_id long, text string")
     got = {r.doc_id: r.text for r in decontam.remove_spans(docs, items).collect()}
     assert got == {1: "Before, , after.", 2: "...", 3: "a b x", 4: None, 5: " x "}
+
+
+def test_long_words_have_the_library_s_counts():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        content = f.read()
+    lib, counter, rnd = Tokenizer.from_str(content), token_counts.BlockCounter(token_counts.WordBpe(content)), random.Random(8)
+    letters = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    texts = ["a" * n for n in (4096, 4097, 9001)] + ["ab" * 5000, letters("ab", 9000), letters("etaoinshrdlu", 20_000), letters("语言模型训练数据中文", 5000), "!" * 6001, letters("é\u0301ßΣσ", 6000) + " x " + letters("thea", 7000) + "。"]
+    assert counter.count(texts) == [len(lib.encode(x, add_special_tokens=False).ids) for x in texts]
+    # The index and the array give the same counts for words of every size.
+    words = [letters("abcdeft", n).encode() for n in (1, 2, 3, 10, 100, 1000)] + [b"a" * n for n in range(1, 20)]
+    assert [counter.bpe.count_long(w) for w in words] == counter.bpe.count_short(words).tolist()
