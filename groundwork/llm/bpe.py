@@ -25,10 +25,10 @@ from pyspark.sql import types as T
 
 from groundwork.llm.common import pick, text_blocks, tidy
 
-#: Distinct units that a task remembers between blocks; it starts anew beyond that, which changes no result.
-REMEMBERED = 200_000
-#: Larger than elsewhere: every step over a block costs the same few array operations for each rank.
-BLOCK_BYTES = 4 << 20
+#: Distinct units, and distinct pre-tokens, that a task remembers between blocks, and their characters; it starts anew beyond
+#: that, which changes no result. A text that is one unit is as long as it is, so a number of units alone bounds nothing.
+REMEMBERED, REMEMBERED_CHARS = 200_000, 8 << 20
+BLOCK_BYTES = 2 << 20
 NONE = np.iinfo(np.int32).max
 
 
@@ -213,27 +213,36 @@ class BlockEncoder:
     def __init__(self, replay: MergeReplay, pattern: str, remembered: int = REMEMBERED):
         self.replay, self.find, self.remembered = replay, regex.compile(pattern).findall, remembered
         self.loose = regex.compile(r" (?=\s|$)").search
-        self.forget()
+        self.forget_units()
+        self.forget_words()
 
-    def forget(self) -> None:
-        self.units, self.words = Numbered(), Numbered()
-        self.unit_ids, self.word_ids = Ragged(), Ragged()
+    def forget_units(self) -> None:
+        self.units, self.unit_ids, self.unit_chars = Numbered(), Ragged(), 0
+
+    def forget_words(self) -> None:
+        self.words, self.word_ids, self.word_chars = Numbered(), Ragged(), 0
 
     def learn(self, units: list) -> None:
         known, places, sizes = len(self.words), [], []
         for unit in units:
-            words = self.find(unit[0] if type(unit) is tuple else " " + unit)
+            text = unit[0] if type(unit) is tuple else " " + unit
+            self.unit_chars += len(text)
+            words = self.find(text)
             sizes.append(len(words))
             places += map(self.words.__getitem__, words)
         if len(self.words) > known:
-            self.word_ids.add(*self.replay.encode([w.encode() for w in list(self.words)[known:]]))
+            new = list(self.words)[known:]
+            self.word_chars += sum(map(len, new))
+            self.word_ids.add(*self.replay.encode([w.encode() for w in new]))
         ids, ends = self.word_ids.gather(np.array(places, np.int64))
         bounds = np.concatenate(([0], ends))[np.cumsum([0, *sizes])]
         self.unit_ids.add(ids, np.diff(bounds))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.units) > self.remembered:
-            self.forget()
+        if len(self.units) > self.remembered or self.unit_chars > REMEMBERED_CHARS:
+            self.forget_units()
+        if len(self.words) > self.remembered or self.word_chars > REMEMBERED_CHARS:
+            self.forget_words()
         known, places, sizes = len(self.units), [], []
         number = self.units.__getitem__
         for text in texts:

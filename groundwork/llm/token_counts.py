@@ -23,8 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from groundwork.llm.bpe import BLOCK_BYTES, Numbered
-from groundwork.llm.common import pick, text_blocks, tidy
+from groundwork.llm.bpe import Numbered
+from groundwork.llm.common import BLOCK_BYTES, pick, text_blocks, tidy
 
 #: Distinct units that a task remembers between blocks; it starts anew beyond that, which changes no result.
 REMEMBERED = 300_000
