@@ -46,5 +46,33 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: All pairs of equal words of a text; Spark's checksum is written out, bit by bit. A stretch whose smallest period is smaller
+#: lies in one of that period, as it is at least four periods long.
+_OP12 = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s FROM documents),
+crc AS (SELECT doc_id, s, 0 AS step, CAST(4294967295 AS BIGINT) AS c FROM ids
+        UNION ALL
+        SELECT doc_id, s, step + 1,
+               CASE WHEN step % 9 = 0 THEN xor(c, CAST(unicode(substr(s, step // 9 + 1, 1)) AS BIGINT))
+                    WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS BIGINT)) ELSE c // 2 END
+        FROM crc WHERE step < 9 * length(s)),
+hash AS (SELECT doc_id, xor(c, CAST(4294967295 AS BIGINT)) AS h FROM crc WHERE step = 9 * length(s)),
+split AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+cut AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split LEFT JOIN hash USING (doc_id)),
+word AS (SELECT r, i, w[1 + CASE WHEN i < coalesce(a, n) THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] AS x
+         FROM (SELECT *, unnest(range(0, n)) AS i FROM cut)),
+lag AS (SELECT v.r, v.i, v.i - u.i AS q FROM word v JOIN word u ON v.r = u.r AND v.x = u.x AND u.i < v.i),
+island AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM lag),
+stretch AS (SELECT r, q, min(i) - q AS s, count(*) + q AS n FROM island GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT r, s, n, q FROM stretch b WHERE NOT EXISTS (SELECT 1 FROM stretch o WHERE o.r = b.r AND o.q < b.q AND o.s <= b.s AND o.s + o.n >= b.s + b.n)),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+                  list({'n': n, 's': -s, 'q': -q} ORDER BY n DESC, s, q)[1] AS best FROM run GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM run),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(-best.s AS BIGINT) AS start, CAST(best.n AS BIGINT) AS length, CAST(-best.q AS BIGINT) AS period,
+       CAST(1000 * best.n // -best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM split LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {"op12_periodic_runs": op12_periodic_runs}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op12_periodic_runs": _OP12}
