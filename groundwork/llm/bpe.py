@@ -190,12 +190,12 @@ class Numbered(dict):
 class Ragged:
     """Rows of numbers end to end; gather() lays chosen rows end to end."""
 
-    def __init__(self) -> None:
-        self.flat, self.start, self.count = np.array([], np.int32), np.array([], np.int64), np.array([], np.int32)
+    def __init__(self, kind: type = np.int32) -> None:
+        self.flat, self.start, self.count = np.array([], kind), np.array([], np.int64), np.array([], np.int32)
 
     def add(self, flat: np.ndarray, counts: np.ndarray) -> None:
         self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(counts) - counts))
-        self.flat, self.count = np.concatenate((self.flat, flat.astype(np.int32))), np.concatenate((self.count, counts.astype(np.int32)))
+        self.flat, self.count = np.concatenate((self.flat, flat.astype(self.flat.dtype))), np.concatenate((self.count, counts.astype(np.int32)))
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.count[at]

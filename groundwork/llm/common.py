@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from groundwork.operators.lineage import checkpointed, shared_folder
+from groundwork.operators.lineage import checkpointed, shared_folder, stored
 
-__all__ = ["BLOCK_BYTES", "checkpointed", "parts_of", "pick", "shared_folder", "table", "text_blocks", "tidy"]
+__all__ = ["BLOCK_BYTES", "checkpointed", "parts_of", "pick", "shared_folder", "stored", "table", "text_blocks", "tidy"]
 
 #: Bytes of text that one step inside a task holds at a time.
 BLOCK_BYTES = 4 << 20

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules with a QUERIES dict of name to function(spark, sf_dir), and an ORACLE_SQL dict.
-MODULES = ("q_tokens", "q_scans", "q_langid", "q_decontam", "q_near", "q_spots", "q_chat", "q_html", "q_periodic", "q_topk")
+MODULES = ("q_tokens", "q_scans", "q_langid", "q_decontam", "q_near", "q_spots", "q_chat", "q_html", "q_periodic", "q_topk", "q_align")
 
 
 #: Imported with this module, so that a library that one of them needs is missed here.
