@@ -102,7 +102,7 @@ def super_min_hash(elements: np.ndarray, doc: np.ndarray, docs: int, m: int) ->
         if not keep.any():
             break
         if perm is None:
-            perm = np.tile(np.arange(m, dtype=np.uint8), (int(keep.sum()), 1))
+            perm = np.tile(np.arange(m, dtype=np.min_scalar_type(m)), (int(keep.sum()), 1))
             at = k[keep]
             perm[np.arange(len(at)), at] = 0
         elif not keep.all():

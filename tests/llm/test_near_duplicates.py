@@ -44,3 +44,32 @@ def test_blocks_of_many_shingles_are_split(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
     assert want == {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, block=8, part_shingles=1500).collect()}
+
+
+def test_a_low_similarity_needs_more_slots_than_a_byte_numbers(spark):
+    """Slots of disjoint sets differ at every number of slots; pairs at 50 % are those of all full sets."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    for similarity in (0.85, 0.6, 0.5, 0.3):
+        m = near_dedup.bands_for(similarity, 1e-6) * near_dedup.SLOTS
+        sets = [rnd.integers(0, 2**63, 400, dtype=np.uint64) for _ in range(2)]
+        one, two = near_dedup.super_min_hash(np.concatenate(sets), np.repeat([0, 1], 400), 2, m)
+        assert (one == two).mean() < 0.005, (similarity, m)
+    texts = []
+    for i in range(40):
+        words = [f"w{rnd.integers(0, 900)}" for _ in range(40)]
+        texts += [(3 * i + k, " ".join(words[: 40 - 5 * k] + [f"x{i}{k}{j}" for j in range(5 * k)])) for k in range(3)]
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, t in texts for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 50 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = near_dedup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), words=3, percent=50).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
