@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,9 +23,8 @@ SCHEMAS = {
 UNIQUE = {"contents": ["source", "source_id"], "entities": ["canonical_name"], "entity_aliases": ["alias"], "content_entities": ["content_id", "entity_id"], "topics": ["name"], "content_topics": ["content_id", "topic_id"]}
 PAYLOAD = ("source_url", "title", "author", "author_id", "description", "media_type", "raw_text", "transcript", "ocr_text", "content_hash", "content_hash_version", "needs_manual_review")
 
-
-#: What the folders of additions to a table end in.
-ADDED = "-add"
+#: The folder of the manifests.
+MANIFESTS = "_manifests"
 
 
 def stable_id(kind: str, *parts: Column) -> Column:
@@ -30,58 +32,112 @@ def stable_id(kind: str, *parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", F.lit(kind), *parts).cast("binary"), 256), 1, 32)
 
 
+class Conflict(RuntimeError):
+    """Another writer has replaced a table that this commit was made from."""
+
+
 class Warehouse:
-    """Tables as folders of versions below a root that Spark can read. A write makes a new version and then names it.
+    """Tables as folders below a root that Spark can read, named by numbered manifests.
 
-    The current version of a table is the highest one whose writer has finished (Spark leaves _SUCCESS), and the additions
-    with higher numbers; a writer that is lost before that changes nothing. Writing what was read makes one version of it.
+    A commit writes new folders for all tables that it changes and then names them in one manifest, which is put under the next
+    number only if no file has it. So a commit shows as a whole or not at all, whatever is lost on the way, and of two writers
+    of one number one goes on from what the other has put there: additions are checked again and stay, a replaced table that
+    has changed since it was read is a Conflict. Folders are never written twice; what no manifest names is never read.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf), p
-
-    def _versions(self, table: str) -> list[tuple[int, str]]:
-        """(number, folder) of what has been written, in order; the folders of additions end in -add."""
-        fs, path = self._fs(f"{self.root}/{table}")
-        if not fs.exists(path):
-            return []
-        done = lambda n: fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[1])
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        return sorted((int(n.removesuffix(ADDED)), n) for n in names if n.removesuffix(ADDED).isdigit() and done(n))
-
-    def read(self, table: str) -> DataFrame:
-        versions = self._versions(table)
-        if not versions:
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def _at(self, path: str):
+        return self._hadoop.Path(f"{self.root}/{path}")
+
+    def _files(self):
+        return self._hadoop.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def version(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        fs, folder = self._files(), self._at(MANIFESTS)
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
+
+    def _named(self, version: int) -> dict[str, list[str]]:
+        """The folders of each table."""
+        if version == 0:
+            return {}
+        stream = self._files().open(self._at(f"{MANIFESTS}/{version}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _name(self, version: int, tables: dict[str, list[str]]) -> bool:
+        """Puts a manifest in place; False if that number is taken."""
+        fs, draft = self._files(), self._at(f"{MANIFESTS}/.{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(json.dumps(tables).encode())
+        out.close()
+        context = self._hadoop.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        option = getattr(self._hadoop, "Options$Rename")
+        never_over = self.spark.sparkContext._gateway.new_array(option, 1)
+        never_over[0] = option.NONE
+        try:
+            context.rename(draft, self._at(f"{MANIFESTS}/{version}"), never_over)
+        except Exception as error:
+            if not fs.exists(self._at(f"{MANIFESTS}/{version}")):
+                raise error
+            fs.delete(draft, False)
+            return False
+        return True
+
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        """A table as the last commit, or the one of that number, left it; empty if nothing was written."""
+        folders = self._named(self.version() if version is None else version).get(table)
+        if not folders:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        last = max((n for n, name in versions if not name.endswith(ADDED)), default=0)
-        return self.spark.read.schema(SCHEMAS[table]).parquet(*(f"{self.root}/{table}/{name}" for n, name in versions if n >= last))
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*(f"{self.root}/{table}/{name}" for name in folders))
 
     def write(self, table: str, rows: DataFrame) -> None:
         """Replaces the table; breaks if a unique key has two rows, before anything becomes visible."""
-        self._put(table, rows, "")
+        self.commit(replaced={table: rows})
 
     def append(self, table: str, rows: DataFrame) -> None:
         """Adds rows without writing the others again; breaks if a unique key would have two rows, before anything becomes visible."""
-        self._put(table, rows, ADDED)
-
-    def _put(self, table: str, rows: DataFrame, suffix: str) -> None:
-        schema = T._parse_datatype_string(SCHEMAS[table])
-        new = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
-        n = (self._versions(table) or [(0, "")])[-1][0] + 1
-        staged = f"{self.root}/{table}/.staged-{n}"
-        new.write.mode("overwrite").parquet(staged)
-        if table in UNIQUE:
-            keys = self.spark.read.schema(SCHEMAS[table]).parquet(staged).select(*UNIQUE[table])
-            twice = not keys.groupBy(*UNIQUE[table]).count().filter("count > 1").isEmpty()
-            if twice or (suffix and not keys.join(self.read(table), UNIQUE[table], "left_semi").isEmpty()):
-                raise ValueError(f"{table}: {', '.join(UNIQUE[table])} must be unique")
-        fs, path = self._fs(staged)
-        fs.rename(path, self._fs(f"{self.root}/{table}/{n}{suffix}")[1])
+        self.commit(added={table: rows})
+
+    def commit(self, replaced: dict[str, DataFrame] | None = None, added: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
+        """Replaces some tables and adds to others, all or nothing; returns the commit's number. base: the version that the
+        replacements were made from, the last one if it isn't told."""
+        replaced, added = replaced or {}, added or {}
+        base = self.version() if base is None else base
+        folders = {t: self._written(t, rows) for t, rows in (*replaced.items(), *added.items())}
+        while True:
+            last = self.version()
+            named = self._named(last)
+            if last != base and any(named.get(t) != self._named(base).get(t) for t in replaced):
+                raise Conflict(f"{', '.join(replaced)} changed between versions {base} and {last}")
+            for t in added:
+                if t in UNIQUE and not self._keys(t, folders[t]).join(self.read(t, last), UNIQUE[t], "left_semi").isEmpty():
+                    raise ValueError(f"{t}: {', '.join(UNIQUE[t])} must be unique")
+            if self._name(last + 1, {**named, **{t: [folders[t]] for t in replaced}, **{t: [*named.get(t, []), folders[t]] for t in added}}):
+                return last + 1
+
+    def _written(self, table: str, rows: DataFrame) -> str:
+        """A new folder with the rows; breaks if a unique key has two of them."""
+        schema, name = T._parse_datatype_string(SCHEMAS[table]), uuid.uuid4().hex
+        rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields)).write.parquet(f"{self.root}/{table}/{name}")
+        if table in UNIQUE and not self._keys(table, name).groupBy(*UNIQUE[table]).count().filter("count > 1").isEmpty():
+            raise ValueError(f"{table}: {', '.join(UNIQUE[table])} must be unique")
+        return name
+
+    def _keys(self, table: str, folder: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{table}/{folder}").select(*UNIQUE[table])
+
+    def save_analyses(self, new: DataFrame) -> int:
+        """Adds analyses and moves their contents' pointers in one commit; breaks if a content is missing, and adds nothing twice."""
+        base = self.version()
+        moved, fresh = _pointed(self.read("contents", base), self.read("analyses", base), new)
+        return self.commit(replaced={"contents": moved}, added={"analyses": fresh}, base=base)
 
 
 def insert_new(contents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -122,12 +178,18 @@ def append_analyses(contents: DataFrame, analyses: DataFrame, new: DataFrame) ->
 
     A run that is repeated brings the ids it brought before; those are not added again.
     """
+    moved, fresh = _pointed(contents, analyses, new)
+    return moved, analyses.unionByName(fresh.select(*analyses.columns))
+
+
+def _pointed(contents: DataFrame, analyses: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(contents with their pointers moved, the analyses that are not stored yet)."""
     if not new.join(contents.select(F.col("id").alias("content_id")), "content_id", "left_anti").isEmpty():
         raise ValueError("an analysis has no content")
     fresh = new.join(analyses.select("id"), "id", "left_anti")
     top = new.groupBy("content_id").agg(F.max_by("id", F.struct("created_at", "id")).alias("__to"))
     moved = contents.join(top, contents["id"] == top["content_id"], "left").withColumn("current_analysis_id", F.coalesce("__to", "current_analysis_id")).select(*contents.columns)
-    return moved, analyses.unionByName(fresh.select(*analyses.columns))
+    return moved, fresh
 
 
 def upsert_links(links: DataFrame, new: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
