@@ -23,23 +23,54 @@ def fingerprinted(raw: DataFrame) -> DataFrame:
     return out.drop(*(f"__{c}" for c in (*HASH_FIELDS, "source_id")))
 
 
+def _leaders(open_: DataFrame) -> DataFrame:
+    """The undecided rows (seq, k1, k2) that are first by both of their keys; a null k2 is no key."""
+    by_id = open_.groupBy("k1").agg(F.min("seq").alias("seq"), F.min_by("k2", "seq").alias("k2"))
+    by_hash = open_.filter("k2 is not null").groupBy("k2").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("leads"))
+    return by_id.join(by_hash, "seq", "left").filter("k2 is null or leads").select("seq", "k1", "k2")
+
+
+def _chained(open_: DataFrame) -> DataFrame:
+    """The leaders, and all rows whose fate follows from them along chains: rows with a single undecided row before them, by one
+    of their keys or by both, are kept if that one isn't. Chains are contracted by pointer jumping: each step doubles how far
+    a row sees along its chain, and flips its parity as often, so steps follow the logarithm of the longest chain."""
+
+    def two(key: str, rank: str, before: str) -> DataFrame:  # the two first rows of a key are all that counts
+        order = W.partitionBy(key).orderBy("seq")
+        return open_.filter(f"{key} is not null").withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= 2).withColumn(before, F.lag("seq").over(order))
+
+    one, other = two("k1", "r1", "b1"), two("k2", "r2", "b2").select("seq", "r2", "b2")
+    both = one.join(other, "seq", "left").filter("k2 is null or r2 is not null").na.fill(1, ["r2"])
+    single = F.col("b1").isNull() | F.col("b2").isNull() | (F.col("b1") == F.col("b2"))
+    # to: the row that this one hangs on, null for a leader; flips: whether its fate is the opposite of that one's
+    links = checkpointed(both.filter(single).select("seq", "k1", "k2", F.coalesce("b1", "b2").alias("to")).withColumn("flips", F.col("to").isNotNull()))
+    while True:
+        far = links.select(F.col("seq").alias("to"), F.col("to").alias("__to"), F.col("flips").alias("__flips"), F.lit(True).alias("__known"))
+        seen = links.join(far, "to", "left")  # a row that hangs on one that isn't here waits for it
+        jumps = F.col("__to").isNotNull()
+        jumped = seen.select("seq", "k1", "k2", F.when(jumps, F.col("__to")).otherwise(F.col("to")).alias("to"), F.when(jumps, F.col("flips") != F.col("__flips")).otherwise(F.col("flips")).alias("flips"), jumps.alias("moved"), (F.col("to").isNull() | (F.col("__known") & F.col("__to").isNull())).alias("ended"))
+        jumped = checkpointed(jumped)
+        if jumped.filter("moved").isEmpty():
+            return jumped.filter("ended and not flips").select("seq", "k1", "k2")
+        links = jumped.select("seq", "k1", "k2", "to", "flips")
+
+
 def within_batch(rows: DataFrame, seq: str = "seq") -> DataFrame:
     """rows with `kept` and, for those that are not kept, `duplicate_of` (the seq of a kept row) and `deduplicated_by`.
 
     A row is kept if no earlier kept row has its (source, source_id) or, if it is discriminating, its (source,
     content_hash, version). In rounds: rows that are first among the undecided by both keys are kept, undecided rows that
-    share a key with a kept row are dropped. Each round's state is a written table of keys, not of rows. A round decides
-    every key whose first row is first by its other key too, so rounds follow the longest run of rows that each hang on the
-    one before by alternating keys, not the number of rows. First rows are found by aggregates alone; rows of a hot key only
-    meet the kept ones, of which a key has one, in joins whose sides are both shuffled as they are and can be split.
+    share a key with a kept row are dropped. Most batches end there. Of what is left, a round also decides whole chains
+    of rows that each hang on the one before, in a number of steps that grows with the logarithm of their length; only rows with
+    several undecided rows before them wait for the next round. Each round's state is a written table of keys, not of rows.
+    First rows are found by aggregates and by windows that Spark limits before it shuffles; rows of a hot key only meet the
+    kept ones, of which a key has one, in joins whose sides are both shuffled as they are and can be split.
     """
     keys = rows.select(F.col(seq).alias("seq"), F.sha2(F.concat_ws("\x1f", "source", "source_id"), 256).alias("k1"), F.when(F.col("discriminating"), F.sha2(F.concat_ws("\x1f", "source", "content_hash", F.col("content_hash_version").cast("string")), 256)).alias("k2"))
     open_ = keys = checkpointed(keys)
     kept = None
     while True:
-        by_id = open_.groupBy("k1").agg(F.min("seq").alias("seq"), F.min_by("k2", "seq").alias("k2"))
-        by_hash = open_.filter("k2 is not null").groupBy("k2").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("leads"))
-        firsts = checkpointed(by_id.join(by_hash, "seq", "left").filter("k2 is null or leads").select("seq", "k1", "k2"))
+        firsts = checkpointed(_leaders(open_) if kept is None else _chained(open_))
         kept = firsts if kept is None else kept.unionByName(firsts)
         rest = open_.join(firsts.select("k1"), "k1", "left_anti").join(firsts.filter("k2 is not null").select("k2"), "k2", "left_anti")
         open_ = checkpointed(rest.select("seq", "k1", "k2"))
