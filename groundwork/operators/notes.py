@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundwork.functions.names import fenced, file_name, path_inside
 from groundwork.functions.text import one_line
 from groundwork.operators.analyses import EVIDENCE
+from groundwork.operators.lineage import checkpointed
 
 # The sections and the front matter's keys, in their order, and the words of a note.
 SECTIONS = ("摘要", "核心观点", "事实", "作者观点", "推论", "预测", "未验证信息", "值得进一步研究", "相关实体", "相关知识", "原始内容", "Transcript", "OCR")
@@ -15,6 +17,8 @@ KEYS = ("title", "source", "source_id", "source_url", "author", "media_type", "a
 NOTHING, UNTITLED = "（无）", "未命名"
 FOLDERS = {"inbox": "Inbox", "processed": "Processed", "failed": "Failed"}
 ROOT = "Notes"
+#: Characters of the content id that a taken file name gets, and the largest number after them.
+SUFFIXES, LAST_NUMBER = (6, 12, 32), 99
 
 CLAIM_TYPE = f"array<struct<text:string,type:string,author_position:string,time_horizon:string,based_on_claims:array<string>,evidence:array<{EVIDENCE}>,confidence:double,needs_verification:boolean>>"
 
@@ -119,37 +123,49 @@ def existing_index(notes: DataFrame) -> DataFrame:
     """(path, source, source_id, foreign): what the front matter of existing notes (path, markdown) says; without a block a note is foreign."""
     block = F.regexp_extract("markdown", r"(?s)\A\s*---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
     value = lambda k: F.regexp_extract(block, rf"(?m)^{k}:[ \t]*(.*?)[ \t]*$", 1)
-    bare = lambda x: F.when(x.rlike("^'.*'$"), F.replace(F.substring(x, 2, 1_000_000).substr(F.lit(1), F.length(x) - 2), F.lit("''"), F.lit("'"))).when(x.rlike('^".*"$'), x.substr(F.lit(2), F.length(x) - 2)).otherwise(x)
+    bare = lambda x: F.when(x.rlike("^'.*'$"), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit("''"), F.lit("'"))).when(x.rlike('^".*"$'), x.substr(F.lit(2), F.length(x) - 2)).otherwise(x)
     source, source_id = bare(value("source")), bare(value("source_id"))
     return notes.select("path", F.nullif(source, F.lit("")).alias("source"), F.nullif(source_id, F.lit("")).alias("source_id"), ((source == "") | (source_id == "")).alias("foreign"))
 
 
 def assign_paths(notes: DataFrame, existing: DataFrame, root: str = ROOT) -> DataFrame:
-    """notes with path and path_error. A path that another identity holds, on disk or earlier in the batch, gets the first 6, 12
-    or 32 characters of the content id, then -2 to -99; a note of the same identity keeps its path.
+    """notes with path and path_error, in order of (created_at, content_id). A path that another identity holds, on disk or earlier
+    in the batch, gets the first 6, 12 or 32 characters of the content id; a note of the same identity keeps its path. Notes
+    that still have none get the first 6 characters and the next number from 2 to 99 that no note has, else an error.
 
-    Candidates are tried in the same order for all notes: one round of joins for each length, over the notes still open.
+    Each of the four suffixes is one join with the paths that are held and one aggregate for the first of a path, over the notes
+    still open; the numbers come from their rank among the notes of a stem and a list of the numbers that are free.
     """
-    from groundwork.operators.lineage import checkpointed
-
-    key = F.concat_ws("\x1f", "source", "source_id")
+    key, order = F.concat_ws("\x1f", "source", "source_id"), F.struct("created_at", "content_id")
     taken = existing.select("path", F.when(~F.col("foreign"), key).otherwise(F.lit("\x1f")).alias("owner"))
     folder = F.create_map(*(F.lit(x) for k, v in FOLDERS.items() for x in (k, f"{root}/{v}/")))
     open_ = notes.select("content_id", "created_at", key.alias("me"), F.concat(folder[F.col("kind")], F.col("file_name")).alias("stem"))
     bare_id = F.regexp_replace("content_id", "-", "")
-    tries = [F.lit(""), *(F.concat(F.lit("-"), F.substring(bare_id, 1, n)) for n in (6, 12, 32)), *(F.concat(F.lit("-"), F.substring(bare_id, 1, 32), F.lit(f"-{n}")) for n in range(2, 100))]
-    done = None
-    for suffix in tries:
-        wanted = open_.withColumn("path", F.concat("stem", suffix, F.lit(".md")))
-        held = wanted.join(taken.withColumnRenamed("owner", "__owner"), "path", "left").withColumn("free", F.col("__owner").isNull() | (F.col("__owner") == F.col("me")))
-        first = held.filter("free").groupBy("path").agg(F.min_by("me", F.struct(F.col("__owner").isNull(), "created_at", "content_id")).alias("winner"))
-        got = checkpointed(held.filter("free").join(first, "path").filter("me = winner").select("content_id", "me", "path"))
-        done = got if done is None else done.unionByName(got)
-        taken = taken.unionByName(got.select("path", F.col("me").alias("owner")))
-        open_ = checkpointed(open_.join(got.select("content_id"), "content_id", "left_anti"))
+    done = []
+    for suffix in (F.lit(""), *(F.concat(F.lit("-"), F.substring(bare_id, 1, n)) for n in SUFFIXES)):
+        held = open_.withColumn("path", F.concat("stem", suffix, F.lit(".md"))).join(taken, "path", "left")
+        first = held.filter("owner is null").groupBy("path").agg(F.min_by("me", order).alias("first"))
+        told = checkpointed(held.join(first, "path", "left").withColumn("gets", F.coalesce("owner", "first") == F.col("me")))
+        done.append(told.filter("gets").select("content_id", "path"))
+        taken = taken.unionByName(told.filter("gets and owner is null").select("path", F.col("me").alias("owner")).distinct())
+        open_ = told.filter("not gets").select("content_id", "created_at", "me", "stem")
         if open_.isEmpty():
             break
-    named = done.select(F.col("content_id").alias("__id"), "path")
+    else:
+        short = F.coalesce(F.nullif(F.substring(bare_id, 1, SUFFIXES[0]), F.lit("")), F.lit("dup"))
+        left = open_.withColumn("prefix", F.concat("stem", F.lit("-"), short, F.lit("-")))
+        numbers = F.sequence(F.lit(2), F.lit(LAST_NUMBER))
+        named = left.select("prefix").distinct().select("prefix", F.explode(numbers).alias("n")).withColumn("path", F.concat("prefix", "n", F.lit(".md")))
+        used = named.join(taken.select("path").distinct(), "path").groupBy("prefix").agg(F.collect_set("n").alias("used"))
+        place = F.row_number().over(W.partitionBy("prefix").orderBy("created_at", "content_id"))
+        ranked = left.withColumn("place", place).filter(F.col("place") < LAST_NUMBER).join(used, "prefix", "left")
+        free = F.array_except(numbers, F.coalesce("used", F.array().cast("array<int>")))
+        number = F.get(free, F.col("place") - 1)
+        done.append(ranked.filter(number.isNotNull()).select("content_id", F.concat("prefix", number, F.lit(".md")).alias("path")))
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    named = every.select(F.col("content_id").alias("__id"), "path")
     out = notes.join(named, notes["content_id"] == named["__id"], "left").drop("__id")
     return out.withColumn("path_error", F.when(F.col("path").isNull(), "MARKDOWN_WRITE_FAILED").when(~path_inside(F.col("path")), "PATH_ESCAPE"))
 
