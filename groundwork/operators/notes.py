@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from groundwork.functions.names import fenced, file_name, path_inside
 from groundwork.functions.text import one_line
 from groundwork.operators.analyses import EVIDENCE
-from groundwork.operators.lineage import checkpointed
+from groundwork.operators.lineage import checkpointed, stored
+from groundwork.sources.note_files import standing_notes, write_note_files
 
 # The sections and the front matter's keys, in their order, and the words of a note.
 SECTIONS = ("摘要", "核心观点", "事实", "作者观点", "推论", "预测", "未验证信息", "值得进一步研究", "相关实体", "相关知识", "原始内容", "Transcript", "OCR")
@@ -177,6 +178,10 @@ def write_status(notes: DataFrame, existing_notes: DataFrame, policy: str = "ove
     return notes.join(old, "path", "left").withColumns({"status": status, "n_bytes": F.octet_length("markdown")}).drop("__old")
 
 
-def write_notes(notes: DataFrame, folder: str) -> None:
-    """Notes as a table below folder, a part for each kind; it appears as a whole or not at all."""
-    notes.filter("path_error is null").write.mode("overwrite").partitionBy("kind").parquet(folder)
+def write_notes(notes: DataFrame, root: str, policy: str = "overwrite") -> DataFrame:
+    """Writes the notes that have a path as files below root; (content_id, path, status, n_bytes) of each of them: created, updated or
+    skipped. The policy says what becomes of notes that stand already. Nothing is written if the job fails."""
+    placed = notes.filter("path_error is null")
+    status = stored(write_status(placed, standing_notes(notes.sparkSession, root).select("path"), policy).select("content_id", "path", "status", "n_bytes"))
+    write_note_files(placed, root, policy)
+    return status

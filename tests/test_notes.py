@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from groundwork.operators import notes
+from groundwork.sources import note_files
 
 
 def sequential_paths(rows, stored):
@@ -52,3 +54,39 @@ def test_long_front_matter_values_are_read_whole(spark):
     made = notes.render_notes(spark.createDataFrame([("1", "s'", long)], "content_id string, source string, source_id string"))
     row = notes.existing_index(made.select(F.lit("p").alias("path"), "markdown")).collect()[0]
     assert (row.source, row.source_id, row.foreign) == ("s'", long, False)
+
+
+def files(root):
+    return {str(p.relative_to(root)): p.read_bytes().decode() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+def some_notes(spark, *rows):
+    return spark.createDataFrame(rows, "content_id string, path string, markdown string").withColumn("path_error", F.when(F.col("path").isNull(), "MARKDOWN_WRITE_FAILED")).repartition(3)
+
+
+def test_notes_are_written_by_policy(spark, tmp_path):
+    root = tmp_path / "vault"
+    first = some_notes(spark, ("1", "Notes/Processed/a ü+%.md", "eins\n"), ("2", "Notes/Failed/b.md", "zwei"), ("3", None, "x"))
+    told = lambda df: {r.content_id: (r.path, r.status, r.n_bytes) for r in df.collect()}
+    assert told(notes.write_notes(first, str(root))) == {"1": ("Notes/Processed/a ü+%.md", "created", 5), "2": ("Notes/Failed/b.md", "created", 4)}
+    assert files(root) == {"Notes/Processed/a ü+%.md": "eins\n", "Notes/Failed/b.md": "zwei"}
+    assert {tuple(r) for r in note_files.standing_notes(spark, str(root)).collect()} == set(files(root).items())
+    again = some_notes(spark, ("1", "Notes/Processed/a ü+%.md", "new"), ("4", "Notes/c.md", "drei"))
+    assert {k: v[1] for k, v in told(notes.write_notes(again, str(root), "keep_existing")).items()} == {"1": "skipped", "4": "created"}
+    assert files(root)["Notes/Processed/a ü+%.md"] == "eins\n"
+    assert {k: v[1] for k, v in told(notes.write_notes(again, str(root))).items()} == {"1": "updated", "4": "updated"}
+    assert files(root) == {"Notes/Processed/a ü+%.md": "new", "Notes/Failed/b.md": "zwei", "Notes/c.md": "drei"}
+
+
+def test_a_job_that_fails_leaves_nothing_half_written(spark, tmp_path):
+    root = tmp_path / "vault"
+    notes.write_notes(some_notes(spark, ("1", "Notes/a.md", "old")), str(root))
+    rows = [(str(i), f"Notes/{'a' if i == 1 else i}.md", "new") for i in range(60)]
+    lost = some_notes(spark, *rows).withColumn("markdown", F.when(F.col("content_id") == "59", F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("markdown")))
+    with pytest.raises(Exception, match="lost"):
+        note_files.write_note_files(lost, str(root))
+    for path in ("../x.md", "/x.md", "~/x.md", "a/../../x.md"):
+        with pytest.raises(Exception, match="leaves the folder"):
+            note_files.write_note_files(some_notes(spark, ("1", path, "x")), str(root))
+    assert {p: t for p, t in files(root).items() if not p.startswith(".staged-")} == {"Notes/a.md": "old"}
+    assert {r.path for r in note_files.standing_notes(spark, str(root)).collect()} == {"Notes/a.md"}
