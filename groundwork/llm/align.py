@@ -1,9 +1,9 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Each token of a text ends at a byte offset. The ends of the side with fewer tokens drive a search through those of the other
-side: from the last hit on in doubling steps, then by bisection between the last two. Ends that both sides have cut the
-tokens into groups; within a group the ranks of a token's first and last byte among the other side's ends give the range of
-tokens that it overlaps.
+side: from where their unit starts there in doubling steps, then by bisection between the last two. Ends that both sides have
+cut the tokens into groups; the ranks of a token's end and of the one before it among the other side's ends give the range of
+tokens that it overlaps. A block's units are searched side by side in flat arrays.
 
 A unit is a space and what stands up to the next space that has non-spaces on both sides. Neither tokenizer joins bytes across
 such a space: the first one's pattern never matches across it, and no piece of the second one has its space sign after
@@ -23,12 +23,13 @@ import hashlib
 import json
 import os
 import re
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,90 +46,136 @@ BLOCK_BYTES = 2 << 20
 HOT = 1 << 17
 SHIFT = 32
 _SPACE = "▁"
+#: The pattern of byte-level vocabularies, a fixed value, and units of so many characters that are encoded by themselves.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LONG = 4096
 _between = re.compile(r"(?<=\S) (?=\S)").split
 
 
-def common(short: Sequence[int], long: Sequence[int]) -> list[tuple[int, int]]:
-    """Index pairs of the values that two ascending lists share, by galloping through the longer one."""
-    out, at, n = [], 0, len(long)
-    for i, x in enumerate(short):
-        step, high = 1, at
-        while high < n and long[high] < x:
-            at, high, step = high + 1, high + step, 2 * step
-        at = bisect_left(long, x, at, min(high, n))
-        if at == n:
-            break
-        if long[at] == x:
-            out.append((i, at))
-            at += 1
-    return out
-
-
-def cuts(a_ends: Sequence[int], b_ends: Sequence[int]) -> list[tuple[int, int]]:
-    """(a, b) for each group: how many tokens of both sides have ended where it ends."""
-    if len(a_ends) <= len(b_ends):
-        return [(i + 1, k + 1) for i, k in common(a_ends, b_ends)]
-    return [(i + 1, k + 1) for k, i in common(b_ends, a_ends)]
-
-
-def overlaps(a_ends: Sequence[int], b_ends: Sequence[int], groups: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Index pairs of the tokens whose byte ranges overlap, group by group."""
-    a0 = b0 = 0
-    for a1, b1 in groups:
-        if a1 - a0 == 1 or b1 - b0 == 1:
-            yield from ((i, k) for i in range(a0, a1) for k in range(b0, b1))
-        else:
-            first = b0
-            for i in range(a0, a1):
-                last = bisect_left(b_ends, a_ends[i], first, b1)  # the token that holds the last byte of i
-                yield from ((i, k) for k in range(first, last + 1))
-                first = last + (b_ends[last] == a_ends[i])
-        a0, b0 = a1, b1
+def gallop(values: np.ndarray, into: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where each value would stand in an ascending array, at or after its start: doubling steps until a value that isn't less
+    is met, then bisection between the last two steps. All values take their steps side by side."""
+    low, high, step, n = start.copy(), start.copy(), 1, len(into)
+    going = np.flatnonzero(high < n)
+    going = going[into[high[going]] < values[going]]
+    while len(going):
+        low[going] = high[going] + 1
+        high[going] = np.minimum(high[going] + step, n)
+        step *= 2
+        going = going[high[going] < n]
+        going = going[into[high[going]] < values[going]]
+    going = np.flatnonzero(low < high)
+    while len(going):
+        middle = (low[going] + high[going]) // 2
+        less = into[middle] < values[going]
+        low[going[less]] = middle[less] + 1
+        high[going[~less]] = middle[~less]
+        going = going[low[going] < high[going]]
+    return low
+
+
+def overlaps(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hit, first, last) for each token of the side with fewer tokens, from both sides' ends: whether the other side has an end
+    where it ends, and its range of the other side's tokens. start: an index of the other side at or before its end."""
+    last = gallop(short, long, start)
+    hit = long[last] == short
+    first = np.concatenate(([0], last[:-1] + hit[:-1])) if len(last) else last
+    return hit, first, last
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each size, end to end."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - sizes), sizes)
 
 
 class Aligner:
     """Aligns blocks of texts. a: a byte-level vocabulary file's content; b: that of a piece model with byte fallback."""
 
     def __init__(self, a: str, b: bytes):
-        self.a = Tokenizer.from_str(a)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         of = {c: i for i, c in enumerate(byte_symbols())}
-        vocabulary = json.loads(a)["model"]["vocab"]
-        self.a_bytes = {i: bytes(of[c] for c in s) for s, i in vocabulary.items() if all(c in of for c in s)}
+        spec = json.loads(a)
+        tokens = {bytes(of[c] for c in s): i for s, i in spec["model"]["vocab"].items() if all(c in of for c in s) and s not in {t["content"] for t in spec["added_tokens"]}}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.whole = any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.a_bytes = [b""] * (max(tokens.values()) + 1)
+        for token, i in tokens.items():
+            self.a_bytes[i] = token
+        self.a_len, self.b_len = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        # What a token writes into the groups' text, at 2 * id before another of its group and side, else at 2 * id + 1.
+        self.said = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"] + [f"{i}{c}" for i in range(len(pieces)) for c in ",;"]
+        self.long = Tokenizer.from_str(a)
+        self.long.encode_special_tokens = True  # their strings in a text are plain text
+        # Ranks say the same as the file's merges if these are listed in the order of the tokens that they make.
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        made = [spec["model"]["vocab"][x + y] for x, y in merges]
+        self.ranks = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=tokens, special_tokens={}) if made == sorted(set(made)) else None
         self.forget()
 
     def forget(self) -> None:
         self.units, self.links, self.groups, self.chars = Numbered(), Ragged(np.int64), [], 0
         self.sizes = np.zeros((0, 5), np.int64)  # tokens of a and b, groups, links, and whether the bytes are not the unit's
 
-    def learn(self, units: list[str]) -> None:
-        sizes, flat, counts = [], [], []
-        for unit, coded, b in zip(units, self.a.encode_batch([" " + u for u in units], add_special_tokens=False), self.b.encode(units, num_threads=1)):
-            a, self.chars = coded.ids, self.chars + len(unit)
-            a_bytes, b_bytes = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            text = b"".join(a_bytes)
-            if text != b"".join(b_bytes) or text != b" " + unit.encode():
-                sizes.append((0, 0, 0, 0, 1))
-                counts.append(0)
-                self.groups.append("")
+    def encode(self, units: list[str]) -> np.ndarray:
+        """The first vocabulary's ids of all units, end to end. Units are encoded together, as none changes another's tokens."""
+        out, some = [], []
+        for unit in units:
+            if self.ranks and len(unit) <= LONG:
+                some.append(unit)
                 continue
-            a_ends, b_ends = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
-            groups = cuts(a_ends, b_ends)
-            links = [a[i] << SHIFT | b[k] for i, k in overlaps(a_ends, b_ends, groups)]
-            flat += links
-            counts.append(len(links))
-            sizes.append((len(a), len(b), len(groups), len(links), 0))
-            told, a0, b0 = [], 0, 0
-            for a1, b1 in groups:
-                told.append(f"{','.join(map(str, a[a0:a1]))}|{','.join(map(str, b[b0:b1]))}")
-                a0, b0 = a1, b1
-            self.groups.append(";".join(told))
-        self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64)))
-        self.links.add(np.array(flat, np.int64), np.array(counts, np.int64))
+            out += [self.ranks.encode_ordinary(" " + " ".join(some))] if some else []
+            out.append(self.long.encode(" " + unit, add_special_tokens=False).ids)
+            some = []
+        out += [self.ranks.encode_ordinary(" " + " ".join(some))] if some else []
+        return np.array(list(chain.from_iterable(out)), np.int64)
+
+    def learn(self, units: list[str]) -> None:
+        self.chars += sum(map(len, units))
+        texts = [b" " + u.encode() for u in units]
+        coded = self.b.encode(units, num_threads=1)
+        n_b = np.array(list(map(len, coded)), np.int64)
+        b = np.fromiter(chain.from_iterable(coded), np.int64, n_b.sum())
+        right = np.ones(len(units), bool)
+        if b"".join(map(self.b_bytes.__getitem__, b.tolist())) != b"".join(texts):
+            right = np.array([b"".join(map(self.b_bytes.__getitem__, ids)) == t for ids, t in zip(coded, texts)])
+            b, n_b = b[np.repeat(right, n_b)], n_b[right]
+            texts = [t for t, ok in zip(texts, right.tolist()) if ok]
+        n_bytes = np.array(list(map(len, texts)), np.int64)
+        a = self.encode([u for u, ok in zip(units, right.tolist()) if ok])
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != b"".join(texts):
+            raise ValueError("the vocabulary doesn't spell out its own tokens")
+        a_ends, b_ends, ends = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b]), np.cumsum(n_bytes)
+        upto_a, upto_b = np.searchsorted(a_ends, ends) + 1, np.cumsum(n_b)  # tokens up to the end of each unit
+        n_a = np.diff(upto_a, prepend=0)
+        a_first = len(a) <= len(b)
+        short, long, n_short, upto_long, n_long = (a_ends, b_ends, n_a, upto_b, n_b) if a_first else (b_ends, a_ends, n_b, upto_a, n_a)
+        hit, first, last = overlaps(short, long, np.repeat(upto_long - n_long, n_short))
+        n = last - first + 1
+        mine, other = np.repeat(np.arange(len(short)), n), ranges(first, n)
+        pairs = (a[mine] << SHIFT | b[other]) if a_first else (a[other] << SHIFT | b[mine])
+        unit = np.repeat(np.arange(len(texts)), n_short)
+        n_links = np.bincount(unit, n, len(texts)).astype(np.int64)
+        n_groups = np.bincount(unit[hit], minlength=len(texts))
+        sizes = np.zeros((len(units), 5), np.int64)
+        sizes[:, 4] = ~right
+        sizes[right, :4] = np.stack((n_a, n_b, n_groups, n_links), axis=1)
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.links.add(pairs, sizes[:, 3])
+        # The groups as text: the tokens of both sides by group, side and place.
+        cut = np.flatnonzero(hit)
+        cut_a, cut_b = (cut, last[cut]) if a_first else (last[cut], cut)
+        of_a, of_b = (np.repeat(np.arange(len(cut)), np.diff(c, prepend=-1)) for c in (cut_a, cut_b))
+        codes = np.concatenate((2 * a, 2 * (b + len(self.a_bytes))))
+        codes[cut_a] += 1
+        codes[len(a) + cut_b] += 1
+        codes = codes[np.argsort(np.concatenate((2 * of_a, 2 * of_b + 1)), kind="stable")].tolist()
+        told, at = iter(np.cumsum(n_a + n_b).tolist()), 0
+        for ok in right.tolist():
+            end = next(told) if ok else at
+            self.groups.append("".join(map(self.said.__getitem__, codes[at:end])))
+            at = end
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, str, np.ndarray, np.ndarray]]:
         """(tokens of a, of b, groups, links, the groups told, distinct links, their times) of each text."""
@@ -139,13 +186,13 @@ class Aligner:
             parts = ([] if not text else [text]) if self.whole else _between(text) if text else []
             places.append(np.fromiter(map(number, parts), np.int64, len(parts)))
         if len(self.units) > known:
-            self.learn(list(self.units)[known:])
+            self.learn(list(islice(self.units, known, None)))
         for at in places:
             a, b, groups, links, wrong = self.sizes[at].sum(axis=0).tolist()
             if wrong:
                 a, b, groups, links, at = 0, 0, 0, 0, at[:0]
             pairs, times = np.unique(self.links.gather(at)[0], return_counts=True)
-            yield a, b, groups, links, ";".join(map(self.groups.__getitem__, at.tolist())), pairs, times
+            yield a, b, groups, links, "".join(map(self.groups.__getitem__, at.tolist()))[:-1], pairs, times
 
 
 _aligners: dict[str, Aligner] = {}  # of this Python worker: the last one it has used

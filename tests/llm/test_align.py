@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -17,13 +18,15 @@ A = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
 B = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
 
 
-def test_galloping_finds_what_is_common():
-    rng = random.Random(1)
-    for _ in range(2000):
-        n = rng.choice((5, 50, 500))
-        x, y = (sorted(rng.sample(range(n), rng.randrange(0, n))) for _ in range(2))
-        x, y = sorted((x, y), key=len)
-        assert align.common(x, y) == [(i, y.index(v)) for i, v in enumerate(x) if v in set(y)]
+def test_galloping_finds_places():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        n = int(rng.choice((1, 5, 50, 5000)))
+        into = np.sort(rng.choice(2 * n, n, replace=False))
+        values = np.sort(rng.integers(-1, 2 * n, rng.integers(0, 60)))
+        want = np.searchsorted(into, values)
+        start = np.maximum(0, want - rng.integers(0, n + 1, len(values)))
+        assert (align.gallop(values, into, start) == want).all()
 
 
 class Plain:
