@@ -25,23 +25,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id. A null id stays."""
+    """One document of each group of near copies stays: the one with the smallest id. A null id stays, and so do empty and null texts;
+    rows that repeat an id go or stay together."""
     copies = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("__copy")).distinct()
     return docs.join(copies, docs["doc_id"] == copies["__copy"], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go. Null and empty texts stay, and all documents if the benchmark is empty."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets inside texts are masked; n_chars follows the text."""
-    return redact_secrets(docs).withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
+    """Secrets inside texts are masked; n_chars, where there is such a column, follows the text. Every row stays; null texts stay null."""
+    clean = redact_secrets(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(*docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, decoded_sha256): ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, n_tokens, token_ids, decoded_sha256): ids as little-endian unsigned 32-bit integers. One row for each row; null and
+    empty texts have no tokens."""
     out = encode_decode(docs, read_ranks(public_tokenizers.path(RANKS)), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
