@@ -1,71 +1,136 @@
-"""Repair of model outputs that should be JSON: clean rows are found in the JVM, only the others go through Python."""
+"""Repair of model outputs that should be JSON: clean rows are found in the JVM, only the others go through Python.
+
+A broken text is read as a list of tokens (strings, blanks, the six marks, and words), and each repair is a rule on a token
+and its neighbours, so nothing inside a string is ever looked at.
+"""
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_FENCE = re.compile(r"^\s*```[A-Za-z0-9_+-]*\s*\n(.*?)\n?\s*```\s*$", re.S)
-_STRING = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)', re.S)
-# What each repair looks for outside of strings, its name, and what stands there afterwards.
-_KEY = re.compile(r"([{,]\s*)([A-Za-z_一-鿿][A-Za-z0-9_\-一-鿿]*)(\s*:)")
-_TRAILING = re.compile(r",\s*([}\]])")
-_LITERAL = re.compile(r"""(?<![\w"'])(True|False|None)(?![\w"'])""")
-_GAP = re.compile(r"""(?<=[}\]"\d])(\s*)(?="[^"\n]{0,120}"\s*:)""")
+_SCAN = re.compile(r'(?s)(?P<string>"(?:\\.|[^"\\])*"?)|(?P<blank>\s+)|(?P<mark>[{}\[\],:])|(?P<word>[^\s{}\[\],:"]+)|(?P<odd>.)')
+#: Characters that may follow the three ticks of a fence.
+_TAG = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+-")
+# The names of the repairs, and the words of another language for JSON's.
 _JSON_WORD = {"True": "true", "False": "false", "None": "null"}
 
 
+class Token(NamedTuple):
+    kind: str
+    text: str
+
+
+def tokens_of(text: str, at: int = 0) -> Iterator[Token]:
+    return (Token(m.lastgroup, m[0]) for m in _SCAN.finditer(text, at))
+
+
 def balanced_json(text: str) -> str | None:
     """The first balanced object or array; brackets inside its strings don't count."""
     at = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
     if at < 0:
         return None
-    opened, closed, depth = text[at], "}" if text[at] == "{" else "]", 0
-    for m in re.compile(rf'{_STRING.pattern}|[{re.escape(opened + closed)}]', re.S).finditer(text, at):
-        if m.group() == opened:
-            depth += 1
-        elif m.group() == closed:
-            depth -= 1
-            if not depth:
-                return text[at : m.end()]
+    pair, depth, end = {"{": 1, "}": -1} if text[at] == "{" else {"[": 1, "]": -1}, 0, at
+    for token in tokens_of(text, at):
+        end += len(token.text)
+        depth += pair.get(token.text, 0)
+        if not depth:
+            return text[at:end]
     return None
 
 
-def _outside(pattern: re.Pattern, text: str, make) -> str:
-    """Replaces matches that start outside of strings; they may look into the strings beside them."""
-    out, at = [], 0
-    while at < len(text):
-        quote = text.find('"', at)
-        m = pattern.search(text, at)
-        if m and (quote < 0 or m.start() <= quote) and (m.end() > m.start() or m.start() >= at):
-            out += [text[at : m.start()], make(m)]
-            at = m.end()
-            if m.end() > m.start():
-                continue
-        if quote < 0:
-            break
-        end = _STRING.match(text, text.find('"', at)).end()
-        out.append(text[at:end])
-        at = end
-    return "".join([*out, text[at:]])
-
-
-def _untrailed(text: str) -> str:
-    while (new := _outside(_TRAILING, text, lambda m: m[1])) != text:
-        text = new
-    return text
-
-
-_STEPS = (
-    ("quoted_bare_keys", lambda t: _outside(_KEY, t, lambda m: f'{m[1]}"{m[2]}"{m[3]}')),
-    ("removed_trailing_commas", _untrailed),
-    ("inserted_missing_commas", lambda t: _outside(_GAP, t, lambda m: ",")),
-    ("normalized_python_literals", lambda t: _outside(_LITERAL, t, lambda m: _JSON_WORD[m[1]])),
+def unfenced(text: str) -> str:
+    """What stands between a first line of three ticks and a tag, and three ticks at the end; else the text."""
+    head, line, rest = text.strip().partition("\n")
+    body = rest.rstrip()
+    tag = head.rstrip()[3:]
+    return body[:-3].strip() if line and head.startswith("```") and body.endswith("```") and _TAG.issuperset(tag) else text
+
+
+def _is_name(word: str) -> bool:
+    """Letters, digits, _ and - of ASCII, and Han characters; no digit or - at the start."""
+    han = lambda c: "\u4e00" <= c <= "\u9fff"
+    plain = lambda c: c.isascii() and (c.isalnum() or c == "_")
+    return not (word[0].isdecimal() or word[0] == "-") and all(han(c) or plain(c) or c == "-" for c in word)
+
+
+class _Around:
+    """A text's tokens, and for each place the nearest tokens that aren't blanks."""
+
+    def __init__(self, text: str):
+        self.all = list(tokens_of(text))
+        self.solid = [i for i, t in enumerate(self.all) if t.kind != "blank"]
+
+    def triples(self) -> Iterator[tuple[int, Token | None, Token, Token | None]]:
+        """(place, token before, token, token after), blanks left out."""
+        near = [None, *(self.all[i] for i in self.solid), None]
+        return ((i, near[k], near[k + 1], near[k + 2]) for k, i in enumerate(self.solid))
+
+
+def _written(tokens: Iterable[Token]) -> str:
+    return "".join(t.text for t in tokens)
+
+
+def quote_names(text: str) -> str:
+    """A name after an opening brace or a comma and before a colon gets quotes."""
+    around = _Around(text)
+    for i, before, token, after in around.triples():
+        if token.kind == "word" and before and before.text in ("{", ",") and after and after.text == ":" and _is_name(token.text):
+            around.all[i] = Token("string", json.dumps(token.text, ensure_ascii=False))
+    return _written(around.all)
+
+
+def drop_last_commas(text: str) -> str:
+    """Commas right before a closing mark go, with the blanks between."""
+    kept: list[Token] = []
+    for token in tokens_of(text):
+        if token.text in ("}", "]"):
+            solid = len(kept)
+            while solid and (kept[solid - 1].kind == "blank" or kept[solid - 1].text == ","):
+                solid -= 1
+            comma = next((i for i in range(solid, len(kept)) if kept[i].text == ","), len(kept))
+            del kept[comma:]
+        kept.append(token)
+    return _written(kept)
+
+
+def add_commas(text: str) -> str:
+    """Between the end of a value (a string, a closing mark, a digit) and a string before a colon belongs a comma."""
+    around = _Around(text)
+    ends = lambda t: t.kind == "string" or t.text in ("}", "]") or (t.kind == "word" and t.text[-1].isdecimal())
+    gaps = {i for i, before, token, after in around.triples() if token.kind == "string" and after and after.text == ":" and before and ends(before)}
+    out: list[Token] = []
+    for i, token in enumerate(around.all):
+        if i in gaps:
+            if out[-1].kind == "blank":
+                out.pop()
+            out.append(Token("mark", ","))
+        out.append(token)
+    return _written(out)
+
+
+def json_words(text: str) -> str:
+    """True, False and None that touch no string become JSON's words."""
+    tokens = list(tokens_of(text))
+    string = lambda i: 0 <= i < len(tokens) and tokens[i].kind == "string"
+    return "".join(_JSON_WORD[t.text] if t.text in _JSON_WORD and not string(i - 1) and not string(i + 1) else t.text for i, t in enumerate(tokens))
+
+
+#: What is done to a text that isn't JSON, in order, until it is.
+_STEPS: tuple[tuple[str, Callable[[str], str]], ...] = (
+    ("stripped_bom", lambda t: t.removeprefix("\ufeff")),
+    ("stripped_code_fence", unfenced),
+    ("extracted_json_object", lambda t: balanced_json(t) or t),
+    ("quoted_bare_keys", quote_names),
+    ("removed_trailing_commas", drop_last_commas),
+    ("inserted_missing_commas", add_commas),
+    ("normalized_python_literals", json_words),
 )
 
 
@@ -75,39 +140,19 @@ def repaired(raw: str | None) -> tuple[str | None, str, str | None]:
     if not text:
         return None, "", f"empty output (length {len(raw or '')})"
     done: list[str] = []
-
-    def parsed(t: str) -> bool:
+    for name, step in (("", lambda t: t), *_STEPS):
+        new = step(text)
+        if name and new == text:
+            continue
+        text = new
+        done += [name] if name else []
         try:
-            json.loads(t)
-            return True
-        except ValueError:
-            return False
-
-    if parsed(text):
-        return text, "", None
-    if text.startswith("\ufeff"):
-        text, _ = text[1:], done.append("stripped_bom")
-        if parsed(text):
-            return text, ",".join(done), None
-    if m := _FENCE.match(text):
-        text, _ = m[1].strip(), done.append("stripped_code_fence")
-        if parsed(text):
-            return text, ",".join(done), None
-    block = balanced_json(text)
-    if block is not None and block != text:
-        text, _ = block, done.append("extracted_json_object")
-        if parsed(text):
+            json.loads(text)
+        except ValueError as e:
+            error = f"{getattr(e, 'msg', 'no JSON')} @ line {getattr(e, 'lineno', 0)} column {getattr(e, 'colno', 0)} (length {len(raw or '')})"
+        else:
             return text, ",".join(done), None
-    for name, step in _STEPS:
-        if (new := step(text)) != text:
-            text, _ = new, done.append(name)
-            if parsed(text):
-                return text, ",".join(done), None
-    try:
-        json.loads(text)
-        return text, ",".join(done), None
-    except ValueError as e:
-        return None, ",".join(done), f"{getattr(e, 'msg', 'no JSON')} @ line {getattr(e, 'lineno', 0)} column {getattr(e, 'colno', 0)} (length {len(raw or '')})"
+    return None, ",".join(done), error
 
 
 def repair_outputs(outputs: DataFrame, raw_col: str = "raw_output") -> DataFrame:
