@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundwork.operators.lineage import checkpointed
+from groundwork.operators.lineage import stored
 from groundwork.operators.repair import repair_outputs
 
 # The contract's enumerations, and keys that reject a record.
@@ -111,10 +111,10 @@ def retry_rounds(prompts: DataFrame, model: Callable[[DataFrame], DataFrame], at
     log = None
     for n in range(1, attempts + 1):
         asked = pending.withColumn("attempt", F.lit(n)).withColumn("prompt", F.when(F.col("hint") == "", F.col("prompt")).otherwise(F.concat("prompt", F.lit("\nThe last answer was refused: "), "hint")))
-        heard = checkpointed(model(asked))
+        heard = stored(model(asked))
         judged = validate(repair_outputs(heard.select("content_id", "phase", "prompt_id", "part", "attempt", "raw_output", "error_type")))
         error = F.when(F.col("error_type").isNotNull(), F.col("error_type")).when(~F.col("valid"), "LLM_INVALID_OUTPUT")
-        round_ = checkpointed(judged.withColumn("error_type", error).withColumn("valid", error.isNull()))
+        round_ = stored(judged.drop("raw_output").withColumn("error_type", error).withColumn("valid", error.isNull()))
         log = round_ if log is None else log.unionByName(round_)
         failed = round_.filter("not valid").select("prompt_id", F.col("summary").alias("hint"))
         pending = prompts.join(failed, "prompt_id")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundwork.operators import analyses, chunks, dedup, entities, grounding, notes, warehouse
-from groundwork.operators.lineage import checkpointed
+from groundwork.operators.lineage import Stage, checkpointed, stage, stored
+from groundwork.sources.note_files import standing_notes
 
 # The steps of a run, in order.
 STEPS = ("preflight", "normalize", "deduplicate", "persist_content", "prepare_text", "analyze", "persist_analysis", "extract_topics", "extract_entities", "normalize_aliases", "render_markdown", "write_obsidian", "complete")
@@ -31,20 +33,34 @@ def enriched(raw: DataFrame, asset_text: DataFrame) -> tuple[DataFrame, DataFram
     return out.select(*raw.columns), attempts
 
 
-def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame], DataFrame], as_of: Column, total: int = chunks.TOTAL, force: bool = False, existing_notes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """New versions of the seven tables, and outcomes, steps, notes with their paths, and the attempt log, for a batch of raw content.
+def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame], DataFrame], as_of: Column, total: int = chunks.TOTAL, force: bool = False, existing_notes: DataFrame | None = None, vault: str | None = None, policy: str = "overwrite") -> dict[str, DataFrame]:
+    """New versions of the seven tables, and outcomes, steps, notes with their paths, the attempt log and the stages, for a batch of
+    raw content.
 
     raw needs seq, the arrival order. Duplicates stop after three steps unless force is set; a failure is a row with an
     error type, never a failed job. Each content's outcome is completed, failed or duplicate. existing_notes (path, source,
     source_id, foreign) are the notes that stand already; a note that finds no path of its own fails its content.
+
+    vault is the folder that the notes are written below; the notes there stand already then, and the policy says what
+    becomes of them. Without a vault nothing is written, and the log says that the step was skipped. What later stages read is
+    written once, as Parquet below the shared folder; its rows, errors and seconds are the stages (ord, stage, rows, errors,
+    seconds), and a step's elapsed time is that of the stage that took it for the whole batch.
     """
+    spark = raw.sparkSession
     rows = dedup.within_batch(dedup.fingerprinted(raw))
     if force:
         rows = rows.withColumn("kept", F.lit(True))  # stored contents are run again even if their texts are equal
     judged = dedup.against_stored(rows.filter("kept"), tables["contents"])
     new_id = warehouse.stable_id("content", F.col("source"), F.col("source_id"))
     judged = judged.withColumn("content_id", F.coalesce("matched_id", new_id)).withColumn("skip", (F.col("outcome") == "duplicate") & F.lit(not force))
-    judged = checkpointed(judged)  # read by every later stage
+    stages: list[Stage] = []
+
+    def kept(name: str, df: DataFrame, error: Column | None = None) -> DataFrame:
+        out, told = stage(name, df, error)
+        stages.append(told)
+        return out
+
+    judged = kept("deduplicate", judged)  # read by every later stage
     work = judged.filter("not skip")
     field = lambda c, k="string": (F.col(c) if c in raw.columns else F.lit(None)).cast(k)
     texts = ("source_url", "title", "author", "author_id", "description", "raw_text", "transcript", "ocr_text")
@@ -52,16 +68,16 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     contents = warehouse.refresh_payload(tables["contents"], payload)
     contents = contents.unionByName(payload.join(contents.select("id"), "id", "left_anti"))
 
-    prepared = chunks.prepare(payload.withColumnRenamed("id", "content_id"), total=total)
-    table = checkpointed(chunks.chunk_table(prepared, "content_id", chunks.chunk_chars(total)))
+    prepared = kept("prepare_text", chunks.prepare(payload.withColumnRenamed("id", "content_id"), total=total))
+    table = kept("chunk", chunks.chunk_table(prepared, "content_id", chunks.chunk_chars(total)))
     results, log = analyses.analyse(table, model)
     empty = prepared.select("content_id").join(table.select("content_id").distinct(), "content_id", "left_anti")
     results = results.unionByName(empty.select("content_id", F.lit(0).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("payload"), F.lit("EMPTY_SOURCE_TEXT").alias("error_type")))
-    results = checkpointed(results)
+    results = kept("analyze", results, F.col("error_type"))
     good = results.filter("payload is not null")
     parts = analyses.unnested(good)
     names = entities.alias_index(tables["entities"], tables["entity_aliases"]).select(F.col("canonical_name").alias("canonical"), F.explode("aliases").alias("alias"))
-    grounded = grounding.ground(parts["claims"], prepared.select("content_id", "text"), parts["entities"].select("content_id", "ord", "name"), names)
+    grounded = kept("ground", grounding.ground(parts["claims"], prepared.select("content_id", "text"), parts["entities"].select("content_id", "ord", "name"), names))
     linked = entities.link_contents(parts["entities"], parts["topics"], tables["entities"], tables["entity_aliases"], tables["topics"], tables["content_entities"], tables["content_topics"])
 
     parsed = good.select("content_id", "chunk_count", "payload", F.from_json("payload", analyses.LOOSE).alias("a"))
@@ -75,12 +91,21 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     note_rows = original.join(about, "content_id").join(told, "content_id", "left").join(entities.linked_names(linked["content_entities"], linked["entities"], linked["entity_aliases"]), "content_id", "left").join(entities.linked_topics(linked["content_topics"], linked["topics"]), "content_id", "left")
     rendered = notes.render_notes(note_rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")))
     lost = original.join(results.filter("payload is null").select("content_id", "error_type"), "content_id").withColumns({"error_message": F.col("error_type"), "created_at": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")})
+    if existing_notes is None and vault:
+        existing_notes = notes.existing_index(standing_notes(raw.sparkSession, vault))
     if existing_notes is None:
         existing_notes = raw.sparkSession.createDataFrame([], "path string, source string, source_id string, foreign boolean")
-    every_note = checkpointed(notes.assign_paths(rendered.unionByName(notes.render_notes(lost, "failed")), existing_notes))
+    both_kinds = kept("render_markdown", rendered.unionByName(notes.render_notes(lost, "failed")))
+    every_note = kept("place_notes", notes.assign_paths(both_kinds, existing_notes), F.col("path_error"))
+    written = every_note.filter("false").select("content_id", F.lit("").alias("status"))
+    if vault:
+        began = time.monotonic()
+        written = notes.write_notes(every_note, vault, policy).select("content_id", "status")
+        stages.append(Stage("write_obsidian", written.count(), 0, time.monotonic() - began))
+    analyzed = results
     unplaced = every_note.filter("path_error is not null").select("content_id", "path_error")
     results = results.join(unplaced, "content_id", "left").withColumn("error_type", F.coalesce("error_type", "path_error")).drop("path_error")
-    results = checkpointed(results.withColumn("outcome", F.when(F.col("error_type").isNull(), "completed").otherwise("failed")))
+    results = stored(results.drop("payload").withColumn("outcome", F.when(F.col("error_type").isNull(), "completed").otherwise("failed")))
     changes = results.select(F.col("content_id").alias("id"), F.col("outcome").alias("status"), "error_type", F.col("error_type").alias("error_message"))
     contents = warehouse.set_status(contents, changes, as_of)
 
@@ -89,13 +114,15 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     ended = work.select("seq", "content_id").join(results.select("content_id", "outcome", "error_type"), "content_id").select("seq", "outcome", F.lit(None).cast("string").alias("deduplicated_by"), "content_id", "error_type")
     outcomes = dropped.unionByName(seen).unionByName(ended)
 
-    # The log: what each stage's own rows say.
+    # The log: what each stage's own rows say, and the time of the stage.
+    took = {t.name: t.seconds for t in stages}
+    of_stage = {"normalize": "deduplicate", "deduplicate": "deduplicate", "prepare_text": "prepare_text", "analyze": "analyze", "render_markdown": "render_markdown", "write_obsidian": "write_obsidian"}
     seqs = work.select("seq", "content_id")
-    of = lambda df, step, detail=F.lit(None), error=F.lit(None): df.select("seq", F.lit(STEPS.index(step)).alias("ord"), F.lit(step).alias("step"), F.when(error.isNotNull(), "failed").otherwise("ok").alias("status"), detail.cast("string").alias("detail"), error.cast("string").alias("error_type"))
+    of = lambda df, step, detail=F.lit(None), error=F.lit(None), done=F.lit("ok"): df.select("seq", F.lit(STEPS.index(step)).alias("ord"), F.lit(step).alias("step"), F.when(error.isNotNull(), "failed").otherwise(done).alias("status"), detail.cast("string").alias("detail"), error.cast("string").alias("error_type"), F.lit(took.get(of_stage.get(step))).cast("double").alias("elapsed"))
     sized = prepared.select("content_id", F.length("text").alias("n_chars"))
     counted = lambda df: df.groupBy("content_id").agg(F.count("*").alias("n"))
     texts_done = seqs.join(sized, "content_id").join(empty.withColumn("none", F.lit(True)), "content_id", "left")
-    asked = seqs.join(results.filter("payload is not null or error_type <> 'EMPTY_SOURCE_TEXT'").select("content_id", "chunk_count", F.when(F.col("payload").isNull(), F.col("error_type")).alias("refused")), "content_id")
+    asked = seqs.join(analyzed.filter("payload is not null or error_type <> 'EMPTY_SOURCE_TEXT'").select("content_id", "chunk_count", F.when(F.col("payload").isNull(), F.col("error_type")).alias("refused")), "content_id")
     answered = seqs.join(good.select("content_id", F.col("chunk_count")), "content_id")
     with_count = lambda df: answered.join(counted(df), "content_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     placed = answered.join(every_note.select("content_id", "path", "path_error", F.octet_length("markdown").alias("bytes")), "content_id")
@@ -105,12 +132,12 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
         of(seqs, "persist_content", F.col("content_id")), of(texts_done, "prepare_text", F.col("n_chars"), F.when(F.col("none"), "EMPTY_SOURCE_TEXT")),
         of(asked, "analyze", F.col("chunk_count"), F.col("refused")), of(answered, "persist_analysis", F.col("chunk_count")),
         of(with_count(parts["topics"]), "extract_topics", F.col("n")), of(with_count(parts["entities"]), "extract_entities", F.col("n")), of(with_count(linked["content_entities"]), "normalize_aliases", F.col("n")),
-        of(placed, "render_markdown", F.col("bytes")), of(placed, "write_obsidian", F.col("path"), F.col("path_error")), of(placed.filter("path_error is null"), "complete"),
+        of(placed, "render_markdown", F.col("bytes")), of(placed.join(written, "content_id", "left"), "write_obsidian", F.col("path"), F.col("path_error"), F.when(F.col("status") != "skipped", "ok").otherwise("skipped") if vault else F.lit("skipped")), of(placed.filter("path_error is null"), "complete"),
     ]
     steps = parts_of_log[0]
     for part in parts_of_log[1:]:
         steps = steps.unionByName(part)
-    return {"contents": contents, "analyses": history, **linked, "outcomes": outcomes, "steps": steps, "notes": every_note, "attempts": log, "grounded": grounded}
+    return {"contents": contents, "analyses": history, **linked, "outcomes": outcomes, "steps": steps, "notes": every_note, "attempts": log, "grounded": grounded, "stages": spark.createDataFrame([(i, *t) for i, t in enumerate(stages)], "ord int, stage string, rows long, errors long, seconds double")}
 
 
 def step_log(outcomes: DataFrame) -> DataFrame:
@@ -171,6 +198,6 @@ def recovery_report(outcomes: DataFrame) -> DataFrame:
 
 def run_report(steps: DataFrame) -> DataFrame:
     """(seq, report): each run's steps as one JSON text."""
-    fields = [c for c in ("ord", "step", "status", "detail", "error_type") if c in steps.columns]
+    fields = [c for c in ("ord", "step", "status", "elapsed", "detail", "error_type") if c in steps.columns]
     ordered = F.array_sort(F.collect_list(F.struct(*fields)))
     return steps.groupBy("seq").agg(F.to_json(ordered).alias("report"))

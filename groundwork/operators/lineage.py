@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,3 +41,21 @@ def stored(df: DataFrame) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Stage(NamedTuple):
+    """What a written stage was: counted while it was written, without a pass of its own."""
+
+    name: str
+    rows: int
+    errors: int
+    seconds: float
+
+
+def stage(name: str, df: DataFrame, error: Column | None = None) -> tuple[DataFrame, Stage]:
+    """(df as a stored table, its stage): error is null in rows without one."""
+    seen, began = Observation(), time.monotonic()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(F.lit(None) if error is None else error).alias("errors"))
+    out = stored(counted)
+    told = seen.get
+    return out, Stage(name, told.get("rows", 0), told.get("errors", 0), time.monotonic() - began)

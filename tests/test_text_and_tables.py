@@ -1,5 +1,6 @@
 """Functions over text, URLs and names, duplicates, tables, entities, grounding, repair, notes, runs and streams, on golden rows."""
 
+import json
 import random
 from decimal import Decimal
 
@@ -304,12 +305,12 @@ def answers(spark):
     return model
 
 
-def test_whole_run_and_again(spark):
+def test_whole_run_and_again(spark, tmp_path):
     tables = {t: spark.createDataFrame([], s) for t, s in warehouse.SCHEMAS.items()}
     rows = [(1, "s", "1", "A", "apple 500"), (2, "s", "2", "A", "apple 500"), (3, "s", "3", "B", "pear"), (4, "s", "4", None, " "), (5, "s", "5", "C", "apple. " * 40)]
     batch = spark.createDataFrame(rows, "seq long, source string, source_id string, title string, raw_text string")
     as_of = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    out = jobs.run(batch, tables, answers(spark), as_of, total=200)
+    out = jobs.run(batch, tables, answers(spark), as_of, total=200, vault=str(tmp_path / "vault"))
     got = {r.seq: (r.outcome, r.error_type) for r in out["outcomes"].collect()}
     assert got == {1: ("completed", None), 2: ("duplicate", None), 3: ("failed", "LLM_INVALID_OUTPUT"), 4: ("failed", "EMPTY_SOURCE_TEXT"), 5: ("completed", None)}
     assert {r.kind for r in out["notes"].collect()} == {"processed", "failed"} and out["steps"].filter("seq = 1").count() == 13
@@ -318,10 +319,23 @@ def test_whole_run_and_again(spark):
     assert {seq: jobs.STEPS[n] for seq, n in last.items()} == {1: "complete", 2: "deduplicate", 3: "analyze", 4: "prepare_text", 5: "complete"}
     assert {k: v for k, v in log.items() if v[0] != "ok"} == {(3, "analyze"): ("failed", "LLM_INVALID_OUTPUT"), (4, "prepare_text"): ("failed", "EMPTY_SOURCE_TEXT")}
     assert {r.phase for r in out["attempts"].collect()} == {"analysis", "synthesis"}
+    files = {str(p.relative_to(tmp_path / "vault")): p.read_text() for p in (tmp_path / "vault").rglob("*.md")}
+    assert files == {r.path: r.markdown for r in out["notes"].collect()} and len(files) == 4
+    stages = {r.stage: r for r in out["stages"].collect()}
+    assert (stages["deduplicate"].rows, stages["analyze"].rows, stages["analyze"].errors, stages["write_obsidian"].rows) == (4, 4, 2, 4)
+    assert all(r.seconds > 0 for r in stages.values())
+    timed = {r.step: r.elapsed for r in out["steps"].filter("seq = 1").collect()}
+    assert timed["analyze"] == stages["analyze"].seconds and timed["write_obsidian"] > 0 and timed["preflight"] is None
+    report = {r.seq: json.loads(r.report) for r in jobs.run_report(out["steps"]).collect()}
+    assert [x["step"] for x in report[2]] == ["preflight", "normalize", "deduplicate"] and report[3][-1]["error_type"] == "LLM_INVALID_OUTPUT"
     later = {k: spark.createDataFrame(out[k].collect(), warehouse.SCHEMAS[k]) for k in warehouse.SCHEMAS}
     again = jobs.run(batch, later, answers(spark), F.lit("2024-01-02 00:00:00").cast("timestamp"), total=200)
     got = {r.seq: r.outcome for r in again["outcomes"].collect()}
     assert got == {1: "duplicate", 2: "duplicate", 3: "failed", 4: "failed", 5: "duplicate"}
+    unwritten = jobs.run(batch.filter("seq = 1"), tables, answers(spark), as_of, total=200)  # no vault
+    assert {r.step for r in unwritten["steps"].filter("status = 'skipped'").collect()} == {"write_obsidian"}
+    kept = jobs.run(batch.filter("seq = 1"), tables, answers(spark), as_of, total=200, vault=str(tmp_path / "vault"), policy="keep_existing")
+    assert {(r.step, r.status) for r in kept["steps"].collect() if r.status != "ok"} == {("write_obsidian", "skipped")}
 
 
 def test_streams(spark, tmp_path):
