@@ -44,17 +44,37 @@ def synthesis_prompts(analyses: DataFrame) -> DataFrame:
     return joined.select("content_id", F.lit("synthesis").alias("phase"), F.concat(F.col("content_id").cast("string"), F.lit(":synthesis")).alias("prompt_id"), F.lit(0).alias("part"), body.alias("prompt"))
 
 
+class RequestFailed(Exception):
+    """What a model raises for a prompt that gets no answer. Any other exception is a bug and fails the job."""
+
+    def __init__(self, error_type: str = "LLM_REQUEST_FAILED"):
+        super().__init__(error_type)
+        self.error_type = error_type
+
+
 def infer(prompts: DataFrame, factory: Callable[[], Callable[[list[str]], list[str | None]]]) -> DataFrame:
-    """prompts with raw_output and error_type. factory is called once in each task and gives a function from prompts to texts."""
+    """prompts with raw_output and error_type. factory is called once in each task and gives a function from prompts to texts.
+
+    A list of prompts whose request fails is asked again prompt by prompt, so that only those without an answer carry the
+    error's type; an answer of None is a failed request too. A list of answers of another length is a bug.
+    """
     schema = T.StructType([*prompts.schema.fields, T.StructField("raw_output", T.StringType()), T.StructField("error_type", T.StringType())])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()
-        for batch in batches:
+
+        def ask(some: list[str]) -> list[tuple[str | None, str | None]]:
             try:
-                yield batch.assign(raw_output=model(batch["prompt"].tolist()), error_type=None)
-            except Exception:
-                yield batch.assign(raw_output=None, error_type="LLM_REQUEST_FAILED")
+                answers = model(some)
+            except RequestFailed as error:
+                return [(None, error.error_type)] if len(some) == 1 else [x for prompt in some for x in ask([prompt])]
+            if len(answers) != len(some):
+                raise ValueError(f"{len(some)} prompts got {len(answers)} answers")
+            return [(x, None if x is not None else "LLM_REQUEST_FAILED") for x in answers]
+
+        for batch in batches:
+            told = ask(batch["prompt"].tolist()) if len(batch) else []
+            yield batch.assign(raw_output=[x for x, _ in told], error_type=[e for _, e in told])
 
     return prompts.mapInPandas(run, schema)
 
