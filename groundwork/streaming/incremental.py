@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from groundwork.operators import chunks, dedup, warehouse
@@ -52,7 +53,11 @@ def ingest(stream: DataFrame, store: warehouse.Warehouse, as_of=None, chunked: C
 
 
 class StuckWork(StatefulProcessor):
-    """Emits (key, since, reset_at) for a key that stays in processing for longer than `seconds` of event time."""
+    """Emits (key, since, reset_at) for a key that stays in processing for longer than `seconds` of event time.
+
+    A row of the key that comes later than that tells it as well as the watermark does, so how rows are cut into micro-batches
+    changes nothing. A key that was told starts anew with its next row in processing.
+    """
 
     def __init__(self, seconds: int = 900):
         self.seconds = seconds
@@ -67,19 +72,22 @@ class StuckWork(StatefulProcessor):
         self.since.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for status, ts in sorted(((s, t) for part in rows for s, t in zip(part["status"], part["ts"])), key=lambda x: x[1]):
+        for ts, status in sorted((int(pd.Timestamp(t).value // 1_000_000), s) for part in rows for s, t in zip(part["status"], part["ts"])):
+            if self.since.exists() and ts > self.since.get()[0] + self.seconds * 1000:
+                yield self._told(key)
             if status != "processing":
                 self._forget()
             elif not self.since.exists():
-                at = int(pd.Timestamp(ts).timestamp() * 1000)
-                self.since.update((at,))
-                self.handle.registerTimer(at + self.seconds * 1000)
-        yield from ()  # only a timer tells
+                self.since.update((ts,))
+                self.handle.registerTimer(ts + self.seconds * 1000)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def _told(self, key) -> pd.DataFrame:
         at = self.since.get()[0]
         self._forget()
-        yield pd.DataFrame({"key": [str(key[0])], "since": [pd.Timestamp(at, unit="ms")], "reset_at": [pd.Timestamp(at + self.seconds * 1000, unit="ms")]})
+        return pd.DataFrame({"key": [str(key[0])], "since": [pd.Timestamp(at, unit="ms")], "reset_at": [pd.Timestamp(at + self.seconds * 1000, unit="ms")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._told(key)
 
     def close(self) -> None:
         pass
@@ -89,3 +97,50 @@ def stuck_work(stream: DataFrame, seconds: int = 900, late: str = "1 minute") ->
     """(key, since, reset_at) from a stream (key, status, ts); the session needs the RocksDB state store."""
     grouped = stream.withWatermark("ts", late).groupBy("key")
     return grouped.transformWithStateInPandas(StuckWork(seconds), outputStructType="key string, since timestamp, reset_at timestamp", outputMode="append", timeMode="eventTime")
+
+
+class FirstOfKey(StatefulProcessor):
+    """Lets the first row of a key through; forgets the key when `keep` seconds of event time have passed since that row."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", "first_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        best = None
+        for part in rows:
+            row = part.sort_values(["ts", "seq"], kind="stable").iloc[:1]
+            if best is None or (row["ts"].iloc[0], row["seq"].iloc[0]) < (best["ts"].iloc[0], best["seq"].iloc[0]):
+                best = row
+        if best is not None and not self.first.exists():
+            at = int(pd.Timestamp(best["ts"].iloc[0]).value // 1_000_000)
+            self.first.update((at,))
+            self.handle.registerTimer(at + self.keep * 1000)
+            yield best
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.first.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def first_seen_by_both(stream: DataFrame, late: str = "1 hour", keep: int = 30 * 86_400) -> DataFrame:
+    """The rows (seq, ts, k1, k2) of a stream that are the first of their identity k1 and, of these, the first of their fingerprint
+    k2; a null k2 counts for nothing. Two keyed states after each other, each with timers that forget a key after `keep` seconds.
+
+    Equal to dedup.within_batch over all rows as long as the rows of an identity share their fingerprint, which rows that are
+    delivered again do. Where they don't, an identity counts from its first row on here, even if that row repeats another
+    one's fingerprint; within_batch would count it from the first row that it keeps, which no fixed number of keyed states can
+    tell. Rows later than the watermark are dropped. The session needs the RocksDB state store.
+    """
+    kept = T.StructType([f for f in stream.schema.fields if f.name in ("seq", "ts", "k1", "k2")])
+    rows = stream.withWatermark("ts", late).select(*(f.name for f in kept.fields))
+    once = rows.groupBy("k1").transformWithStateInPandas(FirstOfKey(keep), outputStructType=kept, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
+    keyed = once.withColumn("k", F.coalesce("k2", F.concat(F.lit("\x1f"), "k1")))
+    twice = keyed.groupBy("k").transformWithStateInPandas(FirstOfKey(keep), outputStructType=T.StructType([*kept.fields, T.StructField("k", T.StringType())]), outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
+    return twice.drop("k")
