@@ -105,16 +105,68 @@ def _waiting(todo: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFr
     return every.join(shared, "thing").filter(F.col("seq") > F.when(F.col("changes"), F.col("used")).otherwise(F.col("changed"))).select("seq").distinct()
 
 
+def _chains(todo: DataFrame, entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(seq, entity_id, target_id, hops): the requests of chains that come out the same whether they are applied one by one or at
+    once, with the entity at their chain's end and how far from it their source is.
+
+    In such a chain each entity is the source of one request and the target of one at most, each request comes before the
+    next one along the chain, sources are deleted, and nobody but the source or its target holds the source's name. Ends are
+    found by pointer jumping over requests: each step doubles how far a request sees.
+    """
+    known = entities.select("id", "canonical_name")
+    r = todo.join(known.select(F.col("id").alias("source_id"), "canonical_name"), "source_id").join(known.select(F.col("id").alias("target_id")), "target_id").filter("source_id <> target_id")
+    held = aliases.select(F.col("alias").alias("canonical_name"), F.col("entity_id").alias("holder"))
+    r = checkpointed(r.join(held, "canonical_name", "left").select("seq", "source_id", "target_id", (F.coalesce("delete_source", F.lit(False)) & (F.col("holder").isNull() | (F.col("holder") == F.col("source_id")) | (F.col("holder") == F.col("target_id")))).alias("plain")))
+    out = r.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n_out"), F.min("seq").alias("next"))
+    into = r.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("n_in"), F.max("seq").alias("last"))
+    ends = checkpointed(out.join(into, "id", "full").withColumn("odd", F.coalesce((F.col("n_out") > 1) | (F.col("n_in") > 1) | (F.col("next") < F.col("last")), F.lit(False))).select("id", "next", "odd"))
+    at = lambda c: ends.select(F.col("id").alias(c), F.col("next").alias(f"{c}_next"), F.col("odd").alias(f"{c}_odd"))
+    both = r.join(at("source_id"), "source_id").join(at("target_id"), "target_id")
+    links = checkpointed(both.select("seq", F.when(~F.col("target_id_odd"), F.col("target_id_next")).alias("to"), F.lit(1).cast("long").alias("hops"), (F.col("plain") & ~F.col("source_id_odd") & ~F.col("target_id_odd")).alias("plain"), F.col("seq").alias("end")))
+    while True:
+        far = links.select(F.col("seq").alias("to"), F.col("to").alias("__to"), F.col("hops").alias("__hops"), F.col("end").alias("__end"))
+        jumped = links.join(far, "to", "left")
+        links = checkpointed(jumped.select("seq", F.col("__to").alias("to"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), "plain", F.coalesce("__end", "end").alias("end")))
+        if links.filter("to is not null").isEmpty():
+            break
+    good = links.groupBy("end").agg(F.min("plain").alias("all_plain")).filter("all_plain").select("end")
+    chosen = links.join(good, "end").join(r.select(F.col("seq").alias("end"), F.col("target_id")), "end")
+    return checkpointed(chosen.join(r.select("seq", F.col("source_id").alias("entity_id")), "seq").select("seq", "entity_id", "target_id", "hops"))
+
+
+def _contracted(chains: DataFrame, entities: DataFrame, aliases: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after all chains: one rewrite of each. The link nearest to a chain's end gives the confidence."""
+    to = chains.select("entity_id", "target_id", "hops")
+    names = entities.select("id", "canonical_name")
+    own = to.join(names, to["entity_id"] == names["id"]).select("target_id", F.col("canonical_name").alias("alias"))
+    forms = own.unionByName(aliases.join(to, "entity_id").select("target_id", "alias"))
+    rest = aliases.join(to.select("entity_id"), "entity_id", "left_anti").select("id", "entity_id", "alias")
+    forms = forms.join(names.select(F.col("id").alias("target_id"), F.col("canonical_name").alias("target_name")), "target_id").filter("alias <> target_name")
+    gained = forms.join(rest.select("alias"), "alias", "left_anti").select(stable_id("alias", F.col("alias")).alias("id"), F.col("target_id").alias("entity_id"), "alias").dropDuplicates(["alias"])
+    turned = links.join(to, "entity_id", "left").select("content_id", F.coalesce("target_id", "entity_id").alias("entity_id"), "confidence", F.coalesce("hops", F.lit(0)).alias("hops"))
+    kept = entities.join(to.select(F.col("entity_id").alias("id")), "id", "left_anti").select(*entities.columns)
+    return checkpointed(kept), checkpointed(rest.unionByName(gained)), checkpointed(turned.groupBy("content_id", "entity_id").agg(F.min_by("confidence", "hops").alias("confidence")))
+
+
 def apply_merges(requests: DataFrame, entities: DataFrame, aliases: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(entities, aliases, links) after all requests, in order of seq; dry_run requests write nothing.
 
     A request waits for earlier ones that take away its source or target, or that share its source or one of its source's
     surface forms; any number of sources go into one target at once. A round rewrites the tables from its plan, as one
-    distributed job, so rounds follow the longest chain of requests that wait for each other. A request that names an entity
-    that is gone by then is an error and does nothing.
+    distributed job. If requests are left, rounds 2, 4, 8, ... also contract whole chains of requests, so
+    that rounds don't follow a chain's length; only requests in conflict with each other, inside what they
+    connect, go one after another. A request that names an entity that is gone by then is an error and does nothing.
     """
     todo = checkpointed(requests.filter(~F.coalesce("dry_run", F.lit(False))).select("seq", "source_id", "target_id", "delete_source"))
+    rounds = 0
     while not todo.isEmpty():
+        rounds += 1
+        if rounds > 1 and rounds & (rounds - 1) == 0:  # in rounds 2, 4, 8, ...: where there is none, looking for chains costs little
+            chains = _chains(todo, entities, aliases)
+            if not chains.isEmpty():
+                entities, aliases, links = _contracted(chains, entities, aliases, links)
+                todo = checkpointed(todo.join(chains.select("seq"), "seq", "left_anti"))
+                continue
         later = _waiting(todo, entities, aliases)
         now = checkpointed(todo.join(later, "seq", "left_anti"))
         plan = checkpointed(merge_plan(now, entities, aliases, links).filter("error is null"))
