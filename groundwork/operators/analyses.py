@@ -122,7 +122,8 @@ def validate(repaired: DataFrame, most: int = 5) -> DataFrame:
 
 
 def retry_rounds(prompts: DataFrame, model: Callable[[DataFrame], DataFrame], attempts: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(answers, log): the first valid answer of each prompt, and every attempt.
+    """(answers, log): the first valid answer of each prompt, and every attempt; a failed one has the step that failed: transport (no
+    answer came), extraction (no JSON in it) or validation (it breaks the contract).
 
     A round asks only for prompts without a valid answer, with the last failure as a hint. The answers of a round are
     written before anything reads them: a stage that ran again would ask the model again.
@@ -134,7 +135,8 @@ def retry_rounds(prompts: DataFrame, model: Callable[[DataFrame], DataFrame], at
         heard = stored(model(asked))
         judged = validate(repair_outputs(heard.select("content_id", "phase", "prompt_id", "part", "attempt", "raw_output", "error_type")))
         error = F.when(F.col("error_type").isNotNull(), F.col("error_type")).when(~F.col("valid"), "LLM_INVALID_OUTPUT")
-        round_ = stored(judged.drop("raw_output").withColumn("error_type", error).withColumn("valid", error.isNull()))
+        step = F.when(F.col("error_type").isNotNull(), "transport").when(F.col("payload").isNull(), "extraction").when(~F.col("valid"), "validation")
+        round_ = stored(judged.drop("raw_output").withColumns({"error_type": error, "valid": error.isNull(), "failed_step": step}))
         log = round_ if log is None else log.unionByName(round_)
         failed = round_.filter("not valid").select("prompt_id", F.col("summary").alias("hint"))
         pending = prompts.join(failed, "prompt_id")
@@ -165,6 +167,16 @@ def attempt_report(log: DataFrame) -> DataFrame:
     return log.groupBy("phase", "attempt").agg(F.count("*").alias("n"), F.count_if(~F.col("valid")).alias("n_failed"), F.count_if(F.col("repairs") != "").alias("n_repaired"))
 
 
+def failure_report(log: DataFrame) -> DataFrame:
+    """(phase, attempt, failed_step, error_type, n): the failed attempts by the step that failed."""
+    return log.filter("not valid").groupBy("phase", "attempt", "failed_step", "error_type").agg(F.count("*").alias("n"))
+
+
+def repairs_made(log: DataFrame) -> DataFrame:
+    """(phase, repair, n): every repair of every attempt, also of those that failed all the same."""
+    return log.filter("repairs <> ''").select("phase", F.explode(F.split("repairs", ",")).alias("repair")).groupBy("phase", "repair").agg(F.count("*").alias("n"))
+
+
 def unnested(analyses: DataFrame, id_col: str = "content_id", payload_col: str = "payload") -> dict[str, DataFrame]:
     """claims, evidence, entities, topics, questions and keywords of valid payloads, each with its place."""
     a = analyses.select(F.col(id_col).alias("content_id"), F.from_json(payload_col, LOOSE).alias("a"))

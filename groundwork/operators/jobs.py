@@ -8,14 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from groundwork.functions.names import cutoff, utc_text
 from groundwork.operators import analyses, chunks, dedup, entities, grounding, notes, warehouse
 from groundwork.operators.lineage import Stage, checkpointed, stage, stored
 from groundwork.sources.note_files import standing_notes
 
 # The steps of a run, in order.
 STEPS = ("preflight", "normalize", "deduplicate", "persist_content", "prepare_text", "analyze", "persist_analysis", "extract_topics", "extract_entities", "normalize_aliases", "render_markdown", "write_obsidian", "complete")
-#: Step that an error type stops, where it isn't the analysis.
-_STOPS = {"EMPTY_SOURCE_TEXT": "prepare_text", "MARKDOWN_WRITE_FAILED": "write_obsidian", "PATH_ESCAPE": "write_obsidian"}
 
 
 def enriched(raw: DataFrame, asset_text: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +37,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     raw content.
 
     raw needs seq, the arrival order. Duplicates stop after three steps unless force is set; a failure is a row with an
-    error type, never a failed job. Each content's outcome is completed, failed or duplicate. existing_notes (path, source,
+    error type, never a failed job. Each content's outcome is completed, failed or duplicate (of which content, if of one). existing_notes (path, source,
     source_id, foreign) are the notes that stand already; a note that finds no path of its own fails its content.
 
     vault is the folder that the notes are written below; the notes there stand already then, and the policy says what
@@ -109,9 +108,11 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     changes = results.select(F.col("content_id").alias("id"), F.col("outcome").alias("status"), "error_type", F.col("error_type").alias("error_message"))
     contents = warehouse.set_status(contents, changes, as_of)
 
-    dropped = rows.filter("not kept").select(F.col("seq"), F.lit("duplicate").alias("outcome"), "deduplicated_by", F.lit(None).cast("string").alias("content_id"), F.lit(None).cast("string").alias("error_type"))
-    seen = judged.filter("skip").select("seq", F.lit("duplicate").alias("outcome"), F.col("matched_by").alias("deduplicated_by"), "content_id", F.lit(None).cast("string").alias("error_type"))
-    ended = work.select("seq", "content_id").join(results.select("content_id", "outcome", "error_type"), "content_id").select("seq", "outcome", F.lit(None).cast("string").alias("deduplicated_by"), "content_id", "error_type")
+    none = F.lit(None).cast("string")
+    first = judged.select(F.col("seq").alias("duplicate_of"), F.col("content_id").alias("first_id"))
+    dropped = rows.filter("not kept").join(first, "duplicate_of").select("seq", F.lit("duplicate").alias("outcome"), "deduplicated_by", none.alias("content_id"), none.alias("error_type"), F.col("first_id").alias("duplicate_of"))
+    seen = judged.filter("skip").select("seq", F.lit("duplicate").alias("outcome"), F.col("matched_by").alias("deduplicated_by"), "content_id", none.alias("error_type"), F.col("content_id").alias("duplicate_of"))
+    ended = work.select("seq", "content_id").join(results.select("content_id", "outcome", "error_type"), "content_id").select("seq", "outcome", none.alias("deduplicated_by"), "content_id", "error_type", none.alias("duplicate_of"))
     outcomes = dropped.unionByName(seen).unionByName(ended)
 
     # The log: what each stage's own rows say, and the time of the stage.
@@ -140,19 +141,6 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     return {"contents": contents, "analyses": history, **linked, "outcomes": outcomes, "steps": steps, "notes": every_note, "attempts": log, "grounded": grounded, "stages": spark.createDataFrame([(i, *t) for i, t in enumerate(stages)], "ord int, stage string, rows long, errors long, seconds double")}
 
 
-def step_log(outcomes: DataFrame) -> DataFrame:
-    """(seq, ord, step, status, error_type) of runs of which only the outcome is known: 13 steps of a finished content, 3 of a
-    duplicate, up to the one that the error stops for a failure. run() gives the log that its stages have written."""
-    stop = F.lit(STEPS.index("analyze") + 1)
-    for error, step in _STOPS.items():
-        stop = F.when(F.col("error_type") == error, STEPS.index(step) + 1).otherwise(stop)
-    last = F.when(F.col("outcome") == "duplicate", 3).when(F.col("outcome") == "failed", stop).otherwise(len(STEPS))
-    steps = F.slice(F.array(*(F.lit(s) for s in STEPS)), F.lit(1), last)
-    out = outcomes.select("seq", "outcome", "error_type", last.alias("last"), F.posexplode(steps).alias("ord", "step"))
-    failed = (F.col("outcome") == "failed") & (F.col("ord") == F.col("last") - 1)
-    return out.select("seq", "ord", "step", F.when(failed, "failed").otherwise("ok").alias("status"), F.when(failed, F.col("error_type")).alias("error_type"))
-
-
 def failed_step(steps: DataFrame) -> DataFrame:
     """(seq, failed_step): the last step of each run that failed."""
     return steps.filter("status = 'failed'").groupBy("seq").agg(F.max_by("step", "ord").alias("failed_step"))
@@ -201,3 +189,35 @@ def run_report(steps: DataFrame) -> DataFrame:
     fields = [c for c in ("ord", "step", "status", "elapsed", "detail", "error_type") if c in steps.columns]
     ordered = F.array_sort(F.collect_list(F.struct(*fields)))
     return steps.groupBy("seq").agg(F.to_json(ordered).alias("report"))
+
+
+def processing_results(out: dict[str, DataFrame]) -> DataFrame:
+    """(seq, result): what became of each row of a run's batch, as one JSON text with its steps; out is what run() has returned.
+
+    Only a completed content has an analysis, a note of its own and counts; the counts of others are 0, their ids null.
+    """
+    done = F.col("outcome") == "completed"
+    own = lambda c: F.when(done, F.col(c))
+    sums = result_summary(out["contents"], out["grounded"], out["content_entities"], out["content_topics"], out["analyses"])
+    facts = out["contents"].select(F.col("id").alias("content_id"), "status", "current_analysis_id", "needs_manual_review", "error_message")
+    paths = out["notes"].filter("path_error is null").select("content_id", "path")
+    told = out["analyses"].select(F.col("id").alias("current_analysis_id"), "prompt_version", "model")
+    fields = [F.struct("ord", "step", "status", "elapsed", "detail", "error_type")]
+    steps = out["steps"].groupBy("seq").agg(F.array_sort(F.collect_list(*fields)).alias("steps"), F.sum("elapsed").alias("elapsed"))
+    rows = out["outcomes"].join(facts, "content_id", "left").join(sums, "content_id", "left").join(paths, "content_id", "left").join(told, "current_analysis_id", "left").join(steps, "seq", "left")
+    count = lambda c: F.coalesce(own(c), F.lit(0))
+    result = F.struct(
+        "outcome", "content_id", "status", own("current_analysis_id").alias("analysis_id"), F.when(F.col("outcome") != "duplicate", F.col("path")).alias("note_path"), "duplicate_of", "deduplicated_by",
+        own("prompt_version").alias("prompt_version"), own("model").alias("model"), count("chunk_count").alias("chunk_count"), count("n_claims").alias("claim_count"), count("n_unverified").alias("unverified_count"),
+        count("n_entities").alias("entity_count"), count("n_topics").alias("topic_count"), F.coalesce("needs_manual_review", F.lit(False)).alias("needs_manual_review"), "error_type",
+        F.when(F.col("outcome") == "failed", F.col("error_message")).alias("error_message"), "elapsed", F.transform("steps", lambda s: s.dropFields("ord")).alias("steps"),
+    )
+    return rows.select("seq", F.to_json(result, {"ignoreNullFields": "false"}).alias("result"))
+
+
+def recovery_results(recovered: DataFrame, as_of: Column, seconds: int = 900) -> DataFrame:
+    """(content_id, result): what became of each content that recover() has set back, as one JSON text with the cutoff; a list of
+    all of them in one text would grow with the table, so recovery_report() counts them instead."""
+    resumed = F.col("outcome") == "completed"
+    result = F.struct(utc_text(cutoff(as_of, seconds)).alias("cutoff"), F.lit(seconds).alias("timeout_seconds"), "content_id", F.lit(True).alias("reset"), resumed.alias("resumed"), F.when(~resumed, F.coalesce("error_type", "outcome")).alias("failure"))
+    return recovered.select("content_id", F.to_json(result, {"ignoreNullFields": "false"}).alias("result"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text", "relational", "runs", "more", "checks", "sql", "store", "note_tables", "extensions", "streams")
+MODULES: tuple[str, ...] = ("text", "relational", "runs", "more", "checks", "sql", "store", "note_tables", "extensions", "streams", "reports", "bodies")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -90,12 +90,6 @@ def s8_note_status(spark: SparkSession, d: str) -> DataFrame:
     return notes.write_status(rows, old, "keep_existing").select("path", "status", F.col("n_bytes").cast("long").alias("n_bytes"))
 
 
-def s10_run_reports(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").filter("o_orderstatus <> 'O'").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "failed").otherwise("duplicate").alias("outcome"), F.when(F.col("o_orderstatus") == "F", "X").alias("error_type"))
-    r = jobs.run_report(jobs.step_log(o))
-    return r.select("seq", F.get_json_object("report", "$[2].step").alias("third"), F.get_json_object("report", "$[5].error_type").alias("error"))
-
-
 def a15_recovery_report(spark: SparkSession, d: str) -> DataFrame:
     o = derive.contents(spark, d).select(F.when(F.col("status") == "failed", "failed").otherwise("completed").alias("outcome"), F.when(F.col("status") == "failed", "X").alias("error_type"))
     return jobs.recovery_report(o)
@@ -112,7 +106,7 @@ def x2_first_seen(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("user_id", F.col("f.ts").alias("ts"), F.col("f.event_id").alias("event_id"))
 
 
-QUERIES = {f.__name__: f for f in (p14_source_text, f5_key_numbers, f3_has_evidence, d2_refresh_payload, j15_enrichment, k11_links, d12_merge_by_name, w3_ordered_distinct, l2_status_list, l3_names, k13_failure_notes, s8_note_status, s10_run_reports, a15_recovery_report, x4_event_counts, x2_first_seen)}
+QUERIES = {f.__name__: f for f in (p14_source_text, f5_key_numbers, f3_has_evidence, d2_refresh_payload, j15_enrichment, k11_links, d12_merge_by_name, w3_ordered_distinct, l2_status_list, l3_names, k13_failure_notes, s8_note_status, a15_recovery_report, x4_event_counts, x2_first_seen)}
 
 ORACLE_SQL = {
     "p14_source_text": "SELECT conv_id, turn, concat_ws(chr(10), CASE WHEN turn % 2 = 0 THEN nullif(text, '') END, nullif(role, '')) AS joined FROM conversations",
@@ -129,7 +123,6 @@ SELECT media_type, capability, status, CASE WHEN capability = 'transcribe' AND s
     "l3_names": f"WITH {derive.ALIASES_SQL} SELECT canonical_name, alias FROM entities LEFT JOIN aliases ON entity_id = id ORDER BY 1, 2",
     "k13_failure_notes": f"WITH {derive.CONTENTS_SQL} SELECT id AS content_id, 'failed' AS kind, left(id, 8) AS file_name, true AS asks_review, true AS tells_error FROM contents WHERE status = 'failed'",
     "s8_note_status": f"WITH {derive.CONTENTS_SQL} SELECT id AS path, CASE WHEN doc_id % 3 = 0 THEN 'skipped' ELSE 'created' END AS status, 2 + length(source) AS n_bytes FROM contents",
-    "s10_run_reports": "SELECT o_orderkey AS seq, 'deduplicate' AS third, CASE WHEN o_orderstatus = 'F' THEN 'X' END AS error FROM orders WHERE o_orderstatus <> 'O'",
     "a15_recovery_report": f"WITH {derive.CONTENTS_SQL} SELECT CASE WHEN status = 'failed' THEN 'failed' ELSE 'completed' END AS outcome, count(*) AS n, count(*) FILTER (WHERE status = 'failed') AS n_errors FROM contents GROUP BY 1",
     "x4_event_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "x2_first_seen": "SELECT user_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",

@@ -135,13 +135,6 @@ def k15_recovery(spark: SparkSession, d: str) -> DataFrame:
     return recovered.join(ids, "content_id").select(F.col("seq").alias("doc_id"), "outcome", "error_type")
 
 
-def w4_failed_steps(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "P", "duplicate").otherwise("completed").alias("outcome"), F.when(F.col("o_orderstatus") == "F", "LLM_INVALID_OUTPUT").alias("error_type"))
-    steps = jobs.step_log(o)
-    counts = steps.groupBy("seq").agg(F.count("*").alias("n_steps"))
-    return counts.join(jobs.failed_step(steps), "seq", "left")
-
-
 def _notes(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("content_id"), F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("Note "), (F.col("doc_id") % 50).cast("string")).alias("title"), F.col("text").alias("summary"), F.lit("fact").alias("analysis_type"), F.array("source").alias("topics"), F.col("text").alias("raw_text"), F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("created_at"), F.lit(0.51234).alias("overall_confidence"))
     return notes.render_notes(rows)
@@ -189,7 +182,7 @@ def a8_summary(spark: SparkSession, d: str) -> DataFrame:
     return jobs.result_summary(c, claims, links, links.filter("entity_id < 5"), h)
 
 
-QUERIES = {f.__name__: f for f in (k6_repair, k7_contract, g3_unnest, g3_unnest_whole, k4_prompts, k8_retry_rounds, k16_batch, k16_steps, k15_recovery, w4_failed_steps, k12_notes, w5_note_paths, k17_note_index, s6_asset_gate, s5_asset_types, s3_page_content, a8_summary)}
+QUERIES = {f.__name__: f for f in (k6_repair, k7_contract, g3_unnest, g3_unnest_whole, k4_prompts, k8_retry_rounds, k16_batch, k16_steps, k15_recovery, k12_notes, w5_note_paths, k17_note_index, s6_asset_gate, s5_asset_types, s3_page_content, a8_summary)}
 
 _WORDS = r"regexp_replace(left(text, 60), '[\\\x22\x00-\x1f]', ' ', 'g')"
 _NORM = r"trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '\s+', ' ', 'g'))"
@@ -201,7 +194,6 @@ ORACLE_SQL = {
     "g3_unnest_whole": "SELECT CAST(doc_id AS VARCHAR) AS content_id, 0 AS ord, text, 'fact' AS type, CAST('0.' || (doc_id % 90 + 10) AS DOUBLE) AS confidence FROM documents WHERE doc_id % 8 NOT IN (5, 6)",
     "k8_retry_rounds": "SELECT 'analysis' AS phase, a AS attempt, count(*) AS n, count(*) FILTER (WHERE k = 6 OR k = 5 AND a = 1) AS n_failed, count(*) FILTER (WHERE k BETWEEN 1 AND 4) AS n_repaired FROM (SELECT doc_id % 8 AS k FROM documents), (SELECT unnest([1, 2, 3]) AS a) WHERE a = 1 OR k = 6 OR (k = 5 AND a = 2) GROUP BY a",
     "k16_batch": f"WITH h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, {_NORM}) AS f FROM documents) SELECT doc_id, CASE WHEN f <> doc_id THEN 'duplicate' WHEN doc_id % 8 = 6 THEN 'failed' ELSE 'completed' END AS outcome, CASE WHEN f <> doc_id THEN 'content_hash' END AS deduplicated_by, CASE WHEN f = doc_id AND doc_id % 8 = 6 THEN 'LLM_INVALID_OUTPUT' END AS error_type FROM h",
-    "w4_failed_steps": "SELECT o_orderkey AS seq, CASE o_orderstatus WHEN 'F' THEN 6 WHEN 'P' THEN 3 ELSE 13 END AS n_steps, CASE WHEN o_orderstatus = 'F' THEN 'analyze' END AS failed_step FROM orders",
     "k12_notes": "SELECT CAST(doc_id AS VARCHAR) AS content_id, 'Note ' || doc_id % 50 AS file_name, true AS rounded, 14 AS n_parts FROM documents",
     "w5_note_paths": "SELECT CAST(doc_id AS VARCHAR) AS content_id, 'Notes/Processed/Note ' || doc_id % 50 || CASE WHEN doc_id >= 50 THEN '-' || doc_id ELSE '' END || '.md' AS path, CAST(NULL AS VARCHAR) AS path_error FROM documents",
     "k17_note_index": "SELECT CAST(doc_id AS VARCHAR) AS path, lang AS source, CAST(doc_id AS VARCHAR) AS source_id, false AS foreign FROM documents",
