@@ -21,6 +21,19 @@ ROOT = "Notes"
 #: Characters of the content id that a taken file name gets, and the largest number after them.
 SUFFIXES, LAST_NUMBER = (6, 12, 32), 99
 
+# YAML 1.1's rules for a scalar that can't be plain in a block, in a form that Java and RE2 share: indicators, spaces at the ends;
+# and the forms of its other types (null, booleans, integers, floats, timestamps, merge and value marks).
+NOT_PLAIN = r"""^[#,\[\]{}&*!|>'"%@` ]|^[?-](?: |$)|^---|^\.\.\.|:(?: |$)| #| $"""
+OTHER_TYPE = (
+    r"^(?:~|null|Null|NULL|yes|Yes|YES|no|No|NO|true|True|TRUE|false|False|FALSE|on|On|ON|off|Off|OFF|<<|="
+    r"|[-+]?0b[01_]+|[-+]?0[0-7_]+|[-+]?(?:0|[1-9][0-9_]*)|[-+]?0x[0-9a-fA-F_]+|[-+]?[1-9][0-9_]*(?::[0-5]?[0-9])+"
+    r"|[-+]?[0-9][0-9_]*\.[0-9_]*(?:[eE][-+][0-9]+)?|[-+]?\.[0-9][0-9_]*(?:[eE][-+][0-9]+)?|[-+]?[0-9][0-9_]*(?::[0-5]?[0-9])+\.[0-9_]*|[-+]?\.(?:inf|Inf|INF)|\.(?:nan|NaN|NAN)"
+    r"|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?:[Tt]|[ \t]+)[0-9]{1,2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]*)?(?:[ \t]*(?:Z|[-+][0-9]{1,2}(?::[0-9]{2})?))?)$"
+)
+UNPRINTED = r"[\x00-\x1f\x7f-\x9f\x{2028}\x{2029}\x{feff}\x{fffe}\x{ffff}\x{10ffff}]"
+#: Of those, the ones that JSON leaves as they are.
+UNPRINTED_BY_JSON = "".join(map(chr, (*range(0x7F, 0xA0), 0x2028, 0x2029, 0xFEFF, 0xFFFE, 0xFFFF)))
+
 CLAIM_TYPE = f"array<struct<text:string,type:string,author_position:string,time_horizon:string,based_on_claims:array<string>,evidence:array<{EVIDENCE}>,confidence:double,needs_verification:boolean>>"
 
 
@@ -60,10 +73,14 @@ def _core(claims: Column, top: int) -> Column:
 
 
 def scalar(x: Column) -> Column:
-    """A YAML scalar: plain if it can't be taken for anything else, single quotes else, double quotes with control characters."""
-    plain = x.rlike(r"^[\p{L}_/(（][^\x00-\x1f\x7f'\"#:{}\[\],&*!|>%@`]*$") & ~F.lower(x).isin("true", "false", "null", "yes", "no", "on", "off", "y", "n") & ~x.rlike(r"\s$")
-    control = x.rlike(r"[\x00-\x1f\x7f\x85  ﻿]")
-    return F.when(x == "", "''").when(plain, x).when(control, F.to_json(F.array(x)).substr(F.lit(2), F.length(F.to_json(F.array(x))) - 2)).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'")))
+    """A YAML scalar in block style: plain where it can be, else in single quotes, else, with characters that YAML doesn't print or that
+    break lines, in double quotes on one line, as JSON writes it. Long values are never folded."""
+    plain = ~x.rlike(NOT_PLAIN) & ~x.rlike(OTHER_TYPE)
+    json = F.to_json(F.array(x))
+    left = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f"\\u{ord(c):04x}").alias("code")) for c in UNPRINTED_BY_JSON))
+    escaped = F.aggregate(left, F.substring(json, F.lit(2), F.length(json) - 2), lambda text, u: F.replace(text, u["c"], u["code"]))
+    quoted = F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("''")), F.lit("'"))
+    return F.when(x == "", "''").when(x.rlike(UNPRINTED), escaped).when(plain, x).otherwise(quoted)
 
 
 def _yaml_list(xs: Column) -> Column:
@@ -124,7 +141,7 @@ def existing_index(notes: DataFrame) -> DataFrame:
     """(path, source, source_id, foreign): what the front matter of existing notes (path, markdown) says; without a block a note is foreign."""
     block = F.regexp_extract("markdown", r"(?s)\A\s*---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)", 1)
     value = lambda k: F.regexp_extract(block, rf"(?m)^{k}:[ \t]*(.*?)[ \t]*$", 1)
-    bare = lambda x: F.when(x.rlike("^'.*'$"), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit("''"), F.lit("'"))).when(x.rlike('^".*"$'), x.substr(F.lit(2), F.length(x) - 2)).otherwise(x)
+    bare = lambda x: F.when(x.rlike("^'.*'$"), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit("''"), F.lit("'"))).when(x.rlike('^".*"$'), F.coalesce(F.get(F.from_json(F.concat(F.lit("["), x, F.lit("]")), "array<string>"), F.lit(0)), x.substr(F.lit(2), F.length(x) - 2))).otherwise(x)
     source, source_id = bare(value("source")), bare(value("source_id"))
     return notes.select("path", F.nullif(source, F.lit("")).alias("source"), F.nullif(source_id, F.lit("")).alias("source_id"), ((source == "") | (source_id == "")).alias("foreign"))
 

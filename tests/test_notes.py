@@ -90,3 +90,24 @@ def test_a_job_that_fails_leaves_nothing_half_written(spark, tmp_path):
             note_files.write_note_files(some_notes(spark, ("1", path, "x")), str(root))
     assert {p: t for p, t in files(root).items() if not p.startswith(".staged-")} == {"Notes/a.md": "old"}
     assert {r.path for r in note_files.standing_notes(spark, str(root)).collect()} == {"Notes/a.md"}
+
+
+def test_scalars_are_what_a_yaml_library_writes(spark):
+    yaml = pytest.importorskip("yaml")
+    rnd = random.Random(5)
+    fixed = ["", " ", "a", "y", "Yes", "null", "~", "=", "<<", "-", "- a", "-a", "?", "? a", "?a", ":", ":a", "a:", "a: b", "a:b", "a #b", "a#b", "#a", "'", "it's", '"q"', "1", "1.5", "1_0", "0x1F", "012", "09", "1:30", "1e3", "1.0e+3", ".5", "-.inf", ".nan", "2024-01-01", "2024-1-1 1:00:00", "2024-01-01T00:00:00Z", "---", "--- a", "...", "a, b [c]", "[a", "{a", "%a", "@a", "`a", "*a", "&a", "!a", "|", ">", "a ", " a", "中文：题", "ä,é", "\U0001f600 x", "中 #x", "0o7", "0b1", "+1", "1__0.", "1:2.5"]
+    texts = fixed + ["".join(rnd.choice("ab:#-?,[]{}'\"%@ .0159_yné中!&*|>=~<") for _ in range(rnd.randint(1, 7))) for _ in range(1500)]
+    odd = ["a\nb", "a\tb", "\x00", "a\x85b", "x y ", "﻿z", "\x7f\x9f", 'q"\\\r\n']
+    rows = spark.createDataFrame(list(enumerate(texts + odd)), "i int, x string").select("i", notes.scalar(F.col("x")).alias("y"))
+    got = {r.i: r.y for r in rows.collect()}
+    for i, x in enumerate(texts):
+        assert f"k: {got[i]}\n" == yaml.safe_dump({"k": x}, allow_unicode=True, width=10_000), x
+    for i, x in enumerate(odd, len(texts)):
+        assert "\n" not in got[i] and yaml.safe_load(f"k: {got[i]}\n") == {"k": x}
+
+
+def test_front_matter_is_read_back(spark):
+    names = ["a: b", "it's", 'q"\\', "x\ny ", "1", "﻿", "- a", "'a'"]
+    made = notes.render_notes(spark.createDataFrame([(str(i), x, x) for i, x in enumerate(names)], "content_id string, source string, source_id string"))
+    back = {r.path: (r.source, r.source_id, r.foreign) for r in notes.existing_index(made.select(F.col("content_id").alias("path"), "markdown")).collect()}
+    assert back == {str(i): (x, x, False) for i, x in enumerate(names)}
