@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundwork.llm.common import table
-from groundwork.llm.spotsigs import fingerprint, jaccard, signatures, with_next
+from groundwork.llm.spotsigs import fingerprint, jaccard, linked_classes, signatures, with_next
 
 
 def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,10 @@ def op5_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_spot_signatures": op5_spot_signatures}
+def spot_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document by its fingerprint, and its links: through the partition by set size and pruned likeness."""
+    return linked_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op5_spot_signatures, spot_links)}
 ORACLE_SQL: dict[str, str] = {}

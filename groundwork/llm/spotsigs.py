@@ -2,9 +2,10 @@
 
 A spot signature is a run of common words (the anchor) and the chain of the next content words after it, other common
 words skipped. A document's fingerprint is the sorted set of its signatures' 32-bit hashes; a text without any signature has
-one for its whole normalised text. Likeness is the Jaccard coefficient of two such sets, pruned by their sizes.
+one for its whole normalised text. Likeness is the Jaccard coefficient of two such sets; where
+a least likeness is asked for, sizes alone rule most pairs out.
 
-similar_pairs() partitions the sets by size: a set meets only sets of its own and the next size class, and in them only
+similar_pairs() and linked_classes() partition the sets by size: a set meets only sets of its own and the next size class, and in them only
 those with which it shares one of its rarest signatures (as many as a pair at the threshold can't all miss). Equal sets
 are one class, so copies are never paired with each other.
 
@@ -19,6 +20,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from groundwork.llm.common import stored
+
+#: Shuffle partitions of with_next at most; beyond them a partition holds more, which its sort spills.
+MOST_PARTS = 100_000
+
 # Common words of English, French, German and Spanish, by first letter.
 ANCHORS = """
 a al als an and are as at au auf aus be bei by con da das de del dem den der des die di do du e ein eine einer el en er es est et
@@ -77,7 +83,7 @@ def with_next(rows: DataFrame, order_col: str, carried: list[str], derived: dict
     are computed once for each row, after the rows are dealt out, and carried too. Rows without an order have no next row.
 
     Rows are dealt by ranges of the order column: at most `cells` ranges between approximate quantiles, each cut evenly
-    until there is one for every part_bytes of the carried columns, or `parts` of them. A range also gets a copy of the
+    until there is one for every part_bytes of the carried columns (MOST_PARTS at most), or `parts` of them. A range also gets a copy of the
     first row of the next range that has rows, so one window over ranges is enough and nothing but a row for each range is
     put in order as a whole.
     """
@@ -86,7 +92,7 @@ def with_next(rows: DataFrame, order_col: str, carried: list[str], derived: dict
     known = rows.filter(order.isNotNull())
     size = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in carried if dict(rows.dtypes)[c] == "string"), F.lit(16))
     facts = known.agg(F.percentile_approx(order_col, [i / cells for i in range(1, cells)], 10_000).alias("cuts"), F.sum(size).alias("bytes")).first()
-    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((facts["bytes"] or 0) / part_bytes))
+    parts = parts or min(MOST_PARTS, max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil((facts["bytes"] or 0) / part_bytes)))
     cuts = sorted(set(facts["cuts"] or []))  # at most `cells` numbers
     bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
     cell = F.size(F.filter(bounds, lambda c: c <= order))
@@ -111,14 +117,17 @@ def with_next(rows: DataFrame, order_col: str, carried: list[str], derived: dict
 def similar_pairs(docs: DataFrame, likeness: float = 0.8, chain: int = 2, hot: int = 500, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(pairs, members): pairs (a, b, likeness) of class representatives, a < b; members (id, representative) of all documents.
 
-    The rows of a signature that more than `hot` sets hold are split over tasks. Ids are taken to be unique."""
+    The rows of a signature that more than `hot` sets hold are split over tasks. Ids are taken to be unique. Texts without a
+    signature are in neither. Sets, classes and the signatures' counts are written once, so that texts are read once and
+    joins on a hot signature or class have sides that Spark can split."""
     sets = docs.select(F.col(f"`{id_col}`").alias("id"), signatures(F.col(f"`{text_col}`"), chain).alias("sigs")).filter("size(sigs) > 0")
-    keyed = sets.withColumn("key", F.sha2(fingerprint(F.col("sigs")).cast("binary"), 256))
+    keyed = stored(sets.withColumn("key", F.sha2(fingerprint(F.col("sigs")).cast("binary"), 256)))
     classes = keyed.groupBy("key").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "key").join(classes, "key").select("id", F.col("rep").alias("representative"))
-    reps = keyed.groupBy("key").agg(F.min_by(F.struct("id", "sigs"), "id").alias("first")).select("first.id", "first.sigs", F.size("first.sigs").alias("n"))
+    firsts = keyed.groupBy("key").agg(F.min_by(F.struct("id", "sigs"), "id").alias("first"))
+    reps = stored(firsts.select("first.id", "first.sigs", F.size("first.sigs").alias("n")))
     each = reps.select("id", "n", F.explode("sigs").alias("sig"))
-    rare = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "sig")))
+    rare = each.join(stored(each.groupBy("sig").agg(F.count("*").alias("df"))), "sig").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "sig")))
     prefix = rare.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(likeness) * F.col("n")) + 1)
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(likeness) or 1.0))
     shares = F.ceil(F.col("df") / hot).cast("int")
@@ -129,3 +138,17 @@ def similar_pairs(docs: DataFrame, likeness: float = 0.8, chain: int = 2, hot: i
     full = near.join(reps.select(F.col("id").alias("a"), F.col("sigs").alias("sigs_a")), "a").join(reps.select(F.col("id").alias("b"), F.col("sigs").alias("sigs_b")), "b")
     pairs = full.select("a", "b", jaccard(F.col("sigs_a"), F.col("sigs_b"), likeness).alias("likeness")).filter(F.col("likeness") >= likeness)
     return pairs, members
+
+
+def linked_classes(docs: DataFrame, likeness: float = 0.8, chain: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, representative, n_links, closest) of every document: the smallest id with its fingerprint, with how many other
+    fingerprints it has a likeness of at least `likeness`, and the largest of those (null without one).
+
+    Null and empty texts, and null ids, have no links and stand for themselves; an id with several texts has the smallest of their
+    representatives. One row for each row. Links are counted where they are verified; none is dropped."""
+    pairs, members = similar_pairs(docs, likeness, chain, id_col=id_col, text_col=text_col)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("representative"), "likeness")
+    links = ends.groupBy("representative").agg(F.count("*").alias("n_links"), F.max("likeness").alias("closest"))
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"))
+    named = ids.join(members.groupBy("id").agg(F.min("representative").alias("representative")), "id", "left").withColumn("representative", F.coalesce("representative", "id"))
+    return named.join(links, "representative", "left").select("id", "representative", F.coalesce("n_links", F.lit(0)).alias("n_links"), "closest")

@@ -110,6 +110,8 @@ def test_spots(docs):
         assert got[2][0].next_text == "" and got[4][0].next_text == ROWS[2][1] and got[None][0].next_text is None
     pairs, members = spotsigs.similar_pairs(docs)
     assert pairs.isEmpty() and members.columns == ["id", "representative"]
+    alone = spotsigs.linked_classes(docs)
+    assert alone.columns == ["id", "representative", "n_links", "closest"] and alone.filter("n_links > 0").isEmpty() and alone.count() == docs.count()
 
 
 def test_chat(spark):

@@ -188,6 +188,18 @@ def test_spot_pairs_against_brute_force(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == want
 
 
+def test_spot_links_against_brute_force(spark):
+    from groundwork.llm.q_spots import spot_links
+
+    sets = {r.doc_id: frozenset(r.s) for r in documents(spark).select("doc_id", spotsigs.signatures(F.col("text")).alias("s")).collect()}
+    rep = {i: min(j for j in sets if sets[j] == s) if s else i for i, s in sets.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    near = {r: [x for q in set(rep.values()) if q != r and sets[q] and sets[r] and (x := like(q, r)) >= 0.8] for r in set(rep.values())}
+    got = {r.doc_id: (r.representative, r.n_links, r.closest) for r in spot_links(spark, SF).collect()}
+    assert got == {i: (r, len(near[r]), max(near[r], default=None)) for i, r in rep.items()}
+    assert any(n for _, n, _ in got.values()) and any(i != r for i, (r, _, _) in got.items())
+
+
 def test_spot_query_against_brute_force(spark):
     import re
 
