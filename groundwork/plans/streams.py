@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from groundwork.operators import dedup
-from groundwork.operators.lineage import shared_folder
+from groundwork.operators.lineage import shared_folder, stored
 from groundwork.plans import derive, text
 from groundwork.plans.derive import table
 from groundwork.plans.store import new_store
@@ -18,23 +19,39 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def replay(rows: DataFrame, part: Column, parts: int) -> tuple[DataFrame, str]:
-    """(a stream of rows that reads the parts 0, 1, ... one after another, a folder for what comes of it)."""
+    """(a stream of rows, a folder for what comes of it): the parts 0, 1, ... lie there, each in as many files as tasks wrote it, and
+    reach the stream one after another through delivered()."""
     spark = rows.sparkSession
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    numbered = rows.withColumn("__part", part)
-    for n in range(parts):  # files are read in the order in which they were written
-        numbered.filter(F.col("__part") == n).drop("__part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    return stream, folder
+    fs, at = _files(spark, folder)
+    fs.deleteOnExit(at(""))
+    for name in ("parts", "in", "out"):
+        fs.mkdirs(at(name))
+    rows.withColumn("__part", part).filter(F.col("__part").between(0, parts - 1)).write.mode("append").partitionBy("__part").parquet(f"{folder}/parts")
+    return spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in"), folder
+
+
+def _files(spark: SparkSession, folder: str):
+    """(the file system of a folder, a function from names to paths in it)."""
+    at = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    return at("").getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delivered(writer: DataStreamWriter, folder: str, spark: SparkSession) -> None:
+    """Hands the parts of replay() to the stream that writer writes: each part, with all of its files, is one micro-batch."""
+    fs, at = _files(spark, folder)
+    left = [s.getPath().getName() for s in fs.listStatus(at("parts"))]
+    for name in sorted((n for n in left if n.startswith("__part=")), key=lambda n: int(n.split("=")[1])):
+        if not fs.rename(at(f"parts/{name}"), at(f"in/{name.split('=')[1]}")):
+            raise OSError(f"{folder}: {name} can't be delivered")
+        writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def written(stream: DataFrame, folder: str) -> DataFrame:
     """All that a stream gives for what is there, as a table."""
-    done = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    done.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    spark = stream.sparkSession
+    delivered(stream.writeStream.format("parquet").option("path", f"{folder}/out").outputMode("append"), folder, spark)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
 def x3_stuck_work(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +75,7 @@ def x1_ingest(spark: SparkSession, d: str) -> DataFrame:
     store = new_store(spark)
     chunks_at = f"{folder}/chunks"
     keep = lambda chunks, batch: chunks.write.mode("overwrite").parquet(f"{chunks_at}/batch={batch}")
-    done = incremental.ingest(stream, store, F.lit("2024-01-01 00:00:00").cast("timestamp"), keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    done.awaitTermination()
+    delivered(incremental.ingest(stream, store, F.lit("2024-01-01 00:00:00").cast("timestamp"), keep), folder, spark)
     chunked = spark.read.parquet(chunks_at).groupBy("content_id").agg(F.count("*").alias("n"))
     c = store.read("contents")
     return c.join(chunked, c["id"] == chunked["content_id"], "left").select("source", "source_id", "status", F.length("raw_text").alias("n_chars"), F.col("n").isNotNull().alias("has_chunks"))
@@ -69,7 +85,7 @@ def x2_first_seen_by_both(spark: SparkSession, d: str) -> DataFrame:
     """Documents by (language, id) and by (language, fingerprint), delivered twice in four micro-batches: those that are first by both."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     f = dedup.fingerprinted(derive.raw(spark, d))
-    keys = f.select("seq", (F.expr(derive.EPOCH) + F.make_dt_interval(secs=F.col("seq"))).alias("ts"), F.concat_ws("\x1f", "source", "source_id").alias("k1"), F.when(F.col("discriminating"), F.concat_ws("\x1f", "source", "content_hash")).alias("k2"))
+    keys = stored(f.select("seq", (F.expr(derive.EPOCH) + F.make_dt_interval(secs=F.col("seq"))).alias("ts"), F.concat_ws("\x1f", "source", "source_id").alias("k1"), F.when(F.col("discriminating"), F.concat_ws("\x1f", "source", "content_hash")).alias("k2")))
     most = keys.agg(F.max("seq")).first()[0] or 0
     again = keys.withColumn("seq", F.col("seq") + 10**12)
     half = F.col("seq") % 10**12 * 2 > most

@@ -57,3 +57,13 @@ def test_keys_are_forgotten(spark):
     stream, folder = streams.replay(df, F.col("p"), 4)
     got = streams.written(incremental.first_seen_by_both(stream.drop("p"), late="10 seconds", keep=6000), folder)
     assert sorted(r.seq for r in got.collect()) == [1, 4, 5, 6]
+
+
+def test_parts_of_a_stream_are_written_by_many_tasks(spark):
+    """Each part is one micro-batch of several files, so no task reads or writes a whole part; a part without rows is none."""
+    rows = spark.range(0, 4000, numPartitions=4)
+    stream, folder = streams.replay(rows, F.col("id").cast("int") % 2 * 2, 4)
+    seen = []
+    tell = lambda batch, n: seen.append((sorted({r.id % 2 for r in batch.collect()}), batch.count(), batch.select(F.input_file_name()).distinct().count()))
+    streams.delivered(stream.writeStream.foreachBatch(tell), folder, spark)
+    assert seen == [([0], 2000, 4), ([1], 2000, 4)]
