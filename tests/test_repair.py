@@ -77,3 +77,18 @@ def test_only_broken_rows_are_repaired(spark):
     df = spark.createDataFrame([(i, raw) for i, (raw, *_) in enumerate(CASES)] + [(99, None)], "id int, raw_output string")
     got = {r.id: (r.payload, r.repairs) for r in repair_outputs(df).collect()}
     assert got == {**{i: (payload, done) for i, (_, payload, done) in enumerate(CASES)}, 99: (None, "")}
+
+
+def test_answers_are_read_and_repaired_once(spark, tmp_path):
+    """What is filtered by its validity and unnested goes through one scan and one Python step, in batches cut by their bytes."""
+    from groundwork.operators import analyses, repair
+
+    path = str(tmp_path / "answers")
+    spark.createDataFrame([("1", '{"title": "t", "summary": "s", "analysis_type": "fact", "claims": [{"text": "c", "type": "fact", "confidence": 1}, null], "overall_confidence": 1,}')], "content_id string, raw_output string").write.parquet(path)
+    answers = spark.read.parquet(path)
+    good = analyses.validate(repair.repair_outputs(answers)).filter("size(violations) < 9")
+    claims = analyses.unnested(good)["claims"]
+    assert [(r.ord, r.text) for r in claims.orderBy("ord").collect()] == [(0, "c"), (1, None)]
+    plan = claims._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("ArrowEvalPython"), plan.count("MapInPandas")) == (1, 1, 0)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 6 << 20
