@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundwork.functions.text import SEPARATOR
+from groundwork.operators.lineage import small_batches
 from groundwork.operators.numbers import LIMIT, TOKEN, number_tokens
 
 _DROPPED = re.compile(r"[\u200b-\u200f\u2028\u2029\ufeff\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
@@ -70,7 +71,8 @@ number_table = F.udtf(NumberTokens, returnType=TOKEN, useArrow=True)
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the functions known to the session's SQL."""
+    """Makes the functions known to the session's SQL, and cuts the batches that they get by their bytes."""
+    small_batches(spark)
     for function in (text_normalize, text_fold, content_fingerprint):
         spark.udf.register(function.__name__, function)
     spark.udtf.register("number_tokens", number_table)

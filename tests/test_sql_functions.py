@@ -32,3 +32,11 @@ def test_number_table(spark):
     assert got.schema.simpleString() == want.schema.simpleString()
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 100
     assert spark.sql("SELECT * FROM number_tokens('三百多万')").collect()[0].fuzzy
+
+
+def test_batches_of_sql_functions_are_cut_by_bytes(spark):
+    from groundwork import sql
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    sql.register(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == 6 << 20
