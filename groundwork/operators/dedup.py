@@ -7,11 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundwork.functions.text import HASH_FIELDS, HASH_VERSION, content_hash, hash_payload, normalize_text, resolve_source_id
-from groundwork.operators.lineage import checkpointed
+from groundwork.operators.lineage import checkpointed, small_batches
 
 
 def fingerprinted(raw: DataFrame) -> DataFrame:
     """raw with content_hash, content_hash_version, discriminating, and source_id resolved; fields that raw lacks count as empty."""
+    small_batches(raw.sparkSession)
     field = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     norm = raw.withColumns({f"__{c}": normalize_text(field(c)) for c in (*HASH_FIELDS, "source_id")})
     norm = norm.withColumn("content_hash", content_hash(hash_payload(*(F.col(f"__{c}") for c in HASH_FIELDS)))).withColumn("content_hash_version", F.lit(HASH_VERSION))
@@ -115,6 +116,7 @@ def migrate_hashes(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     plan: rows of another version with new_hash, new_source_id and conflict. Only ids that were derived from the
     fingerprint change; such an id is in conflict if another row holds it or an earlier row of the plan has claimed it.
     """
+    small_batches(contents.sparkSession)
     old = contents.filter(F.col("content_hash_version") != HASH_VERSION)
     norm = old.withColumn("new_hash", content_hash(hash_payload(*(normalize_text(F.col(c)) for c in HASH_FIELDS))))
     derived = F.col("source_id").startswith("hash:")

@@ -381,3 +381,24 @@ def test_model_outputs_hold_whole_texts(spark, tmp_path):
     assert {r.repair: r.n for r in runs.k6_repair(spark, d).collect()} == {"clean": 6, "stripped_code_fence": 2, "extracted_json_object": 2, "inserted_missing_commas": 2, "removed_trailing_commas": 2, "failed": 2}
     assert all(r.markdown.count(f"end{r.content_id}\n") == 2 for r in runs._notes(spark, d).collect())  # as summary and as text
     assert text.p13_budget_whole(spark, d).filter("total_truncated").count() == 16
+
+
+def test_sentences_end_where_the_rule_says(spark):
+    import random
+    import re
+
+    from groundwork.functions import text
+
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice("ab \n\r.!?。！？1٣") for _ in range(rnd.randrange(40))) for _ in range(400)] + [""]
+    rule = re.compile(r"(?s)[^。！？!?\n.]*(?:\.(?=\d)[^。！？!?\n.]*)*(?:\n|[。！？!?]+|\.(?!\d)|$)")
+    rows = spark.createDataFrame([(x,) for x in texts], "x string").select("x", text.split_sentences(F.col("x")).alias("got")).collect()
+    assert all(r.got == [s for s in rule.findall(r.x) if s] for r in rows)
+
+
+def test_normalising_looks_at_no_character_in_a_pattern_first(spark):
+    from groundwork.functions import text
+
+    rows = spark.createDataFrame([("ＡＢ",), ("é",), ("plain",), (None,)], "x string").select(text.nfkc(F.col("x")).alias("y"))
+    assert [r.y for r in rows.collect()] == ["AB", "é", "plain", None]
+    assert "RLIKE" not in rows._jdf.queryExecution().optimizedPlan().toString()
