@@ -66,28 +66,38 @@ class StuckWork(StatefulProcessor):
         self.handle = handle
         self.since = handle.getValueState("since", "since_ms long")
 
-    def _forget(self) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.since.clear()
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for ts, status in sorted((int(pd.Timestamp(t).value // 1_000_000), s) for part in rows for s, t in zip(part["status"], part["ts"])):
-            if self.since.exists() and ts > self.since.get()[0] + self.seconds * 1000:
-                yield self._told(key)
+        """The state is asked for once and told once, whatever number of rows a key has: each question goes to the JVM and back."""
+        wait = self.seconds * 1000
+        before = since = self.since.get()[0] if self.since.exists() else None
+        ended = []
+        for ts, status in sorted((t, s) for part in rows for s, t in zip(part["status"], part["ts"].to_numpy("datetime64[ms]").astype("int64").tolist())):
+            if since is not None and ts > since + wait:
+                ended.append(since)
+                since = None
             if status != "processing":
-                self._forget()
-            elif not self.since.exists():
-                self.since.update((ts,))
-                self.handle.registerTimer(ts + self.seconds * 1000)
-
-    def _told(self, key) -> pd.DataFrame:
-        at = self.since.get()[0]
-        self._forget()
-        return pd.DataFrame({"key": [str(key[0])], "since": [pd.Timestamp(at, unit="ms")], "reset_at": [pd.Timestamp(at + self.seconds * 1000, unit="ms")]})
+                since = None
+            elif since is None:
+                since = ts
+        if since != before:
+            if before is not None:
+                self.handle.deleteTimer(before + wait)
+            if since is None:
+                self.since.clear()
+            else:
+                self.since.update((since,))
+                self.handle.registerTimer(since + wait)
+        if ended:
+            yield self._told(key, ended)
+
+    def _told(self, key, since: list[int]) -> pd.DataFrame:
+        at = pd.to_datetime(pd.Series(since, dtype="int64"), unit="ms")
+        return pd.DataFrame({"key": [str(key[0])] * len(since), "since": at, "reset_at": at + pd.Timedelta(milliseconds=self.seconds * 1000)})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._told(key)
+        since = self.since.get()[0]
+        self.since.clear()  # the timer that has fired is gone by itself
+        yield self._told(key, [since])
 
     def close(self) -> None:
         pass
