@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundwork.functions.text import ZERO_WIDTH, trim_all
+from groundwork.functions.text import ZERO_WIDTH, let, trim_all
 
 MAX_NAME = 80
+#: Characters of a title that mostly give its name.
+HEAD = 1000
 # Names that Windows keeps for devices.
 RESERVED = ("CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(1, 10)), *(f"LPT{i}" for i in range(1, 10)))
 _ILLEGAL = r"""[\\/:*?"<>|\x00-\x1f\x7f]"""
@@ -19,18 +21,20 @@ def _bare(x: Column) -> Column:
 
 def file_name(title: Column, content_id: Column) -> Column:
     """A title as a safe file name of at most 80 code points; without one the id's first 8, then "untitled". No NFKC."""
-    legal = F.regexp_replace(F.regexp_replace(F.coalesce(title, F.lit("")), f"[{ZERO_WIDTH}]", ""), _ILLEGAL, "")
-    cut = _bare(F.substring(_bare(F.regexp_replace(legal, r"(?U)\s+", " ")), 1, MAX_NAME))
+    legal = lambda x: F.regexp_replace(F.regexp_replace(x, f"[{ZERO_WIDTH}]", ""), _ILLEGAL, "")
+    line = lambda x: _bare(F.regexp_replace(legal(x), r"(?U)\s+", " "))
+    # What the start of a title gives is the start of what all of it gives, if it is as long as a name can be; else all is looked at.
+    whole = let(F.coalesce(title, F.lit("")), lambda x: let(line(F.substring(x, 1, HEAD)), lambda head: F.when((F.length(head) >= MAX_NAME) | (F.length(x) <= HEAD), head).otherwise(line(x))))
     spare = F.regexp_replace(trim_all(F.substring(trim_all(F.regexp_replace(F.coalesce(content_id, F.lit("")), _ILLEGAL, "")), 1, 8)), r"^\.+|\.+$", "")
-    name = F.when(cut != "", cut).when(spare != "", spare).otherwise(F.lit("untitled"))
-    return F.when(F.upper(F.substring_index(name, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), name)).otherwise(name)
+    name = let(_bare(F.substring(whole, 1, MAX_NAME)), lambda cut: F.when(cut != "", cut).when(spare != "", spare).otherwise(F.lit("untitled")))
+    return let(name, lambda n: F.when(F.upper(F.substring_index(n, ".", 1)).isin(*RESERVED), F.concat(F.lit("_"), n)).otherwise(n))
 
 
 def fenced(text: Column) -> Column:
     """The text in a code fence longer than its longest run of back-ticks."""
     runs = F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)
-    fence = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
-    return F.concat(fence, F.lit("text\n"), F.regexp_replace(text, r"(?U)\s+$", ""), F.lit("\n"), fence)
+    marks = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
+    return let(marks, lambda fence: F.concat(fence, F.lit("text\n"), F.regexp_replace(text, r"(?U)\s+$", ""), F.lit("\n"), fence))
 
 
 def path_inside(path: Column) -> Column:

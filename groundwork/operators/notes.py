@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundwork.functions.names import fenced, file_name, path_inside
-from groundwork.functions.text import one_line
+from groundwork.functions.text import let, one_line
 from groundwork.operators.analyses import EVIDENCE
 from groundwork.operators.lineage import checkpointed, stored
 from groundwork.sources.note_files import standing_notes, write_note_files
@@ -42,7 +42,7 @@ def _list(xs: Column, kind: str = "array<string>") -> Column:
 
 
 def _lines(xs: Column) -> Column:
-    return F.when(F.size(xs) > 0, F.array_join(xs, "\n")).otherwise(NOTHING)
+    return let(xs, lambda made: F.when(F.size(made) > 0, F.array_join(made, "\n")).otherwise(NOTHING))
 
 
 def _claim(c: Column) -> Column:
@@ -52,7 +52,7 @@ def _claim(c: Column) -> Column:
     said = lambda x: F.coalesce(x, F.lit("")) != ""
     head = F.array_compact(
         F.array(
-            F.concat(F.lit("- "), one_line(c["text"])),
+            F.concat(F.lit("- "), c["line"]),
             F.when(said(c["author_position"]), F.concat(F.lit("  - 作者立场："), one_line(c["author_position"]))),
             F.when(said(c["time_horizon"]), F.concat(F.lit("  - 时间范围："), one_line(c["time_horizon"]))),
             F.when(based != "", F.concat(F.lit("  - 基于："), based)),
@@ -64,18 +64,24 @@ def _claim(c: Column) -> Column:
 
 def _claims(claims: Column, kind: str) -> Column:
     own = F.transform(F.filter(claims, lambda c: c["type"] == kind), _claim)
-    return F.when(F.size(own) > 0, F.array_join(own, "\n\n")).otherwise(NOTHING)
+    return let(own, lambda made: F.when(F.size(made) > 0, F.array_join(made, "\n\n")).otherwise(NOTHING))
 
 
 def _core(claims: Column, top: int) -> Column:
-    ranked = F.array_sort(F.transform(claims, lambda c, i: F.struct((-c["confidence"]).alias("x"), i.alias("i"), c["text"].alias("text"), c["type"].alias("type"))))
-    return _lines(F.transform(F.slice(ranked, 1, top), lambda r: F.concat(F.lit("- "), one_line(r["text"]), F.lit("（"), r["type"], F.lit("）"))))
+    ranked = F.array_sort(F.transform(claims, lambda c, i: F.struct((-c["confidence"]).alias("x"), i.alias("i"), c["line"].alias("line"), c["type"].alias("type"))))
+    return _lines(F.transform(F.slice(ranked, 1, top), lambda r: F.concat(F.lit("- "), r["line"], F.lit("（"), r["type"], F.lit("）"))))
+
+
+def _not_plain(x: Column) -> Column:
+    """NOT_PLAIN for a printable text: the marks at its start are tried there, not at every character."""
+    starts = F.substring(x, 1, 4).rlike(r"""^[#,\[\]{}&*!|>'"%@` ]|^[?-](?: |$)|^---|^\.\.\.""")
+    return starts | F.contains(x, F.lit(": ")) | F.endswith(x, F.lit(":")) | F.contains(x, F.lit(" #")) | F.endswith(x, F.lit(" "))
 
 
 def scalar(x: Column) -> Column:
     """A YAML scalar in block style: plain where it can be, else in single quotes, else, with characters that YAML doesn't print or that
     break lines, in double quotes on one line, as JSON writes it. Long values are never folded."""
-    plain = ~x.rlike(NOT_PLAIN) & ~x.rlike(OTHER_TYPE)
+    plain = ~_not_plain(x) & ~x.rlike(OTHER_TYPE)
     json = F.to_json(F.array(x))
     left = F.array(*(F.struct(F.lit(c).alias("c"), F.lit(f"\\u{ord(c):04x}").alias("code")) for c in UNPRINTED_BY_JSON))
     escaped = F.aggregate(left, F.substring(json, F.lit(2), F.length(json) - 2), lambda text, u: F.replace(text, u["c"], u["code"]))
@@ -100,18 +106,23 @@ def render_notes(rows: DataFrame, kind: str = "processed", top: int = 5) -> Data
     """
     rows = with_columns_for_notes(rows)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    claims = _list(F.col("claims"), CLAIM_TYPE)
+    # Columns of their own are made once: claims with their text on one line, topics, the title.
+    rows = rows.withColumn("__claims", F.transform(_list(F.col("claims"), CLAIM_TYPE), lambda c: c.withField("line", one_line(c["text"]))))
+    claims = F.col("__claims")
     clean = lambda xs: F.array_distinct(F.filter(F.transform(_list(xs), one_line), lambda x: x != ""))
     rows = rows.withColumn("__topics", F.when(F.size(_list(F.col("topics"))) > 0, clean(F.col("topics"))).otherwise(clean(F.col("model_topics"))))
-    title = F.coalesce(F.nullif(one_line(F.col("analysis_title")), F.lit("")), F.nullif(one_line(F.col("title")), F.lit("")), F.lit(UNTITLED))
+    line = lambda c, other: let(one_line(F.col(c)), lambda x: F.when(x != "", x).otherwise(other))
+    rows = rows.withColumn("__title", line("analysis_title", line("title", F.lit(UNTITLED))))
+    title = F.col("__title")
     tags = F.array_distinct(F.filter(F.concat(F.array(one_line(F.col("analysis_type"))), "__topics"), lambda x: x != ""))
-    flagged = F.transform(F.filter(claims, lambda c: c["needs_verification"]), lambda c: one_line(c["text"]))
+    unsure = F.filter(claims, lambda c: c["needs_verification"])
+    flagged = F.transform(unsure, lambda c: c["line"])
     bullet = lambda xs: F.transform(F.filter(xs, lambda x: x != ""), lambda x: F.concat(F.lit("- "), x))
     failed = kind == "failed"
     values = {
         "title": scalar(title), **{k: scalar(text(k)) for k in ("source", "source_id", "source_url", "author", "media_type", "analysis_type")},
         "created_at": scalar(text("created_at").cast("string")), "processed_at": scalar(text("processed_at").cast("string")), "model": scalar(text("model")), "prompt_version": scalar(text("prompt_version")),
-        "confidence": F.round(F.coalesce("overall_confidence", F.lit(0.0)), 4).cast("string"), "needs_verification": (F.size(flagged) > 0).cast("string"),
+        "confidence": F.round(F.coalesce("overall_confidence", F.lit(0.0)), 4).cast("string"), "needs_verification": (F.size(unsure) > 0).cast("string"),
         "needs_manual_review": F.lit("true") if failed else F.coalesce("needs_manual_review", F.lit(False)).cast("string"), "content_hash_version": F.coalesce("content_hash_version", F.lit(1)).cast("string"),
     }
     lists = {"topics": F.col("__topics"), "tags": tags}
@@ -120,7 +131,7 @@ def render_notes(rows: DataFrame, kind: str = "processed", top: int = 5) -> Data
     linked = F.transform(_list(F.col("entities"), "array<struct<canonical_name:string,aliases:array<string>>>"), lambda e: F.concat(F.lit("- [["), e["canonical_name"], F.lit("]]"), F.when(extras(e) != "", F.concat(F.lit("（"), extras(e), F.lit("）"))).otherwise("")))
     original = lambda c: F.when(text(c) != "", fenced(F.col(c))).otherwise(NOTHING)
     bodies = [
-        F.coalesce(F.nullif(one_line(F.col("summary")), F.lit("")), F.lit(NOTHING)),
+        line("summary", F.lit(NOTHING)),
         _core(claims, top),
         *(_claims(claims, k) for k in ("fact", "opinion", "inference", "prediction")),
         _lines(bullet(flagged)),
@@ -133,7 +144,8 @@ def render_notes(rows: DataFrame, kind: str = "processed", top: int = 5) -> Data
     if failed:
         parts.append(F.concat(F.lit("## 错误信息\n\n- "), text("error_type"), F.lit("\n- "), one_line(F.col("error_message"))))
     parts += [F.concat(F.lit(f"## {name}\n\n"), body) for name, body in zip(SECTIONS, bodies)]
-    markdown = F.concat(front, F.lit("\n\n"), F.regexp_replace(F.concat_ws("\n\n", *parts), r"\n+$", ""), F.lit("\n"))
+    # The last section never ends in a line's end: it is a fence, or says that there is nothing.
+    markdown = F.concat(front, F.lit("\n\n"), F.concat_ws("\n\n", *parts), F.lit("\n"))
     return rows.select(F.col("content_id").cast("string").alias("content_id"), "source", "source_id", "created_at", F.lit(kind).alias("kind"), file_name(F.col("title"), F.col("content_id").cast("string")).alias("file_name"), markdown.alias("markdown"))
 
 

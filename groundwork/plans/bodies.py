@@ -17,21 +17,20 @@ def k12_bodies(spark: SparkSession, d: str) -> DataFrame:
     """The note of each document: its non-blank lines are the claims, of all four types; topics are linked for even ids and the
     model's own for odd ones; the original has runs of back-ticks."""
     docs = table(spark, d, "documents")
-    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("line", "said")).filter(F.trim("said") != "")
-    k = F.col("line")
-    proof = lambda kind, url: F.struct(F.lit(kind).alias("type"), F.concat(F.lit("at  "), k.cast("string")).alias("description"), F.lit(url).cast("string").alias("source_url"), F.lit(None).cast("string").alias("timestamp"))
-    evidence = F.when(k % 3 == 0, F.array(proof("quote", None), proof("none", None), proof("data", "http://x.test/"))).when(k % 3 == 1, F.array(proof("none", None))).otherwise(F.array().cast(_EVIDENCE))
-    claim = F.struct(
-        k.alias("ord"), F.col("said").alias("text"), F.element_at(F.array(*(F.lit(t) for t in ("fact", "opinion", "inference", "prediction"))), k % 4 + 1).alias("type"),
-        F.when(k % 5 == 1, F.col("lang")).alias("author_position"), F.when(k % 5 == 2, F.lit(" by\n2030 ")).alias("time_horizon"), F.when(k % 5 == 3, F.array(F.col("said"), F.lit(" "), F.lit("b"))).alias("based_on_claims"),
-        evidence.alias("evidence"), ((k * 37 % 101) / 100.0).alias("confidence"), (k % 3 != 0).alias("needs_verification"),
+    proof = lambda k, kind, url: F.struct(F.lit(kind).alias("type"), F.concat(F.lit("at  "), k.cast("string")).alias("description"), F.lit(url).cast("string").alias("source_url"), F.lit(None).cast("string").alias("timestamp"))
+    evidence = lambda k: F.when(k % 3 == 0, F.array(proof(k, "quote", None), proof(k, "none", None), proof(k, "data", "http://x.test/"))).when(k % 3 == 1, F.array(proof(k, "none", None))).otherwise(F.array().cast(_EVIDENCE))
+    claim = lambda said, k: F.struct(
+        said.alias("text"), F.element_at(F.array(*(F.lit(t) for t in ("fact", "opinion", "inference", "prediction"))), k % 4 + 1).alias("type"),
+        F.when(k % 5 == 1, F.col("lang")).alias("author_position"), F.when(k % 5 == 2, F.lit(" by\n2030 ")).alias("time_horizon"), F.when(k % 5 == 3, F.array(said, F.lit(" "), F.lit("b"))).alias("based_on_claims"),
+        evidence(k).alias("evidence"), ((k * 37 % 101) / 100.0).alias("confidence"), (k % 3 != 0).alias("needs_verification"),
     )
-    told = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(claim)), lambda c: c.dropFields("ord")).alias("claims"))
+    # A document's lines are in its row, so its claims are made there, in their order.
+    claims = F.filter(F.transform(F.split("text", "\n"), claim), lambda c: F.trim(c["text"]) != "").alias("claims")
     even = F.col("doc_id") % 2 == 0
-    rows = docs.join(told, "doc_id", "left").select(
+    rows = docs.select(
         F.col("doc_id").cast("string").alias("content_id"), F.col("lang").alias("source"), F.col("doc_id").cast("string").alias("source_id"), F.concat(F.lit("http://x.test/"), "doc_id").alias("source_url"),
         F.when(even, F.col("text")).alias("title"), F.when(F.col("doc_id") % 5 == 0, F.lit("it's: so")).alias("author"), F.lit("text").alias("media_type"), F.when(F.col("doc_id") % 3 > 0, F.lit("opinion")).alias("analysis_type"),
-        F.col("text").alias("summary"), "claims", F.when(F.col("doc_id") % 3 == 0, F.array(F.concat("source", F.lit(" ?")), F.lit(" "))).alias("questions"),
+        F.col("text").alias("summary"), claims, F.when(F.col("doc_id") % 3 == 0, F.array(F.concat("source", F.lit(" ?")), F.lit(" "))).alias("questions"),
         F.when(even, F.array("source", "source")).alias("topics"), F.array("lang", F.lit(" "), "source", F.lit("yes")).alias("model_topics"),
         F.when(even, F.array(F.struct(F.col("lang").alias("canonical_name"), F.array(F.col("source"), F.lit(" "), F.lit("b  c")).alias("aliases")), F.struct(F.lit("Z").alias("canonical_name"), F.array().cast("array<string>").alias("aliases")))).alias("entities"),
         (F.col("doc_id") % 1000 / 1000.0).alias("overall_confidence"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit(PROMPT_VERSION).alias("prompt_version"), (F.col("doc_id") % 7 == 0).alias("needs_manual_review"), F.lit(2).alias("content_hash_version"),
