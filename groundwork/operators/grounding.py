@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from groundwork.functions.text import fold_for_matching
+from groundwork.operators.lineage import stored
 from groundwork.operators.numbers import extract_numbers, is_key, ungrounded
 
 # What each rule says.
@@ -60,7 +61,7 @@ def ground(claims: DataFrame, sources: DataFrame, entities: DataFrame, aliases:
     named = by_entity.groupBy("content_id", F.col("claim_ord").alias("ord")).agg(in_order(F.lit(True)).alias("entities"), in_order(~F.col("in_source")).alias("ungrounded_entities"), F.bool_or("in_source").alias("any_entity"))
 
     claim_numbers = extract_numbers(claims.select("content_id", F.col("ord").alias("claim_ord"), "text"), ["content_id", "claim_ord"], "text")
-    claim_numbers = claim_numbers.filter(is_key(F.col("value"), F.col("kind"), F.col("scale")))
+    claim_numbers = stored(claim_numbers.filter(is_key(F.col("value"), F.col("kind"), F.col("scale"))))  # read twice: texts go to Python once
     source_numbers = extract_numbers(sources, ["content_id"], "text").filter(is_key(F.col("value"), F.col("kind"), F.col("scale")))
     missing = ungrounded(claim_numbers, source_numbers, "content_id", ["claim_ord"]).select("content_id", "claim_ord", "ord", F.lit(True).alias("missing"))
     said = lambda cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("ord", "raw")))), lambda x: x["raw"])

@@ -15,6 +15,8 @@ from groundwork.sources.note_files import standing_notes
 
 # The steps of a run, in order.
 STEPS = ("preflight", "normalize", "deduplicate", "persist_content", "prepare_text", "analyze", "persist_analysis", "extract_topics", "extract_entities", "normalize_aliases", "render_markdown", "write_obsidian", "complete")
+#: Columns of raw content that hold texts.
+WIDE = ("title", "description", "raw_text", "transcript", "ocr_text")
 
 
 def enriched(raw: DataFrame, asset_text: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +48,9 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     seconds), and a step's elapsed time is that of the stage that took it for the whole batch.
     """
     spark = raw.sparkSession
-    rows = dedup.within_batch(dedup.fingerprinted(raw))
+    # Fingerprints are made once and kept without the texts: duplicates are found among them, and the log is told from them.
+    wide = [c for c in WIDE if c in raw.columns]
+    rows = stored(dedup.within_batch(stored(dedup.fingerprinted(raw).drop(*wide))))
     if force:
         rows = rows.withColumn("kept", F.lit(True))  # stored contents are run again even if their texts are equal
     judged = dedup.against_stored(rows.filter("kept"), tables["contents"])
@@ -59,7 +63,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
         stages.append(told)
         return out
 
-    judged = kept("deduplicate", judged)  # read by every later stage
+    judged = kept("deduplicate", judged.join(raw.select("seq", *wide), "seq"))  # read by every later stage
     work = judged.filter("not skip")
     field = lambda c, k="string": (F.col(c) if c in raw.columns else F.lit(None)).cast(k)
     texts = ("source_url", "title", "author", "author_id", "description", "raw_text", "transcript", "ocr_text")
@@ -67,7 +71,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     contents = warehouse.refresh_payload(tables["contents"], payload)
     contents = contents.unionByName(payload.join(contents.select("id"), "id", "left_anti"))
 
-    prepared = kept("prepare_text", chunks.prepare(payload.withColumnRenamed("id", "content_id"), total=total))
+    prepared = kept("prepare_text", chunks.prepare(payload.withColumnRenamed("id", "content_id"), total=total).select("content_id", "text"))
     table = kept("chunk", chunks.chunk_table(prepared, "content_id", chunks.chunk_chars(total)))
     results, log = analyses.analyse(table, model)
     empty = prepared.select("content_id").join(table.select("content_id").distinct(), "content_id", "left_anti")
@@ -75,6 +79,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     results = kept("analyze", results, F.col("error_type"))
     good = results.filter("payload is not null")
     parts = analyses.unnested(good)
+    parts |= {name: stored(parts[name]) for name in ("entities", "topics")}  # names alone, which many joins read
     names = entities.alias_index(tables["entities"], tables["entity_aliases"]).select(F.col("canonical_name").alias("canonical"), F.explode("aliases").alias("alias"))
     grounded = kept("ground", grounding.ground(parts["claims"], prepared.select("content_id", "text"), parts["entities"].select("content_id", "ord", "name"), names))
     linked = entities.link_contents(parts["entities"], parts["topics"], tables["entities"], tables["entity_aliases"], tables["topics"], tables["content_entities"], tables["content_topics"])
@@ -94,15 +99,17 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
         existing_notes = notes.existing_index(standing_notes(raw.sparkSession, vault))
     if existing_notes is None:
         existing_notes = raw.sparkSession.createDataFrame([], "path string, source string, source_id string, foreign boolean")
-    both_kinds = kept("render_markdown", rendered.unionByName(notes.render_notes(lost, "failed")))
-    every_note = kept("place_notes", notes.assign_paths(both_kinds, existing_notes), F.col("path_error"))
-    written = every_note.filter("false").select("content_id", F.lit("").alias("status"))
+    both_kinds = kept("render_markdown", rendered.unionByName(notes.render_notes(lost, "failed")).withColumn("bytes", F.octet_length("markdown")))
+    places = kept("place_notes", notes.assign_paths(both_kinds.drop("markdown"), existing_notes), F.col("path_error"))
+    every_note = both_kinds.drop("bytes").join(places.select("content_id", "path", "path_error"), "content_id")
+    written = places.filter("false").select("content_id", F.lit("").alias("status"))
     if vault:
         began = time.monotonic()
+        every_note = stored(every_note)  # read by the statuses and by the files
         written = notes.write_notes(every_note, vault, policy).select("content_id", "status")
         stages.append(Stage("write_obsidian", written.count(), 0, time.monotonic() - began))
     analyzed = results
-    unplaced = every_note.filter("path_error is not null").select("content_id", "path_error")
+    unplaced = places.filter("path_error is not null").select("content_id", "path_error")
     results = results.join(unplaced, "content_id", "left").withColumn("error_type", F.coalesce("error_type", "path_error")).drop("path_error")
     results = stored(results.drop("payload").withColumn("outcome", F.when(F.col("error_type").isNull(), "completed").otherwise("failed")))
     changes = results.select(F.col("content_id").alias("id"), F.col("outcome").alias("status"), "error_type", F.col("error_type").alias("error_message"))
@@ -126,7 +133,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     asked = seqs.join(analyzed.filter("payload is not null or error_type <> 'EMPTY_SOURCE_TEXT'").select("content_id", "chunk_count", F.when(F.col("payload").isNull(), F.col("error_type")).alias("refused")), "content_id")
     answered = seqs.join(good.select("content_id", F.col("chunk_count")), "content_id")
     with_count = lambda df: answered.join(counted(df), "content_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    placed = answered.join(every_note.select("content_id", "path", "path_error", F.octet_length("markdown").alias("bytes")), "content_id")
+    placed = answered.join(places.select("content_id", "path", "path_error", "bytes"), "content_id")
     parts_of_log = [
         of(rows, "preflight"), of(rows, "normalize", F.col("source_id")),
         of(rows.filter("not kept"), "deduplicate", F.col("deduplicated_by")), of(judged, "deduplicate", F.when(F.col("skip"), F.col("matched_by"))),

@@ -136,8 +136,8 @@ def _turns_run(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     raw = c.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("seq"), F.col("role").alias("source"), F.concat_ws(":", "conv_id", "turn").alias("source_id"), F.lit("text").alias("media_type"), F.col("text").alias("raw_text"))
 
     def model(prompts: DataFrame) -> DataFrame:
-        body = F.regexp_extract("prompt", _BODY, 1)
-        n = F.length(F.regexp_replace(body, r"\s", ""))
+        prompts = prompts.withColumn("body", F.regexp_extract("prompt", _BODY, 1)).withColumn("n", F.length(F.regexp_replace("body", r"\s", "")))
+        body, n = F.col("body"), F.col("n")
         claim = F.concat(F.lit('{"text": '), _quoted(body), F.lit(', "type": "fact", "evidence": [{"type": "source", "description": "seen"}], "confidence": "0.5"}'))
         topics = F.array_join(F.transform(F.sequence(F.lit(0), n % 4), lambda i: F.concat(F.lit('"topic '), i.cast("string"), F.lit('"'))), ", ")
         good = F.concat(F.lit('{"title": "t", "summary": "s", "analysis_type": "fact", "claims": ['), F.array_join(F.array_repeat(claim, n % 3 + 1), ", "), F.lit('], "entities": [{"name": "thing '), (n % 5).cast("string"), F.lit('", "type": "other"}], "topics": ['), topics, F.lit('], "overall_confidence": 1}'))
