@@ -118,9 +118,10 @@ def similar_pairs(docs: DataFrame, likeness: float = 0.8, chain: int = 2, hot: i
     """(pairs, members): pairs (a, b, likeness) of class representatives, a < b; members (id, representative) of all documents.
 
     The rows of a signature that more than `hot` sets hold are split over tasks. Ids are taken to be unique. Texts without a
-    signature are in neither. Sets, classes and the signatures' counts are written once, so that texts are read once and
+    signature are in neither. Sets, classes, the signatures' counts and the rarest signatures are written once, so that texts are read once and
     joins on a hot signature or class have sides that Spark can split."""
-    sets = docs.select(F.col(f"`{id_col}`").alias("id"), signatures(F.col(f"`{text_col}`"), chain).alias("sigs")).filter("size(sigs) > 0")
+    # A column of one row's generator: the filter would make all signatures once more below a plain projection.
+    sets = docs.select(F.col(f"`{id_col}`").alias("id"), F.explode(F.array(signatures(F.col(f"`{text_col}`"), chain))).alias("sigs")).filter("size(sigs) > 0")
     keyed = stored(sets.withColumn("key", F.sha2(fingerprint(F.col("sigs")).cast("binary"), 256)))
     classes = keyed.groupBy("key").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "key").join(classes, "key").select("id", F.col("rep").alias("representative"))
@@ -128,7 +129,7 @@ def similar_pairs(docs: DataFrame, likeness: float = 0.8, chain: int = 2, hot: i
     reps = stored(firsts.select("first.id", "first.sigs", F.size("first.sigs").alias("n")))
     each = reps.select("id", "n", F.explode("sigs").alias("sig"))
     rare = each.join(stored(each.groupBy("sig").agg(F.count("*").alias("df"))), "sig").withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("df", "sig")))
-    prefix = rare.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(likeness) * F.col("n")) + 1)
+    prefix = stored(rare.filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(likeness) * F.col("n")) + 1))  # both sides of the join
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(likeness) or 1.0))
     shares = F.ceil(F.col("df") / hot).cast("int")
     left = prefix.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "sig", F.pmod(F.xxhash64("id"), shares).cast("int").alias("share"), F.explode(F.array(size_class, size_class + 1)).alias("size_class"))
