@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from groundwork.functions.text import ZERO_WIDTH, let, trim_all
+from groundwork.functions.text import WHITE, ZERO_WIDTH, let, trim_all
 
 MAX_NAME = 80
 #: Characters of a title that mostly give its name.
@@ -33,8 +33,11 @@ def file_name(title: Column, content_id: Column) -> Column:
 def fenced(text: Column) -> Column:
     """The text in a code fence longer than its longest run of back-ticks."""
     runs = F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)
-    marks = F.repeat(F.lit("`"), F.greatest(F.lit(3), F.coalesce(F.array_max(runs), F.lit(0)) + 1))
-    return let(marks, lambda fence: F.concat(fence, F.lit("text\n"), F.regexp_replace(text, r"(?U)\s+$", ""), F.lit("\n"), fence))
+    longest = F.when(F.contains(text, F.lit("`")), F.array_max(runs)).otherwise(0)
+    marks = F.repeat(F.lit("`"), F.greatest(F.lit(3), longest + 1))
+    # No pattern goes over the characters: the end alone tells whether there is anything to take off.
+    bare = F.when(F.substring(text, -1, 1).rlike(r"(?U)\s"), F.rtrim(text, F.lit(WHITE))).otherwise(text)
+    return let(marks, lambda fence: F.concat(fence, F.lit("text\n"), bare, F.lit("\n"), fence))
 
 
 def path_inside(path: Column) -> Column:

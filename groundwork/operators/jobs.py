@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions.names import cutoff, utc_text
 from groundwork.operators import analyses, chunks, dedup, entities, grounding, notes, warehouse
-from groundwork.operators.lineage import Stage, checkpointed, stage, stored
+from groundwork.operators.lineage import Stage, checkpointed, small_methods, stage, stored
 from groundwork.sources.note_files import standing_notes
 
 # The steps of a run, in order.
@@ -48,6 +48,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     seconds), and a step's elapsed time is that of the stage that took it for the whole batch.
     """
     spark = raw.sparkSession
+    small_methods(spark)
     # Fingerprints are made once and kept without the texts: duplicates are found among them, and the log is told from them.
     wide = [c for c in WIDE if c in raw.columns]
     rows = stored(dedup.within_batch(stored(dedup.fingerprinted(raw).drop(*wide))))
@@ -98,7 +99,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     if existing_notes is None and vault:
         existing_notes = notes.existing_index(standing_notes(raw.sparkSession, vault))
     if existing_notes is None:
-        existing_notes = raw.sparkSession.createDataFrame([], "path string, source string, source_id string, foreign boolean")
+        existing_notes = warehouse.no_rows(spark, "path string, source string, source_id string, foreign boolean")
     both_kinds = kept("render_markdown", rendered.unionByName(notes.render_notes(lost, "failed")).withColumn("bytes", F.octet_length("markdown")))
     places = kept("place_notes", notes.assign_paths(both_kinds.drop("markdown"), existing_notes), F.col("path_error"))
     every_note = both_kinds.drop("bytes").join(places.select("content_id", "path", "path_error"), "content_id")

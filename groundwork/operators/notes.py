@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from groundwork.functions.names import fenced, file_name, path_inside
 from groundwork.functions.text import let, one_line
 from groundwork.operators.analyses import EVIDENCE
-from groundwork.operators.lineage import checkpointed, stored
+from groundwork.operators.lineage import checkpointed, small_methods, stored
 from groundwork.sources.note_files import standing_notes, write_note_files
 
 # The sections and the front matter's keys, in their order, and the words of a note.
@@ -104,6 +104,7 @@ def render_notes(rows: DataFrame, kind: str = "processed", top: int = 5) -> Data
 
     Notes of kind "failed" get a section with the error at their start and ask for review. Claims come in their order.
     """
+    small_methods(rows.sparkSession)
     rows = with_columns_for_notes(rows)
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     # Columns of their own are made once: claims with their text on one line, topics, the title.

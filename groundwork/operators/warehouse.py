@@ -32,6 +32,11 @@ def stable_id(kind: str, *parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", F.lit(kind), *parts).cast("binary"), 256), 1, 32)
 
 
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows, which the optimizer knows: joins with it are planned away and no task is started for it."""
+    return spark.createDataFrame([], schema).limit(0)
+
+
 class Conflict(RuntimeError):
     """Another writer has replaced a table that this commit was made from."""
 
@@ -94,7 +99,7 @@ class Warehouse:
         """A table as the last commit, or the one of that number, left it; empty if nothing was written."""
         folders = self._named(self.version() if version is None else version).get(table)
         if not folders:
-            return self.spark.createDataFrame([], SCHEMAS[table])
+            return no_rows(self.spark, SCHEMAS[table])
         return self.spark.read.schema(SCHEMAS[table]).parquet(*(f"{self.root}/{table}/{name}" for name in folders))
 
     def write(self, table: str, rows: DataFrame) -> None:
