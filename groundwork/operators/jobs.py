@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions.names import cutoff, utc_text
 from groundwork.operators import analyses, chunks, dedup, entities, grounding, notes, warehouse
-from groundwork.operators.lineage import Stage, checkpointed, small_methods, stage, stored
+from groundwork.operators.lineage import Stage, small_methods, stage, stored
 from groundwork.sources.note_files import standing_notes
 
 # The steps of a run, in order.
@@ -170,7 +170,11 @@ def result_summary(contents: DataFrame, claims: DataFrame, content_entities: Dat
 def reprocess(ids: DataFrame, tables: dict[str, DataFrame], model, as_of: Column, total: int = chunks.TOTAL) -> tuple[dict[str, DataFrame], DataFrame]:
     """(run's result, missing): stored contents go through the run again; their history is kept."""
     raw, missing = warehouse.raw_again(tables["contents"], ids)
-    return run(raw.withColumn("seq", F.xxhash64("id")), tables, model, as_of, total, force=True), missing
+    return _run_again(raw, tables, model, as_of, total), missing
+
+
+def _run_again(raw: DataFrame, tables: dict[str, DataFrame], model, as_of: Column, total: int) -> dict[str, DataFrame]:
+    return run(raw.withColumn("seq", F.xxhash64("id")), tables, model, as_of, total, force=True)
 
 
 def recover(tables: dict[str, DataFrame], model, as_of: Column, seconds: int = 900, total: int = chunks.TOTAL) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -178,10 +182,12 @@ def recover(tables: dict[str, DataFrame], model, as_of: Column, seconds: int = 9
 
     recovered (content_id, outcome, error_type) has a row for each content that was set back: completed, failed, or pending
     where the run gave no outcome. recovery_report() counts them.
+
+    What is stale is written once with its texts, and alone is run again: no other content's text is moved.
     """
-    old = checkpointed(warehouse.stale(tables["contents"], as_of, seconds).select("id"))
-    reset = {**tables, "contents": warehouse.reset_to_pending(tables["contents"], old)}
-    out, _ = reprocess(old, reset, model, as_of, total)
+    old = stored(warehouse.stale(tables["contents"], as_of, seconds))
+    reset = {**tables, "contents": warehouse.reset_stale(tables["contents"], as_of, seconds)}
+    out = _run_again(warehouse.as_raw(warehouse.reset_stale(old, as_of, seconds).filter("id is not null")), reset, model, as_of, total)
     ended = out["outcomes"].filter("content_id is not null").select("content_id", "outcome", "error_type")
     recovered = old.select(F.col("id").alias("content_id")).join(ended, "content_id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("pending")))
     return out, recovered

@@ -220,14 +220,28 @@ def listing(contents: DataFrame, analyses: DataFrame, status: str | None = None,
 
 def raw_again(contents: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw, missing): stored rows as raw content by id, a bad media type as text; ids that are not stored."""
-    found = contents.join(ids.select("id"), "id", "left_semi")
+    return as_raw(contents.join(ids.select("id"), "id", "left_semi")), ids.join(contents.select("id"), "id", "left_anti")
+
+
+def as_raw(contents: DataFrame) -> DataFrame:
+    """Stored rows as raw content, a bad media type as text."""
     good = F.col("media_type").isin("video", "image", "article", "audio", "text", "mixed")
-    raw = found.withColumn("media_type", F.when(good, F.col("media_type")).otherwise("text")).withColumn("source_url", F.coalesce("source_url", F.lit(""))).withColumn("media_path", F.lit(None).cast("string"))
-    return raw, ids.join(contents.select("id"), "id", "left_anti")
+    return contents.withColumn("media_type", F.when(good, F.col("media_type")).otherwise("text")).withColumn("source_url", F.coalesce("source_url", F.lit(""))).withColumn("media_path", F.lit(None).cast("string"))
+
+
+def _is_stale(as_of: Column, seconds: int) -> Column:
+    return (F.col("status") == "processing") & (F.col("created_at") <= as_of - F.make_dt_interval(secs=F.lit(max(0, seconds))))
 
 
 def stale(contents: DataFrame, as_of: Column, seconds: int = 900) -> DataFrame:
-    return contents.filter((F.col("status") == "processing") & (F.col("created_at") <= as_of - F.make_dt_interval(secs=F.lit(max(0, seconds)))))
+    return contents.filter(_is_stale(as_of, seconds))
+
+
+def reset_stale(contents: DataFrame, as_of: Column, seconds: int = 900) -> DataFrame:
+    """contents with what is stale set back to pending, as reset_to_pending does it with ids; each row tells by itself, so none is moved."""
+    hit = F.coalesce(_is_stale(as_of, seconds), F.lit(False)) & F.col("id").isNotNull()
+    kept = {c: F.when(~hit, F.col(c)) for c in ("error_type", "error_message", "processed_at")}
+    return contents.withColumns({**kept, "status": F.when(hit, "pending").otherwise(F.col("status"))}).select(*contents.columns)
 
 
 def first_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
