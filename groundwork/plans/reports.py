@@ -11,7 +11,7 @@ from groundwork.operators import analyses, jobs, repair, warehouse
 from groundwork.operators import entities as ent
 from groundwork.plans import derive
 from groundwork.plans.derive import table
-from groundwork.plans.runs import _NORM, _outputs, _quoted, _tables, as_of
+from groundwork.plans.runs import _NORM, _outputs, _quoted, _tables, as_of, marked
 from groundwork.plans.text import _CLEAN
 
 # ---- every code of the contract
@@ -38,7 +38,7 @@ def k7_every_code(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("doc_id") % (len(BREAKS) + 1)
     has = lambda code: (k == BREAKS.index(code)) | ((k == len(BREAKS)) & F.lit(code in MANY))
     pick = lambda code, bad, good: F.when(has(code), bad).otherwise(good)
-    text = _quoted(F.col("text"))
+    text = _quoted(marked(F.col("text")))
     evidence = F.concat(F.lit('[{"type": '), pick("enum:claims.evidence", F.lit('"gossip"'), F.lit('"quote"')), F.lit(', "description": '), text, F.lit("}]"))
     claim = _object(
         {

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundwork.operators import analyses
-from groundwork.plans import runs
+from groundwork.plans import reports, runs
 
 SF = "/root/testdata/sf0.001"
 BLANK = {3: "", 4: " ", 8: "\n", 12: None, 15: "", 16: "=", 24: "-"}
@@ -35,6 +35,12 @@ def test_blank_documents_keep_the_contract(spark, folder):
     assert rounds == {(1, 40, 10, 20), (2, 10, 5, 0), (3, 5, 5, 0)}
 
 
+def test_a_blank_document_breaks_one_rule_alone(spark, folder):
+    n = len(reports.BREAKS) + 1
+    told = {r.doc_id: r.codes for r in reports.k7_every_code(spark, folder).collect()}
+    assert told == {i: ",".join(reports.MANY) if i % n == n - 1 else reports.BREAKS[i % n] for i in range(40)}
+
+
 def test_the_contract_still_refuses_blank_claims(spark):
     said = '{"title": "t", "summary": "s", "analysis_type": "fact", "claims": [{"text": "%s", "type": "fact", "confidence": 1}], "overall_confidence": 1}'
     rows = spark.createDataFrame([(said % "",), (said % " ",), (said % "=",)], "payload string")
