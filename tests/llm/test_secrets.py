@@ -131,3 +131,16 @@ def test_too_few_values_teach_nothing(spark):
     few = spark.createDataFrame([(i, f"token=ab{i}cdefgh123456") for i in range(9)], "doc_id long, text string")
     assert secrets.infer_formats(few) == {}
     assert secrets.infer_formats(few.limit(0)) == {} and secrets.scan_secrets(few.limit(0)).count() == 0
+
+
+def test_the_background_is_learned_from_every_run(spark):
+    rnd = random.Random(10)
+    runs = [f"{rnd.choice('abcdef')}{i:09d}{'XY'[i % 2] * (i % 23)}" for i in range(3000)] + ["g1" * 400 + "Z" * 7]
+    rows = [f"see {x} and token=abcdefgh{i} here" for i, x in enumerate(runs)] + [f"again {runs[0]}"] * 500 + ["internationalisation", None, ""]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert secrets.infer_background(df).logs == secrets.Background(sorted(runs)).logs
+    g, z = secrets._CLASS["g"], secrets._CLASS["Z"]
+    told = secrets.followers(["g1" * 400 + "Z" * 8])  # a run of any length is read to its end, and counts as 256 characters
+    assert sum(told.values()) <= 256 * secrets._UNIT and told[z, z] == 7 * (told[len(secrets._SIZE), g]) > 0
+    words = secrets.infer_background(df, digit=False)
+    assert words.logs == secrets.Background([*runs, "internationalisation"]).logs
