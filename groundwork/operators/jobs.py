@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from groundwork.functions.names import cutoff, utc_text
 from groundwork.operators import analyses, chunks, dedup, entities, grounding, notes, warehouse
-from groundwork.operators.lineage import Stage, small_methods, stage, stored
+from groundwork.operators.lineage import Stage, released, short_shuffles, small_methods, stage, stored
 from groundwork.sources.note_files import standing_notes
 
 # The steps of a run, in order.
@@ -35,8 +35,8 @@ def enriched(raw: DataFrame, asset_text: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame], DataFrame], as_of: Column, total: int = chunks.TOTAL, force: bool = False, existing_notes: DataFrame | None = None, vault: str | None = None, policy: str = "overwrite") -> dict[str, DataFrame]:
-    """New versions of the seven tables, and outcomes, steps, notes with their paths, the attempt log and the stages, for a batch of
-    raw content.
+    """New versions of the seven tables, and outcomes, steps, notes with their paths, the paths alone, the attempt log and the stages,
+    for a batch of raw content.
 
     raw needs seq, the arrival order. Duplicates stop after three steps unless force is set; a failure is a row with an
     error type, never a failed job. Each content's outcome is completed, failed or duplicate (of which content, if of one). existing_notes (path, source,
@@ -45,8 +45,15 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     vault is the folder that the notes are written below; the notes there stand already then, and the policy says what
     becomes of them. Without a vault nothing is written, and the log says that the step was skipped. What later stages read is
     written once, as Parquet below the shared folder; its rows, errors and seconds are the stages (ord, stage, rows, errors,
-    seconds), and a step's elapsed time is that of the stage that took it for the whole batch.
+    seconds), and a step's elapsed time is that of the stage that took it for the whole batch. What no later stage and no result
+    reads goes at once, and so do the shuffles of a stage. Notes are rendered in their stage; their markdown is kept where there
+    is a vault, and made again for who reads it where there is none. A model with a function close is closed after its last answer.
     """
+    with short_shuffles(raw.sparkSession):
+        return _run(raw, tables, model, as_of, total, force, existing_notes, vault, policy)
+
+
+def _run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame], DataFrame], as_of: Column, total: int, force: bool, existing_notes: DataFrame | None, vault: str | None, policy: str) -> dict[str, DataFrame]:
     spark = raw.sparkSession
     small_methods(spark)
     # Fingerprints are made once and kept without the texts: duplicates are found among them, and the log is told from them.
@@ -75,14 +82,18 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     prepared = kept("prepare_text", chunks.prepare(payload.withColumnRenamed("id", "content_id"), total=total).select("content_id", "text"))
     table = kept("chunk", chunks.chunk_table(prepared, "content_id", chunks.chunk_chars(total)))
     results, log = analyses.analyse(table, model)
-    empty = prepared.select("content_id").join(table.select("content_id").distinct(), "content_id", "left_anti")
+    empty = stored(prepared.select("content_id").join(table.select("content_id").distinct(), "content_id", "left_anti"))
     results = results.unionByName(empty.select("content_id", F.lit(0).cast("long").alias("chunk_count"), F.lit(None).cast("string").alias("payload"), F.lit("EMPTY_SOURCE_TEXT").alias("error_type")))
     results = kept("analyze", results, F.col("error_type"))
+    released(table)
+    getattr(model, "close", lambda: None)()
     good = results.filter("payload is not null")
     parts = analyses.unnested(good)
     parts |= {name: stored(parts[name]) for name in ("entities", "topics")}  # names alone, which many joins read
     names = entities.alias_index(tables["entities"], tables["entity_aliases"]).select(F.col("canonical_name").alias("canonical"), F.explode("aliases").alias("alias"))
     grounded = kept("ground", grounding.ground(parts["claims"], prepared.select("content_id", "text"), parts["entities"].select("content_id", "ord", "name"), names))
+    sized = stored(prepared.select("content_id", F.length("text").alias("n_chars")))
+    released(prepared)
     linked = entities.link_contents(parts["entities"], parts["topics"], tables["entities"], tables["entity_aliases"], tables["topics"], tables["content_entities"], tables["content_topics"])
 
     parsed = good.select("content_id", "chunk_count", "payload", F.from_json("payload", analyses.LOOSE).alias("a"))
@@ -100,13 +111,16 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
         existing_notes = notes.existing_index(standing_notes(raw.sparkSession, vault))
     if existing_notes is None:
         existing_notes = warehouse.no_rows(spark, "path string, source string, source_id string, foreign boolean")
-    both_kinds = kept("render_markdown", rendered.unionByName(notes.render_notes(lost, "failed")).withColumn("bytes", F.octet_length("markdown")))
+    every_note = rendered.unionByName(notes.render_notes(lost, "failed"))
+    both_kinds = every_note.withColumn("bytes", F.octet_length("markdown"))
+    both_kinds = kept("render_markdown", both_kinds if vault else both_kinds.drop("markdown"))
     places = kept("place_notes", notes.assign_paths(both_kinds.drop("markdown"), existing_notes), F.col("path_error"))
-    every_note = both_kinds.drop("bytes").join(places.select("content_id", "path", "path_error"), "content_id")
+    every_note = (both_kinds.drop("bytes") if vault else every_note).join(places.select("content_id", "path", "path_error"), "content_id")
     written = places.filter("false").select("content_id", F.lit("").alias("status"))
     if vault:
         began = time.monotonic()
         every_note = stored(every_note)  # read by the statuses and by the files
+        released(both_kinds)
         written = notes.write_notes(every_note, vault, policy).select("content_id", "status")
         stages.append(Stage("write_obsidian", written.count(), 0, time.monotonic() - began))
     analyzed = results
@@ -128,7 +142,6 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     of_stage = {"normalize": "deduplicate", "deduplicate": "deduplicate", "prepare_text": "prepare_text", "analyze": "analyze", "render_markdown": "render_markdown", "write_obsidian": "write_obsidian"}
     seqs = work.select("seq", "content_id")
     of = lambda df, step, detail=F.lit(None), error=F.lit(None), done=F.lit("ok"): df.select("seq", F.lit(STEPS.index(step)).alias("ord"), F.lit(step).alias("step"), F.when(error.isNotNull(), "failed").otherwise(done).alias("status"), detail.cast("string").alias("detail"), error.cast("string").alias("error_type"), F.lit(took.get(of_stage.get(step))).cast("double").alias("elapsed"))
-    sized = prepared.select("content_id", F.length("text").alias("n_chars"))
     counted = lambda df: df.groupBy("content_id").agg(F.count("*").alias("n"))
     texts_done = seqs.join(sized, "content_id").join(empty.withColumn("none", F.lit(True)), "content_id", "left")
     asked = seqs.join(analyzed.filter("payload is not null or error_type <> 'EMPTY_SOURCE_TEXT'").select("content_id", "chunk_count", F.when(F.col("payload").isNull(), F.col("error_type")).alias("refused")), "content_id")
@@ -146,7 +159,7 @@ def run(raw: DataFrame, tables: dict[str, DataFrame], model: Callable[[DataFrame
     steps = parts_of_log[0]
     for part in parts_of_log[1:]:
         steps = steps.unionByName(part)
-    return {"contents": contents, "analyses": history, **linked, "outcomes": outcomes, "steps": steps, "notes": every_note, "attempts": log, "grounded": grounded, "stages": spark.createDataFrame([(i, *t) for i, t in enumerate(stages)], "ord int, stage string, rows long, errors long, seconds double")}
+    return {"contents": contents, "analyses": history, **linked, "outcomes": outcomes, "steps": steps, "notes": every_note, "paths": places.select("content_id", "path", "path_error"), "attempts": log, "grounded": grounded, "stages": spark.createDataFrame([(i, *t) for i, t in enumerate(stages)], "ord int, stage string, rows long, errors long, seconds double")}
 
 
 def failed_step(steps: DataFrame) -> DataFrame:
@@ -214,7 +227,7 @@ def processing_results(out: dict[str, DataFrame]) -> DataFrame:
     own = lambda c: F.when(done, F.col(c))
     sums = result_summary(out["contents"], out["grounded"], out["content_entities"], out["content_topics"], out["analyses"])
     facts = out["contents"].select(F.col("id").alias("content_id"), "status", "current_analysis_id", "needs_manual_review", "error_message")
-    paths = out["notes"].filter("path_error is null").select("content_id", "path")
+    paths = out["paths"].filter("path_error is null").select("content_id", "path")
     told = out["analyses"].select(F.col("id").alias("current_analysis_id"), "prompt_version", "model")
     fields = [F.struct("ord", "step", "status", "elapsed", "detail", "error_type")]
     steps = out["steps"].groupBy("seq").agg(F.array_sort(F.collect_list(*fields)).alias("steps"), F.sum("elapsed").alias("elapsed"))
