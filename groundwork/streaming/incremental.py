@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -109,37 +110,74 @@ def stuck_work(stream: DataFrame, seconds: int = 900, late: str = "1 minute") ->
     return grouped.transformWithStateInPandas(StuckWork(seconds), outputStructType="key string, since timestamp, reset_at timestamp", outputMode="append", timeMode="eventTime")
 
 
-class FirstOfKey(StatefulProcessor):
-    """Lets the first row of a key through; forgets the key when `keep` seconds of event time have passed since that row."""
+#: Bytes of a key's digest in the state.
+DIGEST = 16
+
+
+class FirstOfKeys(StatefulProcessor):
+    """Lets the first row of each key through; forgets a key when `keep` seconds of event time have passed since that row.
+
+    Keys (key_digest, digests of DIGEST bytes) come in buckets, and a bucket's keys are one state: it is asked for once and told once in a batch,
+    whatever number of keys it has, as each question goes to the JVM and back. A bucket has one timer, for the key that goes next.
+    """
 
     def __init__(self, keep: int):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first = handle.getValueState("first", "first_ms long")
+        self.held = handle.getValueState("held", "keys binary, until_ms binary, timer long")
+
+    def _read(self) -> tuple[dict[bytes, int], int | None]:
+        """(until when each key is kept, the time of the timer)."""
+        if not self.held.exists():
+            return {}, None
+        keys, until, timer = self.held.get()
+        keys = bytes(keys)
+        return dict(zip((keys[i : i + DIGEST] for i in range(0, len(keys), DIGEST)), np.frombuffer(bytes(until), "<i8").tolist())), timer
+
+    def _write(self, known: dict[bytes, int], timer: int | None) -> None:
+        """timer: the one that stands."""
+        next_ = min(known.values(), default=None)
+        if timer is not None and timer != next_:
+            self.handle.deleteTimer(timer)
+        if next_ is None:
+            self.held.clear()
+            return
+        if timer != next_:
+            self.handle.registerTimer(next_)
+        self.held.update((b"".join(known), np.fromiter(known.values(), "<i8", len(known)).tobytes(), next_))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         best = None
         for part in rows:
-            row = part.sort_values(["ts", "seq"], kind="stable").iloc[:1]
-            if best is None or (row["ts"].iloc[0], row["seq"].iloc[0]) < (best["ts"].iloc[0], best["seq"].iloc[0]):
-                best = row
-        if best is not None and not self.first.exists():
-            at = int(pd.Timestamp(best["ts"].iloc[0]).value // 1_000_000)
-            self.first.update((at,))
-            self.handle.registerTimer(at + self.keep * 1000)
-            yield best
+            both = part if best is None else pd.concat([best, part])
+            best = both.sort_values(["ts", "seq"], kind="stable").drop_duplicates("key_digest")
+        known, timer = self._read()
+        new = best[[k not in known for k in best["key_digest"]]]
+        if len(new):
+            at = new["ts"].to_numpy("datetime64[ms]").astype("int64") + self.keep * 1000
+            known.update(zip(map(bytes, new["key_digest"]), at.tolist()))
+            self._write(known, timer)
+            yield new.drop(columns=["key_digest", "key_bucket"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.first.clear()
+        ended = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self._write({k: t for k, t in self._read()[0].items() if t > ended}, None)  # the timer that has fired is gone by itself
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def first_seen_by_both(stream: DataFrame, late: str = "1 hour", keep: int = 30 * 86_400) -> DataFrame:
+def _firsts(rows: DataFrame, key: Column, schema: T.StructType, keep: int, buckets: int) -> DataFrame:
+    """The first row of each key of a stream."""
+    digest = F.substring(F.unhex(F.sha2(F.coalesce(F.concat(F.lit("k"), key), F.lit("")), 256)), 1, DIGEST)
+    dealt = rows.withColumn("key_digest", digest).withColumn("key_bucket", F.pmod(F.xxhash64("key_digest"), F.lit(buckets)))
+    return dealt.groupBy("key_bucket").transformWithStateInPandas(FirstOfKeys(keep), outputStructType=schema, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
+
+
+def first_seen_by_both(stream: DataFrame, late: str = "1 hour", keep: int = 30 * 86_400, buckets: int = 2048) -> DataFrame:
     """The rows (seq, ts, k1, k2) of a stream that are the first of their identity k1 and, of these, the first of their fingerprint
     k2; a null k2 counts for nothing. Two keyed states after each other, each with timers that forget a key after `keep` seconds.
 
@@ -147,10 +185,11 @@ def first_seen_by_both(stream: DataFrame, late: str = "1 hour", keep: int = 30 *
     delivered again do. Where they don't, an identity counts from its first row on here, even if that row repeats another
     one's fingerprint; within_batch would count it from the first row that it keeps, which no fixed number of keyed states can
     tell. Rows later than the watermark are dropped. The session needs the RocksDB state store.
+
+    Keys are dealt to buckets, each of which is one state of 24 bytes a key: a batch reads and writes the buckets that it has rows for. The
+    number of buckets is fixed for the life of a checkpoint.
     """
     kept = T.StructType([f for f in stream.schema.fields if f.name in ("seq", "ts", "k1", "k2")])
     rows = stream.withWatermark("ts", late).select(*(f.name for f in kept.fields))
-    once = rows.groupBy("k1").transformWithStateInPandas(FirstOfKey(keep), outputStructType=kept, outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
-    keyed = once.withColumn("k", F.coalesce("k2", F.concat(F.lit("\x1f"), "k1")))
-    twice = keyed.groupBy("k").transformWithStateInPandas(FirstOfKey(keep), outputStructType=T.StructType([*kept.fields, T.StructField("k", T.StringType())]), outputMode="append", timeMode="eventTime", eventTimeColumnName="ts")
-    return twice.drop("k")
+    once = _firsts(rows, F.col("k1"), kept, keep, buckets)
+    return _firsts(once, F.coalesce(F.concat(F.lit("2"), "k2"), F.concat(F.lit("1"), "k1")), kept, keep, buckets)
